@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.cleaning import amount, dim_value, key_or_null, require_columns
 from tidemark.functions.minutes import at_time, floor_bucket, minute_of_day, parse_day, parse_minute, period_start
-from tidemark.spec import ALL_LABEL, Levels, MetricSpec, kept_sets, level_code
+from tidemark.spec import ALL_LABEL, Levels, MetricSpec, kept_sets
 
 PERIOD, BUCKET, LEVEL = "period", "bucket", "level"
 
@@ -171,22 +171,19 @@ def new_keys(seen: DataFrame, cell: Sequence[str], out: str) -> DataFrame:
     return seen.groupBy(*cell, BUCKET).agg(F.count(F.lit(1)).alias(out))
 
 
-def rolled_levels(df: DataFrame, dims: Sequence[str], levels: Sequence[Sequence[str]]) -> DataFrame:
-    """Give every row once per level, with the rolled-up dimensions nulled.
+def mask_levels(df: DataFrame, dims: Sequence[str], level: str = LEVEL) -> DataFrame:
+    """Null the dimensions that a row's ``level`` rolls up.
 
-    ``level`` says which ones: identity never rests on a label, so a raw value equal
-    to the "all" label stays apart. Exploding a literal array keeps the partitioning
-    of ``df``, unlike grouping sets, so a following aggregation may need no shuffle.
+    ``level`` says which ones: identity never rests on a label, so a raw value equal to
+    the "all" label stays apart.
     """
-    codes = [level_code(dims, kept) for kept in levels]
-    if codes == [0]:
-        return df.withColumn(LEVEL, F.lit(0))
-    out = df.withColumn(LEVEL, F.explode(F.array(*[F.lit(c) for c in codes])))
-    masks = {}
-    for i, d in enumerate(dims):
-        bit = 1 << (len(dims) - 1 - i)
-        masks[d] = F.when(F.col(LEVEL).bitwiseAND(F.lit(bit)) == 0, F.col(d))
-    return out.withColumns(masks)
+    return df.withColumns({d: F.when(~rolled_up(dims, d, level), F.col(d)) for d in dims})
+
+
+def rolled_up(dims: Sequence[str], dim: str, level: str = LEVEL) -> Column:
+    """Whether a row's level rolls up the dimension."""
+    bit = 1 << (len(dims) - 1 - list(dims).index(dim))
+    return F.col(level).bitwiseAND(F.lit(bit)) != 0
 
 
 def level_flag(dims: Sequence[str]) -> Column:
@@ -232,10 +229,7 @@ def cell_keys(base: DataFrame, spec: MetricSpec, levels: Levels = "cube") -> Dat
 
 def label_totals(df: DataFrame, dims: Sequence[str], label: str = ALL_LABEL, level: str = LEVEL) -> DataFrame:
     """Show the "all" label where a dimension is rolled up."""
-    shown = {}
-    for i, d in enumerate(dims):
-        bit = 1 << (len(dims) - 1 - i)
-        shown[d] = F.when(F.col(level).bitwiseAND(F.lit(bit)) != 0, F.lit(label)).otherwise(F.col(d))
+    shown = {d: F.when(rolled_up(dims, d, level), F.lit(label)).otherwise(F.col(d)) for d in dims}
     return df.withColumns(shown) if shown else df
 
 

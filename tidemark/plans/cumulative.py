@@ -4,17 +4,22 @@ The plan, for any number of sums and keys, reads the detail rows once:
 
 1. ``leaf_facts``: each detail row is laid out once for the sums and once per key, then
    reduced to amounts per (dims, bucket) and to the first bucket per (dims, key).
-2. ``cell_facts``: the reduced rows are repeated per level and reduced again. For a key
-   this takes the minimum of first buckets, never a sum of finer counts.
-3. ``bucket_changes``: new keys and amounts per cell and bucket.
+2. ``tagged_facts``: amounts, and keys that occur in a single leaf cell, add up over the
+   levels of a cube. Only keys seen in several leaf cells do not; those rows are repeated
+   per level, next to their key, and reduced to the first bucket per (cell, key).
+3. ``cell_changes``: additive rows are counted per leaf cell first and only then repeated
+   per level, which leaves new keys and amounts per cell and active bucket.
 4. ``running_spine``: running totals, then the quiet points are filled in.
+
+Repeating every (dims, key) row 2^n times, as a plain cube does, is thus limited to the
+keys that need it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.cleaning import export_names
@@ -25,20 +30,22 @@ from tidemark.operators.aggregates import (
     PERIOD,
     key_alias,
     label_totals,
+    mask_levels,
     prepare,
-    rolled_levels,
     sum_alias,
 )
 from tidemark.operators.windows import running_spine
 from tidemark.sources.shared import ensure_checkpoint_dir
-from tidemark.spec import ALL_LABEL, Levels, MetricSpec, kept_sets
+from tidemark.spec import ALL_LABEL, Levels, MetricSpec, kept_sets, level_code
 
 SLOT = "_slot"
 OWN_BUCKET = "_own_bucket"
-LAYOUTS = ("spread", "by_key", "measured")
+LANE = "_lane"
+KIND = "_kind"
+ADDITIVE, SHARED, HOT = 0, 1, 2
 
-# Leaf rows of one key that a single task may expand in the "by_key" layout.
-ROWS_PER_KEY_TASK = 1_000_000
+# A key in more leaf cells than this is not repeated per level within one task.
+HOT_KEY_CELLS = 100_000
 
 
 def cumulative(
@@ -50,33 +57,31 @@ def cumulative(
     end: str | int | None = None,
     history: str = "day",
     days: Sequence | None = None,
-    layout: str = "spread",
     all_label: str = ALL_LABEL,
+    hot_key_cells: int = HOT_KEY_CELLS,
+    checkpoint: bool = False,
 ) -> DataFrame:
     """Cumulative report: ``<dims>, level, date_minute, <metrics>, date_p``.
 
-    ``layout`` says how the level step is spread:
-
-    * ``"spread"`` (default) is safe for any data: repeated rows are combined, then
-      shuffled by cell and key, so a hot key is spread over its cells.
-    * ``"by_key"`` shuffles the rows before they are repeated, once per key, and needs no
-      shuffle after. It moves 2^n times fewer rows. One task takes all leaf cells of one
-      key, so use it when the number of leaf cells of a period is known to be moderate.
-    * ``"measured"`` writes the leaf rows to the checkpoint folder, counts the largest key
-      there, and picks ``"by_key"`` up to ``ROWS_PER_KEY_TASK`` rows, ``"spread"`` beyond.
+    ``start`` and ``end`` are times of day (``"10:00"``), ``days`` limits the days read,
+    ``history`` says what happens to rows before ``start``. ``checkpoint=True`` writes the
+    reduced rows to the checkpoint folder, so that a lost executor never causes the detail
+    rows to be read again; it runs that first step at once.
     """
-    if layout not in LAYOUTS:
-        raise ValueError(f"layout must be one of {LAYOUTS}")
     chosen_days = [as_date(d) for d in days] if days else None
     base = prepare(df, spec, start=start, end=end, history=history, days=chosen_days)
     first, last = minute_of_day(start, 0), minute_of_day(end, 1440 - spec.step_minutes)
     first, last = first - first % spec.step_minutes, last - last % spec.step_minutes
 
-    wanted = kept_sets(spec.dims, levels)
     leaf = leaf_facts(base, spec)
-    if layout == "measured":
-        leaf, layout = measured_layout(leaf, spec)
-    changes = bucket_changes(cell_facts(leaf, spec, wanted, layout), spec)
+    if checkpoint:
+        ensure_checkpoint_dir(leaf.sparkSession)
+        leaf = leaf.checkpoint()
+    wanted = kept_sets(spec.dims, levels)
+    if wanted == [tuple(spec.dims)]:
+        changes = leaf_changes(leaf, spec)
+    else:
+        changes = cell_changes(tagged_facts(leaf, spec, wanted, hot_key_cells), spec, wanted)
     if chosen_days and not spec.dims:
         changes = with_empty_days(changes, spec, chosen_days, first)
     report = running_spine(
@@ -133,32 +138,93 @@ def leaf_facts(base: DataFrame, spec: MetricSpec) -> DataFrame:
     )
 
 
-def cell_facts(leaf: DataFrame, spec: MetricSpec, levels: Sequence[Sequence[str]], layout: str = "spread") -> DataFrame:
-    """Leaf facts per cell of every wanted level."""
+def _amounts(spec: MetricSpec) -> list:
+    return [F.coalesce(F.sum(sum_alias(i)), F.lit(0)).alias(out) for i, out in enumerate(spec.sums.values())]
+
+
+def leaf_changes(leaf: DataFrame, spec: MetricSpec) -> DataFrame:
+    """New keys and amounts per leaf cell and active bucket."""
+    return leaf.groupBy(PERIOD, F.lit(0).alias(LEVEL), *spec.dims, BUCKET).agg(
+        *[F.count_if(F.col(SLOT) == i + 1).alias(out) for i, out in enumerate(spec.distincts.values())],
+        *_amounts(spec),
+    )
+
+
+def tagged_facts(
+    leaf: DataFrame, spec: MetricSpec, levels: Sequence[Sequence[str]], hot_key_cells: int = HOT_KEY_CELLS
+) -> DataFrame:
+    """Leaf facts with their kind.
+
+    Additive rows keep their leaf cell. Shared rows, whose key is in several leaf cells,
+    come out once per cell of every level with the key's first bucket there. Rows of a hot
+    key, one in more leaf cells than a task should repeat, keep their leaf cell and key and
+    are resolved in ``cell_changes``, spread over the cluster.
+    """
     keys = [key_alias(i) for i in range(len(spec.distincts))]
     sums = [sum_alias(i) for i in range(len(spec.sums))]
-    if list(levels) == [tuple(spec.dims)]:
-        return leaf.withColumn(LEVEL, F.lit(0))
-    identity = [PERIOD, SLOT, OWN_BUCKET, *keys]
-    if layout == "by_key":
-        leaf = leaf.repartition(*identity)
-
-    def reduce_to(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*identity, LEVEL, *spec.dims).agg(
-            F.min(BUCKET).alias(BUCKET), *[F.sum(s).alias(s) for s in sums]
-        )
-
-    return reduce_to(rolled_levels(leaf, spec.dims, levels))
+    if not keys:
+        return leaf.withColumns({KIND: F.lit(ADDITIVE), LEVEL: F.lit(0)})
+    # amounts never meet a key, so they are spread by cell as well as by bucket
+    laned = leaf.withColumn(LANE, F.when(F.col(SLOT) == 0, F.xxhash64(*spec.dims)).otherwise(F.lit(0)))
+    identity = [PERIOD, SLOT, OWN_BUCKET, LANE, *keys]
+    cells = F.count(F.lit(1)).over(Window.partitionBy(*identity))
+    sized = laned.withColumn("_cells", cells).withColumn(
+        KIND,
+        F.when((F.col(SLOT) == 0) | (F.col("_cells") == 1), ADDITIVE)
+        .when(F.col("_cells") <= hot_key_cells, SHARED)
+        .otherwise(HOT),
+    )
+    codes = F.array(*[F.lit(level_code(spec.dims, kept)) for kept in levels])
+    repeated = sized.withColumn(LEVEL, F.explode(F.when(F.col(KIND) == SHARED, codes).otherwise(F.array(F.lit(0)))))
+    # the rows of a key are together already, so this needs no shuffle
+    return (
+        mask_levels(repeated, spec.dims)
+        .groupBy(*identity, KIND, LEVEL, *spec.dims)
+        .agg(F.min(BUCKET).alias(BUCKET), *[F.sum(s).alias(s) for s in sums])
+    )
 
 
-def bucket_changes(facts: DataFrame, spec: MetricSpec) -> DataFrame:
-    """New keys and amounts per cell and active bucket."""
-    return facts.groupBy(PERIOD, LEVEL, *spec.dims, BUCKET).agg(
-        *[F.count_if(F.col(SLOT) == i + 1).alias(out) for i, out in enumerate(spec.distincts.values())],
-        *[
-            F.coalesce(F.sum(sum_alias(i)), F.lit(0)).cast(spec.sum_type).alias(out)
-            for i, out in enumerate(spec.sums.values())
-        ],
+def cell_changes(facts: DataFrame, spec: MetricSpec, levels: Sequence[Sequence[str]]) -> DataFrame:
+    """New keys and amounts per cell and active bucket, for all wanted levels."""
+    keys = [key_alias(i) for i in range(len(spec.distincts))]
+    sums = [sum_alias(i) for i in range(len(spec.sums))]
+    news = [f"_new{i}" for i in range(len(keys))]
+    hot = F.col(KIND) == HOT
+    hot_key = ["_hot_slot", *[f"_hot{k}" for k in keys]] if keys else []
+    named = facts.withColumns(
+        {"_hot_slot": F.when(hot, F.col(SLOT)), **{f"_hot{k}": F.when(hot, F.col(k)) for k in keys}}
+    )
+    counted = named.groupBy(PERIOD, KIND, LEVEL, *spec.dims, BUCKET, *hot_key).agg(
+        *[F.count_if(F.col(SLOT) == i + 1).alias(n) for i, n in enumerate(news)],
+        *[F.sum(s).alias(s) for s in sums],
+    )
+    codes = F.array(*[F.lit(level_code(spec.dims, kept)) for kept in levels])
+    placed = counted.withColumn(
+        LEVEL, F.explode(F.when(F.col(KIND) == SHARED, F.array(F.col(LEVEL))).otherwise(codes))
+    )
+    # a hot key's rows of one cell meet here and leave its first bucket; others keep theirs
+    own = F.when(~hot, F.col(BUCKET)).alias(OWN_BUCKET)
+    joined = (
+        mask_levels(placed, spec.dims)
+        .groupBy(PERIOD, LEVEL, *spec.dims, own, *hot_key)
+        .agg(
+            F.min(BUCKET).alias(BUCKET),
+            *[F.sum(n).alias(n) for n in news],
+            *[F.sum(s).alias(s) for s in sums],
+        )
+    )
+    if not keys:
+        return joined.groupBy(PERIOD, LEVEL, *spec.dims, BUCKET).agg(*_amounts(spec))
+    once = {
+        n: F.when(F.col("_hot_slot").isNull(), F.col(n)).otherwise((F.col("_hot_slot") == i + 1).cast("long"))
+        for i, n in enumerate(news)
+    }
+    # few rows per cell are left: one shuffle serves this step and the running totals
+    return (
+        joined.withColumns(once)
+        .repartition(PERIOD, LEVEL, *spec.dims)
+        .groupBy(PERIOD, LEVEL, *spec.dims, BUCKET)
+        .agg(*[F.sum(n).alias(out) for n, out in zip(news, spec.distincts.values())], *_amounts(spec))
     )
 
 
@@ -176,14 +242,3 @@ def with_empty_days(changes: DataFrame, spec: MetricSpec, days: Sequence, first_
         .groupBy(PERIOD, LEVEL, BUCKET)
         .agg(*[F.sum(m).cast(changes.schema[m].dataType).alias(m) for m in spec.metric_names])
     )
-
-
-def measured_layout(leaf: DataFrame, spec: MetricSpec) -> tuple[DataFrame, str]:
-    """Materialise the leaf rows, then choose the layout from the largest key's exact size."""
-    ensure_checkpoint_dir(leaf.sparkSession)
-    leaf = leaf.checkpoint()
-    keys = [key_alias(i) for i in range(len(spec.distincts))]
-    largest = (
-        leaf.groupBy(PERIOD, SLOT, OWN_BUCKET, *keys).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    )
-    return leaf, "by_key" if largest <= ROWS_PER_KEY_TASK else "spread"

@@ -69,8 +69,8 @@ TWO = ["event_type", "band"]
 USERS = {"user_id": "users"}
 SQL["cum_leaf"] = cumulative_sql(TWO, [0], USERS)
 SQL["cum_cube"] = cumulative_sql(TWO, [0, 1, 2, 3], USERS)
-SQL["cum_cube_by_key"] = SQL["cum_cube"]
-SQL["cum_cube_measured"] = SQL["cum_cube"]
+SQL["cum_cube_hot_keys"] = SQL["cum_cube"]
+SQL["cum_cube_checkpoint"] = SQL["cum_cube"]
 SQL["cum_nodims"] = cumulative_sql([], [0], USERS)
 SQL["cum_rollup"] = cumulative_sql(TWO, [0, 1, 3], USERS)
 SQL["cum_chosen_levels"] = cumulative_sql(TWO, [2, 3], USERS)
