@@ -67,7 +67,7 @@ def param(params: Column | str, key: str) -> Column:
 
 def local_day(millis: Column | str, zone: str) -> Column:
     """Calendar day of an epoch-millisecond stamp in a named zone, whatever the session zone."""
-    whole = F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(
+    whole = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
         F.lit(0), F.lit(0), F.lit(0), (_col(millis) / 1000).cast("decimal(18,6)")
     )
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), whole).cast("date")

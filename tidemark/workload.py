@@ -301,7 +301,7 @@ def per_bucket(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def noon() -> Column:
-    return F.lit(dt.datetime(2024, 1, 15, 12, 0)).cast("timestamp_ntz")
+    return F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")
 
 
 @query
