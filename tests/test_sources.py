@@ -211,9 +211,6 @@ class Context:
     def __init__(self, master, named=None):
         self.master, self.named, self.folder = master, named, None
 
-    def getConf(self):
-        return {"spark.checkpoint.dir": self.named}
-
     def getCheckpointDir(self):
         return self.folder
 
@@ -224,13 +221,14 @@ class Context:
 class Session:
     def __init__(self, *given):
         self.sparkContext = Context(*given)
+        self.conf = {"spark.checkpoint.dir": self.sparkContext.named}
 
 
 def test_shared_folder_is_the_named_one():
-    named = Session("spark://cluster", "s3a://bucket/shared/")
-    assert shared.scratch_path(named, "x").startswith("s3a://bucket/shared/x-")
+    named = Session("spark://cluster", "hdfs:///shared/")
+    assert shared.scratch_path(named, "x").startswith("hdfs:///shared/x-")
     shared.ensure_checkpoint_dir(named)
-    assert named.sparkContext.folder == "s3a://bucket/shared"
+    assert named.sparkContext.folder == "hdfs:///shared"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_dir(Session("spark://cluster"))
     alone = Session("local[2]")

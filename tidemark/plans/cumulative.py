@@ -17,9 +17,11 @@ keys that need it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.cleaning import export_names
@@ -105,7 +107,8 @@ def leaf_facts(base: DataFrame, spec: MetricSpec) -> DataFrame:
     stage. Unused columns of a slot are null, so they cost next to nothing on the wire.
     """
     keys = [key_alias(i) for i in range(len(spec.distincts))]
-    sums = [sum_alias(i) for i in range(len(spec.sums))]
+    sums = part_names(spec)
+    base = base.select(PERIOD, *spec.dims, BUCKET, *keys, *amount_parts(spec))
     types = {f.name: f.dataType for f in base.schema.fields}
     # one null column per value column; a key appears in its own slot only
     sources = base.select(
@@ -138,15 +141,56 @@ def leaf_facts(base: DataFrame, spec: MetricSpec) -> DataFrame:
     )
 
 
-def _amounts(spec: MetricSpec) -> list:
-    return [F.coalesce(F.sum(sum_alias(i)), F.lit(0)).alias(out) for i, out in enumerate(spec.sums.values())]
+def exact_scale(spec: MetricSpec) -> int | None:
+    """Scale of a decimal amount that is added up as two whole numbers; None for others."""
+    found = re.fullmatch(r"decimal\((\d+),\s*(\d+)\)", spec.sum_type)
+    if found and int(found.group(1)) <= 18 and int(found.group(2)) <= 6:
+        return int(found.group(2))
+    return None
+
+
+def part_names(spec: MetricSpec) -> list[str]:
+    names = [sum_alias(i) for i in range(len(spec.sums))]
+    return names if exact_scale(spec) is None else [f"{n}_{part}" for n in names for part in ("units", "rest")]
+
+
+def amount_parts(spec: MetricSpec) -> list[Column]:
+    """Amounts as whole units and the rest in the last decimal place.
+
+    Both add up exactly as longs. Sums of decimals are wider than 18 digits, which costs
+    several times as much per row; units and rest hold sums of 10^18 units over 10^12 rows.
+    """
+    scale = exact_scale(spec)
+    if scale is None:
+        return [F.col(n) for n in part_names(spec)]
+    parts = []
+    for i in range(len(spec.sums)):
+        digits, one = (F.col(sum_alias(i)) * F.lit(10**scale)).cast("bigint"), F.lit(10**scale)
+        units = F.call_function("div", digits, one)
+        parts += [units.alias(f"{sum_alias(i)}_units"), (digits % one).alias(f"{sum_alias(i)}_rest")]
+    return parts
+
+
+def summed_amounts(spec: MetricSpec) -> list[Column]:
+    """Sums under their output names; exact ones as ``decimal(38, scale)``."""
+    scale = exact_scale(spec)
+    out = []
+    for i, name in enumerate(spec.sums.values()):
+        if scale is None:
+            total = F.sum(sum_alias(i))
+        else:
+            last_place = F.lit(Decimal(1).scaleb(-scale))
+            units, rest = F.sum(f"{sum_alias(i)}_units"), F.sum(f"{sum_alias(i)}_rest")
+            total = (units.cast(f"decimal(38,{scale})") + rest * last_place).cast(f"decimal(38,{scale})")
+        out.append(F.coalesce(total, F.lit(0)).alias(name))
+    return out
 
 
 def leaf_changes(leaf: DataFrame, spec: MetricSpec) -> DataFrame:
     """New keys and amounts per leaf cell and active bucket."""
     return leaf.groupBy(PERIOD, F.lit(0).alias(LEVEL), *spec.dims, BUCKET).agg(
         *[F.count_if(F.col(SLOT) == i + 1).alias(out) for i, out in enumerate(spec.distincts.values())],
-        *_amounts(spec),
+        *summed_amounts(spec),
     )
 
 
@@ -161,25 +205,31 @@ def tagged_facts(
     are resolved in ``cell_changes``, spread over the cluster.
     """
     keys = [key_alias(i) for i in range(len(spec.distincts))]
-    sums = [sum_alias(i) for i in range(len(spec.sums))]
+    sums = part_names(spec)
     if not keys:
         return leaf.withColumns({KIND: F.lit(ADDITIVE), LEVEL: F.lit(0)})
-    # amounts never meet a key, so they are spread by cell as well as by bucket
-    laned = leaf.withColumn(LANE, F.when(F.col(SLOT) == 0, F.xxhash64(*spec.dims)).otherwise(F.lit(0)))
-    identity = [PERIOD, SLOT, OWN_BUCKET, LANE, *keys]
-    cells = F.count(F.lit(1)).over(Window.partitionBy(*identity))
-    sized = laned.withColumn("_cells", cells).withColumn(
-        KIND,
-        F.when((F.col(SLOT) == 0) | (F.col("_cells") == 1), ADDITIVE)
-        .when(F.col("_cells") <= hot_key_cells, SHARED)
-        .otherwise(HOT),
+    # Rows of a key meet by a hash: sorting one number is the cheapest way to bring them
+    # together. A collision can only count a key's cells too high, and the kinds for more
+    # cells are right for any key. Amounts never meet a key and are spread by cell too.
+    own = [PERIOD, SLOT, OWN_BUCKET, *keys]
+    lane = F.xxhash64(*own, F.when(F.col(SLOT) == 0, F.xxhash64(*spec.dims)))
+    cells = F.count(F.lit(1)).over(Window.partitionBy(LANE))
+    sized = (
+        leaf.withColumn(LANE, lane)
+        .withColumn("_cells", cells)
+        .withColumn(
+            KIND,
+            F.when((F.col(SLOT) == 0) | (F.col("_cells") == 1), ADDITIVE)
+            .when(F.col("_cells") <= hot_key_cells, SHARED)
+            .otherwise(HOT),
+        )
     )
     codes = F.array(*[F.lit(level_code(spec.dims, kept)) for kept in levels])
     repeated = sized.withColumn(LEVEL, F.explode(F.when(F.col(KIND) == SHARED, codes).otherwise(F.array(F.lit(0)))))
     # the rows of a key are together already, so this needs no shuffle
     return (
         mask_levels(repeated, spec.dims)
-        .groupBy(*identity, KIND, LEVEL, *spec.dims)
+        .groupBy(LANE, *own, KIND, LEVEL, *spec.dims)
         .agg(F.min(BUCKET).alias(BUCKET), *[F.sum(s).alias(s) for s in sums])
     )
 
@@ -187,7 +237,7 @@ def tagged_facts(
 def cell_changes(facts: DataFrame, spec: MetricSpec, levels: Sequence[Sequence[str]]) -> DataFrame:
     """New keys and amounts per cell and active bucket, for all wanted levels."""
     keys = [key_alias(i) for i in range(len(spec.distincts))]
-    sums = [sum_alias(i) for i in range(len(spec.sums))]
+    sums = part_names(spec)
     news = [f"_new{i}" for i in range(len(keys))]
     hot = F.col(KIND) == HOT
     hot_key = ["_hot_slot", *[f"_hot{k}" for k in keys]] if keys else []
@@ -214,7 +264,7 @@ def cell_changes(facts: DataFrame, spec: MetricSpec, levels: Sequence[Sequence[s
         )
     )
     if not keys:
-        return joined.groupBy(PERIOD, LEVEL, *spec.dims, BUCKET).agg(*_amounts(spec))
+        return joined.groupBy(PERIOD, LEVEL, *spec.dims, BUCKET).agg(*summed_amounts(spec))
     once = {
         n: F.when(F.col("_hot_slot").isNull(), F.col(n)).otherwise((F.col("_hot_slot") == i + 1).cast("long"))
         for i, n in enumerate(news)
@@ -224,7 +274,7 @@ def cell_changes(facts: DataFrame, spec: MetricSpec, levels: Sequence[Sequence[s
         joined.withColumns(once)
         .repartition(PERIOD, LEVEL, *spec.dims)
         .groupBy(PERIOD, LEVEL, *spec.dims, BUCKET)
-        .agg(*[F.sum(n).alias(out) for n, out in zip(news, spec.distincts.values())], *_amounts(spec))
+        .agg(*[F.sum(n).alias(out) for n, out in zip(news, spec.distincts.values())], *summed_amounts(spec))
     )
 
 

@@ -15,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     either gets a temporary one, but only if it runs on a single machine, as in tests.
     """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not context.master.startswith("local"):
