@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,14 +93,6 @@ def param_keys(text: Column | str) -> Column:
     )
 
 
-def key_value(params: Column | str, keys: Column) -> Column:
-    """Value of the first key that has one."""
-    params = F.col(params) if isinstance(params, str) else params
-    return F.coalesce(
-        F.try_element_at(params, F.get(keys, F.lit(0))), F.try_element_at(params, F.get(keys, F.lit(1)))
-    )
-
-
 def predicates_hold(params: Column | str, predicates: Column | str) -> Column:
     """E5, structured form: all of ``array<struct<key, op, values>>`` hold, none is an
     unconditional yes. Comparing with ``<`` or ``>`` is numeric."""
@@ -167,42 +160,64 @@ def compile_rules(rules: DataFrame, max_rules: int = MAX_RULES) -> RuleSet:
             camera_fixed = r["camera_mode"]
         elif not camera_keys and len(r["camera_mode"]) > 2:
             camera_text = known_values.setdefault(r["camera_mode"], len(known_values))
+        keys = [r[f"{c}_keys"] for c in PARAM_COLUMNS] + [camera_keys]
         alternative = (
+            True,
             condition(r["event_id"], text) if "params" in text else None,
-            *[list(r[f"{c}_keys"]) for c in PARAM_COLUMNS],
+            *[name for k in keys for name in (*k, None, None)[:2]],
             camera_fixed,
-            camera_keys,
             camera_text,
             condition(r["event_id"], r["sharephone"]) if len(r["sharephone"]) > 2 else None,
         )
         groups.setdefault(tuple(r[c] for c in IDENTITY), []).append(alternative)
 
+    most = max(len(g) for g in groups.values())
     out = []
     for r in rows:
         icon = r["second_icon"]
+        group = groups[tuple(r[c] for c in IDENTITY)]
+        absent = (False, *[None] * (len(ALTERNATIVE) - 1))
         out.append(
             (
                 *[r[c] for c in ("rule_no", "event_id", *LEVELS, "record_type", "media_type", "deal_mode")],
                 *[r[c] for c in ("event_type", "vip_func_id", "material_id")],
                 icon if icon in (YES, NO) else None,
                 condition(r["event_id"], icon) if len(icon) > 2 else None,
-                groups[tuple(r[c] for c in IDENTITY)],
+                *[value for i in range(most) for value in (group[i] if i < len(group) else absent)],
             )
         )
     compiled.conditions = {number: key for key, number in known.items()}
     compiled.values = {number: text for text, number in known_values.items()}
-    compiled.alternatives = max(len(g) for g in groups.values())
-    compiled.frame = rules.sparkSession.createDataFrame(out, RULE_FRAME)
+    compiled.alternatives = most
+    flat = [f"_{name}{i} {kind}" for i in range(most) for name, kind in ALTERNATIVE.items()]
+    compiled.frame = rules.sparkSession.createDataFrame(out, ", ".join([RULE_FRAME, *flat]))
     return compiled
 
 
 RULE_FRAME = (
     "rule_no bigint, event_id string, level1 string, level2 string, level3 string, level4 string, level5 string,"
     " record_type string, media_type string, deal_mode string, event_type string, vip_func_id string,"
-    " params_key string, icon_fixed string, icon_condition int,"
-    " alternatives array<struct<condition:int, scm:array<string>, tab_id:array<string>, posi_id:array<string>,"
-    " material_id:array<string>, camera_fixed:string, camera_keys:array<string>, camera_text:int, share:int>>"
+    " params_key string, icon_fixed string, icon_condition int"
 )
+# One rule of an identity: up to two param names per value, and numbers of conditions.
+ALTERNATIVE = {
+    "present": "boolean",
+    "condition": "int",
+    **{f"{c}_{n}": "string" for c in (*PARAM_COLUMNS, "camera") for n in ("key", "other")},
+    "camera_fixed": "string",
+    "camera_text": "int",
+    "share": "int",
+}
+# What a rule says regardless of the event, by output name.
+FIXED = {
+    "main_func_name": "level1",
+    **{f"sub_func_level{i}_name": f"level{i}" for i in range(2, 6)},
+    "record_type": "record_type",
+    "media_type": "media_type",
+    "deal_mode": "deal_mode",
+    "event_type": "event_type",
+    "vip_func_id": "vip_func_id",
+}
 
 
 def held_conditions(compiled: RuleSet) -> Column:
@@ -234,61 +249,68 @@ def attribute(events: DataFrame, compiled: RuleSet, day: str | None = None) -> D
     them when one holds, and the first that holds and names a param supplies the value.
     """
     ready = events.filter(F.col("event_id").isin(*compiled.event_ids)).withColumn("_held", held_conditions(compiled))
+    order = range(compiled.alternatives)
+    flat = [f"_{name}{i}" for i in order for name in ALTERNATIVE]
+    small = compiled.frame.select(
+        "event_id",
+        "rule_no",
+        *[blank_to_null(c).alias(out) for out, c in FIXED.items()],
+        depth_of(LEVELS).alias("tool_level"),
+        module_of("level1").alias("model_p"),
+        "params_key",
+        "icon_fixed",
+        "icon_condition",
+        *flat,
+    )
+    carried = [c for c in events.columns if c not in small.columns or c == "event_id"]
     # the frame was built from at most MAX_RULES rows
-    rules = F.broadcast(compiled.frame.withColumnRenamed("event_type", "rule_event_type"))
-    joined = ready.join(rules, "event_id")
-
-    alternatives = [F.get("alternatives", F.lit(i)) for i in range(compiled.alternatives)]
+    joined = ready.select(*carried, "_held").join(F.broadcast(small), "event_id")
 
     def holds(number: Column) -> Column:
         return number.isNotNull() & F.array_contains("_held", number)
 
-    hits = [a.isNotNull() & (a["condition"].isNull() | holds(a["condition"])) for a in alternatives]
-    any_hit = hits[0]
-    for hit in hits[1:]:
-        any_hit = any_hit | hit
-    matched = joined.filter(any_hit)
+    def at(name: str, i: int) -> Column:
+        return F.col(f"_{name}{i}")
+
+    hits = {
+        f"_hit{i}": at("present", i) & (at("condition", i).isNull() | holds(at("condition", i))) for i in order
+    }
+    any_hit = reduce(lambda a, b: a | b, map(F.col, hits))
+    matched = joined.withColumns(hits).filter(any_hit)
 
     nothing = F.lit(None).cast("string")
 
+    def value(name: str, i: int) -> Column:
+        return F.coalesce(param_of(at(f"{name}_key", i)), param_of(at(f"{name}_other", i)))
+
+    def param_of(key: Column) -> Column:
+        return F.try_element_at(F.col("params"), key)
+
     def read(name: str) -> Column:
-        return first_of(
-            [(hit & (F.size(a[name]) > 0), key_value("params", a[name])) for hit, a in zip(hits, alternatives)],
-            nothing,
-        )
+        return first_of([(F.col(f"_hit{i}") & at(f"{name}_key", i).isNotNull(), value(name, i)) for i in order], nothing)
 
     camera = []
-    for a in alternatives:
-        camera.append((a["camera_fixed"].isNotNull(), a["camera_fixed"]))
-        camera.append((F.size(a["camera_keys"]) > 0, key_value("params", a["camera_keys"])))
+    for i in order:
+        camera.append((at("camera_fixed", i).isNotNull(), at("camera_fixed", i)))
+        camera.append((at("camera_key", i).isNotNull(), value("camera", i)))
         for number, text in compiled.values.items():
-            camera.append((a["camera_text"] == number, F.expr(f"({text})").cast("string")))
+            camera.append((at("camera_text", i) == number, F.expr(f"({text})").cast("string")))
     vertical = holds(F.col("icon_condition"))
     if day is not None:
         vertical = vertical & (F.col(day) >= F.lit(VERTICAL_SINCE))
-    names = {
-        "level1": "main_func_name",
-        **{f"level{i}": f"sub_func_level{i}_name" for i in range(2, 6)},
-        "record_type": "record_type",
-        "media_type": "media_type",
-        "deal_mode": "deal_mode",
-        "rule_event_type": "event_type",
-        "vip_func_id": "vip_func_id",
-    }
     return matched.select(
-        *[F.col(c) for c in events.columns if c not in names.values()],
+        *carried,
         "rule_no",
-        *[blank_to_null(c).alias(out) for c, out in names.items()],
-        first_of([(holds(a["share"]), F.lit(YES)) for a in alternatives], F.lit(NO)).alias("sharephone"),
+        *FIXED,
+        first_of([(holds(at("share", i)), F.lit(YES)) for i in order], F.lit(NO)).alias("sharephone"),
         F.coalesce("icon_fixed", F.when(vertical, YES).otherwise(NO)).alias("second_icon"),
         first_of(camera, nothing).alias("camera_mode"),
         cut_scm(read("scm")).alias("scm"),
         read("tab_id").alias("tab_id"),
         read("posi_id").alias("posi_id"),
         read("material_id").alias("material_id"),
-        depth_of(LEVELS).alias("tool_level"),
-        module_of("level1").alias("model_p"),
+        "tool_level",
+        "model_p",
         "params_key",
         F.lit(1).cast("bigint").alias("cnt"),
     )
-
