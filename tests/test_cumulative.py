@@ -233,3 +233,22 @@ def test_bad_ranges(spark):
     for options in ({"start": "25:00"}, {"start": "10:00", "end": "09:00"}, {"history": "all"}, {"levels": "most"}):
         with pytest.raises(ValueError):
             cumulative(rows, spec_of(["a"]), **options)
+
+
+def test_colliding_hashes_change_nothing(spark, monkeypatch):
+    """Keys are brought together by a hash; here all of them collide."""
+    rows = make_rows(9, n=200)
+    monkeypatch.setattr(F, "xxhash64", lambda *columns: F.lit(0).cast("bigint"))
+    report = cumulative(spark.createDataFrame(rows, ROWS), spec_of(["a", "b"]), start="05:00", end="06:00")
+    assert as_dict(report, ["a", "b"]) == brute_force(rows, ["a", "b"], 300, 360)
+
+
+@pytest.mark.parametrize("sum_type", ["decimal(18,2)", "decimal(12,0)", "decimal(30,8)", "double"])
+def test_negative_and_fractional_amounts(spark, sum_type):
+    values = [-1.25, 0.5, -0.01, 3.0]
+    rows = spark.createDataFrame(
+        [("x", None, None, "u", i, v, dt.datetime(2024, 1, 1, 0, i)) for i, v in enumerate(values)], ROWS
+    )
+    got = cumulative(rows, spec_of(["a"], sum_type=sum_type), start="00:00", end="00:00").collect()
+    exact = [Decimal(str(v)).quantize(Decimal(1), "ROUND_HALF_UP") if sum_type.endswith(",0)") else Decimal(str(v)) for v in values]
+    assert {float(r["cost"]) for r in got} == {float(sum(exact))}
