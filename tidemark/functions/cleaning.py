@@ -61,10 +61,7 @@ def dim_value(col: Column, rule: DimLabel) -> Column:
     """P10 for one column."""
     if rule.label is None:
         return col
-    missing = col.isNull()
-    if rule.blank_is_missing:
-        missing = missing | (col == F.lit(""))
-    return F.when(missing, F.lit(rule.label)).otherwise(col)
+    return F.coalesce(F.nullif(col, F.lit("")) if rule.blank_is_missing else col, F.lit(rule.label))
 
 
 def normalize_dims(

@@ -70,9 +70,7 @@ def period_end(start: Column | str, period: str = "day") -> Column:
 
 def at_time(day: Column | str, minute_of_day: int) -> Column:
     """The stamp ``minute_of_day`` minutes into the day."""
-    return _col(day).cast("timestamp_ntz") + F.make_dt_interval(
-        F.lit(0), F.lit(0), F.lit(minute_of_day), F.lit(0)
-    )
+    return _col(day).cast("timestamp_ntz") + step(minute_of_day)
 
 
 def spine_points(start: Column | str, end: Column | str, step_minutes: int = 10) -> Column:
@@ -84,7 +82,8 @@ def spine_points(start: Column | str, end: Column | str, step_minutes: int = 10)
 
 
 def step(minutes: int) -> Column:
-    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes), F.lit(0))
+    """An interval of so many minutes."""
+    return F.expr(f"INTERVAL '{minutes}' MINUTE")
 
 
 def minute_text(col: Column | str) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.cleaning import amount, dim_value, key_or_null, require_columns
 from tidemark.functions.minutes import at_time, floor_bucket, minute_of_day, parse_day, parse_minute, period_start
-from tidemark.spec import ALL_LABEL, Levels, MetricSpec, kept_sets
+from tidemark.spec import ALL_LABEL, Levels, MetricSpec, kept_sets, quote
 
 PERIOD, BUCKET, LEVEL = "period", "bucket", "level"
 
@@ -36,6 +36,11 @@ def day_column(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("date") if kind in ("date", "timestamp", "timestamp_ntz") else parse_day(name)
 
 
+def as_text(df: DataFrame, name: str) -> Column:
+    column = F.col(name)
+    return column if df.schema[name].dataType.typeName() == "string" else column.cast("string")
+
+
 def filter_day(df: DataFrame, column: str, days: Sequence[dt.date]) -> DataFrame:
     """Only the given days, written so that partitions or row groups are skipped."""
     kind = df.schema[column].dataType.typeName()
@@ -83,7 +88,7 @@ def prepare(
     stamped = df.select(
         stamp_column(df, spec.time_col).alias("_stamp"),
         *([day_column(df, spec.day_col).alias("_day")] if spec.day_col else []),
-        *[dim_value(F.col(d).cast("string"), spec.label_of(d)).alias(f"_d{i}") for i, d in enumerate(spec.dims)],
+        *[dim_value(as_text(df, d), spec.label_of(d)).alias(f"_d{i}") for i, d in enumerate(spec.dims)],
         *[key_or_null(df, k, spec).alias(f"_k{i}") for i, k in enumerate(spec.distincts)],
         *[amount(s, spec.sum_type).alias(f"_s{i}") for i, s in enumerate(spec.sums)],
     ).filter(F.col("_stamp").isNotNull())
@@ -177,13 +182,13 @@ def mask_levels(df: DataFrame, dims: Sequence[str], level: str = LEVEL) -> DataF
     ``level`` says which ones: identity never rests on a label, so a raw value equal to
     the "all" label stays apart.
     """
-    return df.withColumns({d: F.when(~rolled_up(dims, d, level), F.col(d)) for d in dims})
+    return df.withColumns({d: F.expr(f"if({rolled_up(dims, d, level)}, null, {quote(d)})") for d in dims})
 
 
-def rolled_up(dims: Sequence[str], dim: str, level: str = LEVEL) -> Column:
-    """Whether a row's level rolls up the dimension."""
+def rolled_up(dims: Sequence[str], dim: str, level: str = LEVEL) -> str:
+    """SQL test whether a row's level rolls up the dimension."""
     bit = 1 << (len(dims) - 1 - list(dims).index(dim))
-    return F.col(level).bitwiseAND(F.lit(bit)) != 0
+    return f"({level} & {bit}) != 0"
 
 
 def level_flag(dims: Sequence[str]) -> Column:
@@ -229,7 +234,7 @@ def cell_keys(base: DataFrame, spec: MetricSpec, levels: Levels = "cube") -> Dat
 
 def label_totals(df: DataFrame, dims: Sequence[str], label: str = ALL_LABEL, level: str = LEVEL) -> DataFrame:
     """Show the "all" label where a dimension is rolled up."""
-    shown = {d: F.when(rolled_up(dims, d, level), F.lit(label)).otherwise(F.col(d)) for d in dims}
+    shown = {d: F.when(F.expr(rolled_up(dims, d, level)), label).otherwise(F.col(d)) for d in dims}
     return df.withColumns(shown) if shown else df
 
 

@@ -16,12 +16,21 @@ BROADCAST_ROWS = 200_000
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the frame has at most ``max_rows`` rows; looks no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether the frame has at most ``max_rows`` rows.
+
+    Asks for one row beyond them: partitions are read a few at a time until there is one,
+    so a large frame is not scanned for it.
+    """
+    return not df.select(F.lit(1)).offset(max_rows).head(1)
 
 
 def join_lookup(
-    facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str, max_rows: int = BROADCAST_ROWS
+    facts: DataFrame,
+    lookup: DataFrame,
+    on: Sequence[str],
+    how: str,
+    max_rows: int = BROADCAST_ROWS,
+    distinct: bool = False,
 ) -> DataFrame:
     """Join a large frame with a lookup of unknown size.
 
@@ -29,9 +38,10 @@ def join_lookup(
     where adaptive execution splits a hot key's rows by the tasks that wrote them, which
     works for identical copies too. Both sides of that split are exact.
     """
-    if fits_broadcast(lookup, max_rows):
-        lookup = F.broadcast(lookup)
-    return facts.join(lookup, list(on), how)
+    small = fits_broadcast(lookup, max_rows)
+    if distinct:
+        lookup = lookup.distinct()
+    return facts.join(F.broadcast(lookup) if small else lookup, list(on), how)
 
 
 def grid(cells: DataFrame, opens: Column | str, closes: Column | str, step_minutes: int = 10) -> DataFrame:

@@ -61,8 +61,8 @@ def reference_check(child: DataFrame, key: str, parent: DataFrame, parent_key: s
     Child rows are counted per value first, so a hot value meets the join as one row.
     """
     used = child.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("row_count"))
-    known = parent.select(F.col(parent_key).alias(key)).distinct()
-    return join_lookup(used, known, [key], "left_anti")
+    known = parent.select(F.col(parent_key).alias(key))
+    return join_lookup(used, known, [key], "left_anti", distinct=True)
 
 
 def reconcile(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.minutes import step
 from tidemark.functions.text import strip_space
 from tidemark.operators.aggregates import BUCKET, PERIOD, first_seen, new_keys
-from tidemark.spec import MetricSpec
+from tidemark.spec import MetricSpec, quote
 
 
 def running_sum(df: DataFrame, cell: Sequence[str], columns: Sequence[str], order: str = BUCKET) -> DataFrame:
@@ -71,10 +71,12 @@ def running_spine(
             )
         ),
     )
-    quiet = F.col("_point") < F.col(order)
-    return filled.withColumns(
-        {c: F.when(quiet, F.lit(0).cast(totals.schema[c].dataType)).otherwise(F.col(c)) for c in columns}
-    ).select(*cell, F.col("_point").alias(order), *columns)
+    quiet = f"_point < {quote(order)}"
+    return filled.select(
+        *cell,
+        F.col("_point").alias(order),
+        *[F.expr(f"if({quiet}, 0, {quote(c)})").alias(c) for c in columns],
+    )
 
 
 def period_change(

@@ -38,7 +38,7 @@ from tidemark.operators.aggregates import (
 )
 from tidemark.operators.windows import running_spine
 from tidemark.sources.shared import ensure_checkpoint_dir
-from tidemark.spec import ALL_LABEL, Levels, MetricSpec, kept_sets, level_code
+from tidemark.spec import ALL_LABEL, Levels, MetricSpec, kept_sets, level_code, quote
 
 SLOT = "_slot"
 OWN_BUCKET = "_own_bucket"
@@ -108,35 +108,25 @@ def leaf_facts(base: DataFrame, spec: MetricSpec) -> DataFrame:
     """
     keys = [key_alias(i) for i in range(len(spec.distincts))]
     sums = part_names(spec)
-    base = base.select(PERIOD, *spec.dims, BUCKET, *keys, *amount_parts(spec))
-    types = {f.name: f.dataType for f in base.schema.fields}
-    # one null column per value column; a key appears in its own slot only
-    sources = base.select(
-        PERIOD,
-        *spec.dims,
-        F.col(BUCKET),
-        F.col(BUCKET).alias("_b_some"),
-        F.lit(None).cast(types[BUCKET]).alias("_b_none"),
-        *[c for k in keys for c in (F.col(k).alias(f"{k}_some"), F.lit(None).cast(types[k]).alias(f"{k}_none"))],
-        *[c for s in sums for c in (F.col(s).alias(f"{s}_some"), F.lit(None).cast(types[s]).alias(f"{s}_none"))],
-    )
+    dims = [quote(d) for d in spec.dims]
+    # each value column twice, as itself and as a null of its type; a slot uses one of them
+    given = {OWN_BUCKET: BUCKET, **{k: k for k in keys}, **amount_parts(spec)}
+    rows = base.selectExpr(PERIOD, *dims, BUCKET, *[f"{e} AS {n}_some" for n, e in given.items()])
+    sources = rows.selectExpr("*", *[f"if(false, {n}_some, null) AS {n}_none" for n in given])
     values = [OWN_BUCKET, *keys, *sums]
     slots = []
     for slot in range(len(keys) + 1):
-        inputs = ["_b_some" if slot == 0 else "_b_none"]
-        inputs += [f"{k}_some" if slot == i + 1 else f"{k}_none" for i, k in enumerate(keys)]
-        inputs += [f"{s}_some" if slot == 0 else f"{s}_none" for s in sums]
+        own = [OWN_BUCKET, *sums] if slot == 0 else [keys[slot - 1]]
+        inputs = [f"{v}_some" if v in own else f"{v}_none" for v in values]
         slots.append(f"({', '.join(inputs)}) AS `{slot}`")
     laid_out = base.sparkSession.sql(
         f"SELECT * FROM {{rows}} UNPIVOT INCLUDE NULLS (({', '.join(values)}) FOR {SLOT} IN ({', '.join(slots)}))",
         rows=sources,
-    ).withColumn(SLOT, F.col(SLOT).cast("int"))
-    counted = F.col(OWN_BUCKET).isNotNull()
-    for k in keys:
-        counted = counted | F.col(k).isNotNull()
+    )
+    counted = " OR ".join(f"{v} IS NOT NULL" for v in (OWN_BUCKET, *keys))
     return (
         laid_out.filter(counted)
-        .groupBy(PERIOD, *spec.dims, SLOT, OWN_BUCKET, *keys)
+        .groupBy(PERIOD, *spec.dims, F.expr(f"cast({SLOT} AS int) AS {SLOT}"), OWN_BUCKET, *keys)
         .agg(F.min(BUCKET).alias(BUCKET), *[F.sum(s).alias(s) for s in sums])
     )
 
@@ -154,7 +144,7 @@ def part_names(spec: MetricSpec) -> list[str]:
     return names if exact_scale(spec) is None else [f"{n}_{part}" for n in names for part in ("units", "rest")]
 
 
-def amount_parts(spec: MetricSpec) -> list[Column]:
+def amount_parts(spec: MetricSpec) -> dict[str, str]:
     """Amounts as whole units and the rest in the last decimal place.
 
     Both add up exactly as longs. Sums of decimals are wider than 18 digits, which costs
@@ -162,12 +152,12 @@ def amount_parts(spec: MetricSpec) -> list[Column]:
     """
     scale = exact_scale(spec)
     if scale is None:
-        return [F.col(n) for n in part_names(spec)]
-    parts = []
+        return {n: n for n in part_names(spec)}
+    parts = {}
     for i in range(len(spec.sums)):
-        digits, one = (F.col(sum_alias(i)) * F.lit(10**scale)).cast("bigint"), F.lit(10**scale)
-        units = F.call_function("div", digits, one)
-        parts += [units.alias(f"{sum_alias(i)}_units"), (digits % one).alias(f"{sum_alias(i)}_rest")]
+        digits = f"cast({sum_alias(i)} * {10**scale} AS bigint)"
+        parts[f"{sum_alias(i)}_units"] = f"{digits} div {10**scale}"
+        parts[f"{sum_alias(i)}_rest"] = f"{digits} % {10**scale}"
     return parts
 
 
@@ -176,20 +166,19 @@ def summed_amounts(spec: MetricSpec) -> list[Column]:
     scale = exact_scale(spec)
     out = []
     for i, name in enumerate(spec.sums.values()):
-        if scale is None:
-            total = F.sum(sum_alias(i))
-        else:
-            last_place = F.lit(Decimal(1).scaleb(-scale))
-            units, rest = F.sum(f"{sum_alias(i)}_units"), F.sum(f"{sum_alias(i)}_rest")
-            total = (units.cast(f"decimal(38,{scale})") + rest * last_place).cast(f"decimal(38,{scale})")
-        out.append(F.coalesce(total, F.lit(0)).alias(name))
+        total = f"sum({sum_alias(i)})"
+        if scale is not None:
+            kind, last_place = f"decimal(38,{scale})", f"{Decimal(1).scaleb(-scale):f}"
+            units, rest = f"sum({sum_alias(i)}_units)", f"sum({sum_alias(i)}_rest)"
+            total = f"cast(cast({units} AS {kind}) + {rest} * {last_place} AS {kind})"
+        out.append(F.expr(f"coalesce({total}, 0)").alias(name))
     return out
 
 
 def leaf_changes(leaf: DataFrame, spec: MetricSpec) -> DataFrame:
     """New keys and amounts per leaf cell and active bucket."""
     return leaf.groupBy(PERIOD, F.lit(0).alias(LEVEL), *spec.dims, BUCKET).agg(
-        *[F.count_if(F.col(SLOT) == i + 1).alias(out) for i, out in enumerate(spec.distincts.values())],
+        *[F.expr(f"count_if({SLOT} = {i + 1})").alias(out) for i, out in enumerate(spec.distincts.values())],
         *summed_amounts(spec),
     )
 
@@ -212,20 +201,15 @@ def tagged_facts(
     # together. A collision can only count a key's cells too high, and the kinds for more
     # cells are right for any key. Amounts never meet a key and are spread by cell too.
     own = [PERIOD, SLOT, OWN_BUCKET, *keys]
-    lane = F.xxhash64(*own, F.when(F.col(SLOT) == 0, F.xxhash64(*spec.dims)))
+    amounts_lane = F.when(F.col(SLOT) == 0, F.xxhash64(*spec.dims))
     cells = F.count(F.lit(1)).over(Window.partitionBy(LANE))
-    sized = (
-        leaf.withColumn(LANE, lane)
-        .withColumn("_cells", cells)
-        .withColumn(
-            KIND,
-            F.when((F.col(SLOT) == 0) | (F.col("_cells") == 1), ADDITIVE)
-            .when(F.col("_cells") <= hot_key_cells, SHARED)
-            .otherwise(HOT),
-        )
+    sized = leaf.withColumn(LANE, F.xxhash64(*own, amounts_lane)).withColumn("_cells", cells)
+    kind = (
+        f"CASE WHEN {SLOT} = 0 OR _cells = 1 THEN {ADDITIVE} WHEN _cells <= {hot_key_cells} THEN {SHARED} ELSE {HOT} END"
+    )
+    repeated = sized.selectExpr("*", f"{kind} AS {KIND}").selectExpr(
+        "*", f"explode(if({KIND} = {SHARED}, {level_codes(spec, levels)}, array(0))) AS {LEVEL}"
     )
-    codes = F.array(*[F.lit(level_code(spec.dims, kept)) for kept in levels])
-    repeated = sized.withColumn(LEVEL, F.explode(F.when(F.col(KIND) == SHARED, codes).otherwise(F.array(F.lit(0)))))
     # the rows of a key are together already, so this needs no shuffle
     return (
         mask_levels(repeated, spec.dims)
@@ -234,47 +218,42 @@ def tagged_facts(
     )
 
 
+def level_codes(spec: MetricSpec, levels: Sequence[Sequence[str]]) -> str:
+    return f"array({', '.join(str(level_code(spec.dims, kept)) for kept in levels)})"
+
+
 def cell_changes(facts: DataFrame, spec: MetricSpec, levels: Sequence[Sequence[str]]) -> DataFrame:
     """New keys and amounts per cell and active bucket, for all wanted levels."""
     keys = [key_alias(i) for i in range(len(spec.distincts))]
     sums = part_names(spec)
     news = [f"_new{i}" for i in range(len(keys))]
-    hot = F.col(KIND) == HOT
-    hot_key = ["_hot_slot", *[f"_hot{k}" for k in keys]] if keys else []
-    named = facts.withColumns(
-        {"_hot_slot": F.when(hot, F.col(SLOT)), **{f"_hot{k}": F.when(hot, F.col(k)) for k in keys}}
-    )
+    hot_key = ["_hot_slot", *[f"_hot{k}" for k in keys]]
+    named = facts.selectExpr("*", *[f"if({KIND} = {HOT}, {c}, null) AS {h}" for c, h in zip([SLOT, *keys], hot_key)])
     counted = named.groupBy(PERIOD, KIND, LEVEL, *spec.dims, BUCKET, *hot_key).agg(
-        *[F.count_if(F.col(SLOT) == i + 1).alias(n) for i, n in enumerate(news)],
+        *[F.expr(f"count_if({SLOT} = {i + 1}) AS {n}") for i, n in enumerate(news)],
         *[F.sum(s).alias(s) for s in sums],
     )
-    codes = F.array(*[F.lit(level_code(spec.dims, kept)) for kept in levels])
-    placed = counted.withColumn(
-        LEVEL, F.explode(F.when(F.col(KIND) == SHARED, F.array(F.col(LEVEL))).otherwise(codes))
-    )
+    again = f"explode(if({KIND} = {SHARED}, array({LEVEL}), {level_codes(spec, levels)}))"
+    placed = counted.withColumn(LEVEL, F.expr(again))
     # a hot key's rows of one cell meet here and leave its first bucket; others keep theirs
-    own = F.when(~hot, F.col(BUCKET)).alias(OWN_BUCKET)
     joined = (
         mask_levels(placed, spec.dims)
-        .groupBy(PERIOD, LEVEL, *spec.dims, own, *hot_key)
-        .agg(
-            F.min(BUCKET).alias(BUCKET),
-            *[F.sum(n).alias(n) for n in news],
-            *[F.sum(s).alias(s) for s in sums],
-        )
+        .groupBy(PERIOD, LEVEL, *spec.dims, F.expr(f"if({KIND} = {HOT}, null, {BUCKET}) AS {OWN_BUCKET}"), *hot_key)
+        .agg(F.min(BUCKET).alias(BUCKET), *[F.sum(v).alias(v) for v in (*news, *sums)])
     )
     if not keys:
         return joined.groupBy(PERIOD, LEVEL, *spec.dims, BUCKET).agg(*summed_amounts(spec))
-    once = {
-        n: F.when(F.col("_hot_slot").isNull(), F.col(n)).otherwise((F.col("_hot_slot") == i + 1).cast("long"))
-        for i, n in enumerate(news)
-    }
     # few rows per cell are left: one shuffle serves this step and the running totals
     return (
-        joined.withColumns(once)
-        .repartition(PERIOD, LEVEL, *spec.dims)
+        joined.repartition(PERIOD, LEVEL, *spec.dims)
         .groupBy(PERIOD, LEVEL, *spec.dims, BUCKET)
-        .agg(*[F.sum(n).alias(out) for n, out in zip(news, spec.distincts.values())], *summed_amounts(spec))
+        .agg(
+            *[
+                F.expr(f"sum(if(_hot_slot IS NULL, {n}, cast(_hot_slot = {i + 1} AS bigint)))").alias(out)
+                for i, (n, out) in enumerate(zip(news, spec.distincts.values()))
+            ],
+            *summed_amounts(spec),
+        )
     )
 
 

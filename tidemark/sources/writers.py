@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.functions.minutes import as_date
+from tidemark.spec import quote
 
 # Defaults of the sink.
 FILES_PER_WRITE = 16
@@ -172,10 +173,6 @@ def insert_overwrite_day(df: DataFrame, table: str, day: dt.date | str | int) ->
     spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION (date_p = {number}) SELECT * FROM {{rows}}", rows=rows)
 
 
-def quote(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def write_jdbc_day(
     df: DataFrame,
     url: str,

@@ -87,6 +87,11 @@ class MetricSpec:
         return self.dim_labels.get(dim, DimLabel())
 
 
+def quote(name: str) -> str:
+    """A column name as it stands in an SQL expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 Levels = str | Iterable[Sequence[str]]
 
 
