@@ -173,14 +173,19 @@ def compile_rules(rules: DataFrame, max_rules: int = MAX_RULES) -> RuleSet:
 
     most = max(len(g) for g in groups.values())
     out = []
+    numbers: dict[tuple, int] = {}
     for r in rows:
         icon = r["second_icon"]
+        said = tuple(r[c] for c in (*FIXED.values(), "material_id"))
+        first, number = said not in numbers, numbers.setdefault(said, len(numbers))
         group = groups[tuple(r[c] for c in IDENTITY)]
         absent = (False, *[None] * (len(ALTERNATIVE) - 1))
         out.append(
             (
                 *[r[c] for c in ("rule_no", "event_id", *LEVELS, "record_type", "media_type", "deal_mode")],
                 *[r[c] for c in ("event_type", "vip_func_id", "material_id")],
+                number,
+                first,
                 icon if icon in (YES, NO) else None,
                 condition(r["event_id"], icon) if len(icon) > 2 else None,
                 *[value for i in range(most) for value in (group[i] if i < len(group) else absent)],
@@ -197,7 +202,7 @@ def compile_rules(rules: DataFrame, max_rules: int = MAX_RULES) -> RuleSet:
 RULE_FRAME = (
     "rule_no bigint, event_id string, level1 string, level2 string, level3 string, level4 string, level5 string,"
     " record_type string, media_type string, deal_mode string, event_type string, vip_func_id string,"
-    " params_key string, icon_fixed string, icon_condition int"
+    " params_key string, fixed_no int, fixed_first boolean, icon_fixed string, icon_condition int"
 )
 # One rule of an identity: up to two param names per value, and numbers of conditions.
 ALTERNATIVE = {
@@ -220,6 +225,20 @@ FIXED = {
 }
 
 
+def fixed_columns() -> list[Column]:
+    return [
+        *[blank_to_null(c).alias(out) for out, c in FIXED.items()],
+        depth_of(LEVELS).alias("tool_level"),
+        module_of("level1").alias("model_p"),
+        F.col("params_key"),
+    ]
+
+
+def fixed_attributes(compiled: RuleSet) -> DataFrame:
+    """What rules say regardless of the event, one row per ``fixed_no``; at most one per rule."""
+    return compiled.frame.filter("fixed_first").select("fixed_no", *fixed_columns())
+
+
 def held_conditions(compiled: RuleSet) -> Column:
     """Numbers of the conditions that hold for an event; only its own kind's are tried."""
     by_event: dict[str, list[Column]] = {}
@@ -252,15 +271,7 @@ def attribute(events: DataFrame, compiled: RuleSet, day: str | None = None) -> D
     order = range(compiled.alternatives)
     flat = [f"_{name}{i}" for i in order for name in ALTERNATIVE]
     small = compiled.frame.select(
-        "event_id",
-        "rule_no",
-        *[blank_to_null(c).alias(out) for out, c in FIXED.items()],
-        depth_of(LEVELS).alias("tool_level"),
-        module_of("level1").alias("model_p"),
-        "params_key",
-        "icon_fixed",
-        "icon_condition",
-        *flat,
+        "event_id", "rule_no", "fixed_no", *fixed_columns(), "icon_fixed", "icon_condition", *flat
     )
     carried = [c for c in events.columns if c not in small.columns or c == "event_id"]
     # the frame was built from at most MAX_RULES rows
@@ -301,6 +312,7 @@ def attribute(events: DataFrame, compiled: RuleSet, day: str | None = None) -> D
     return matched.select(
         *carried,
         "rule_no",
+        "fixed_no",
         *FIXED,
         first_of([(holds(at("share", i)), F.lit(YES)) for i in order], F.lit(NO)).alias("sharephone"),
         F.coalesce("icon_fixed", F.when(vertical, YES).otherwise(NO)).alias("second_icon"),

@@ -10,27 +10,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.params import DEFAULT_ALIASES, Alias, alias_event, explode_ids, first_number, gate_passes
 from tidemark.operators.aggregates import fact_rollup
 from tidemark.operators.joins import exists_flag
-from tidemark.operators.rules import RuleSet, attribute
-
-# What the rules add to an event, in output order.
-RULE_ATTRIBUTES = (
-    "main_func_name",
-    "sub_func_level2_name",
-    "sub_func_level3_name",
-    "sub_func_level4_name",
-    "sub_func_level5_name",
-    "record_type",
-    "media_type",
-    "sharephone",
-    "second_icon",
-    "deal_mode",
-    "event_type",
-    "camera_mode",
-    "scm",
-    "tab_id",
-    "posi_id",
-    "tool_level",
-)
+from tidemark.operators.rules import RuleSet, attribute, fixed_attributes
+
+# What a rule reads from an event; all else it says is kept as one number until the end.
+READ_ATTRIBUTES = ("sharephone", "second_icon", "camera_mode", "scm", "tab_id", "posi_id")
 
 
 def attributed_events(
@@ -50,6 +33,17 @@ def attributed_events(
     return attribute(named.filter(gate_passes("event_id", "params", values=gate_values)), rules, day)
 
 
+def summed_facts(facts: DataFrame, rules: RuleSet, carry: Sequence[str]) -> DataFrame:
+    """Facts added up over all attributes.
+
+    Levels, types and the like follow from the rule, so the grouping carries their number
+    in place of some ten texts per row; they are joined back from the small rule frame.
+    """
+    attributes = [*carry, "event_id", "fixed_no", *READ_ATTRIBUTES]
+    summed = fact_rollup(facts.select(*attributes, "cnt"), attributes)
+    return summed.join(F.broadcast(fixed_attributes(rules)), "fixed_no").drop("fixed_no")
+
+
 def behaviour_detail(
     events: DataFrame,
     rules: RuleSet,
@@ -64,9 +58,7 @@ def behaviour_detail(
     Facts are added up before the flag is joined, so copies of one record are one row by
     the time they meet the lookup.
     """
-    facts = attributed_events(events, rules, **options)
-    attributes = [*carry, "event_id", *RULE_ATTRIBUTES, "vip_func_id", "params_key", "model_p"]
-    summed = fact_rollup(facts.select(*attributes, "cnt"), attributes)
+    summed = summed_facts(attributed_events(events, rules, **options), rules, carry)
     return exists_flag(summed, new_ids, id_column, "is_new_user").drop("params_key")
 
 
@@ -87,8 +79,7 @@ def material_detail(
     """
     facts = explode_ids(attributed_events(events, rules, **options), "material_id", "material_id_new")
     numbered = facts.withColumn("_number", first_number("material_id_new")).filter(F.col("_number") > 0)
-    attributes = [*carry, "event_id", *RULE_ATTRIBUTES, "material_id_new", "_number", "params_key", "model_p"]
-    summed = fact_rollup(numbered.select(*attributes, "cnt"), attributes)
+    summed = summed_facts(numbered, rules, [*carry, "material_id_new", "_number"])
     flagged = exists_flag(summed, paid_materials, "_number", "is_vip_material", lookup_key="material_id")
-    return exists_flag(flagged, new_ids, id_column, "is_new_user").drop("_number")
+    return exists_flag(flagged, new_ids, id_column, "is_new_user").drop("_number", "vip_func_id")
 

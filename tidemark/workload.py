@@ -559,7 +559,7 @@ def ready_rules(spark: SparkSession, material: bool = False) -> rules.RuleSet:
 
 def new_users(spark: SparkSession, folder: str) -> DataFrame:
     """Users with a large value stand for the day's new ids."""
-    return table(spark, folder, "events").filter(F.col("value") > 100).select(F.col("user_id").alias("gid"))
+    return table(spark, folder, "events").filter(F.col("value") > 250).select(F.col("user_id").alias("gid"))
 
 
 def _attributed(spark: SparkSession, folder: str) -> DataFrame:
@@ -663,7 +663,7 @@ def behaviour_facts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def material_facts(spark: SparkSession, folder: str) -> DataFrame:
-    paid = table(spark, folder, "events").filter(F.col("value") > 60).select(F.col("user_id").alias("material_id"))
+    paid = table(spark, folder, "events").filter(F.col("value") > 200).select(F.col("user_id").alias("material_id"))
     detail = material_detail(
         event_log(spark, folder),
         ready_rules(spark, material=True),

@@ -328,7 +328,7 @@ SQL["area_of"] = (
 SQL["first_number"] = f"WITH {EVENTS} SELECT event_id, CAST(k AS BIGINT) AS number FROM e WHERE k % 3 < 2 AND k > 0"
 SQL["explode_ids"] = f"""WITH {LOG} SELECT record, kt || '.5' AS id FROM log
   UNION ALL SELECT record, CAST(gid AS VARCHAR) || '&1' FROM log UNION ALL SELECT record, '0' FROM log"""
-NEW = "CASE WHEN {0} IN (SELECT user_id FROM events WHERE value > 100) THEN 1 ELSE 0 END AS is_new_user"
+NEW = "CASE WHEN {0} IN (SELECT user_id FROM events WHERE value > 250) THEN 1 ELSE 0 END AS is_new_user"
 SQL["exists_flag"] = f"SELECT event_id AS record, user_id AS gid, {NEW.format('user_id')} FROM events"
 SQL["behaviour_facts"] = facts_sql(f"""SELECT gid, date_p, event_id, main_func_name, deal_mode, scm, tab_id, second_icon,
   model_p, tool_level, {NEW.format('gid')}, cnt FROM (
@@ -345,7 +345,7 @@ SQL["material_facts"] = f"""WITH {LOG}, facts AS (
  ids AS (SELECT gid, date_p, event_id, main_func_name, kt || '.5' AS material_id_new, k AS number FROM facts
    UNION ALL SELECT gid, date_p, event_id, main_func_name, CAST(gid AS VARCHAR) || '&1', gid FROM facts)
 SELECT gid, date_p, event_id, main_func_name, material_id_new,
-  max(CASE WHEN number IN (SELECT user_id FROM events WHERE value > 60) THEN 1 ELSE 0 END) AS is_vip_material,
+  max(CASE WHEN number IN (SELECT user_id FROM events WHERE value > 200) THEN 1 ELSE 0 END) AS is_vip_material,
   {NEW.format('gid')}, count(*) AS cnt
 FROM ids WHERE number > 0 GROUP BY gid, date_p, event_id, main_func_name, material_id_new"""
 
