@@ -200,3 +200,13 @@ def test_facts_add_up_copies(spark):
     assert sorted((r.gid, r.cnt, r.is_new_user) for r in behaviour.collect()) == [(1, 3, 1), (2, 1, 0)]
     material = material_detail(events, rules.compile_rules(rules.rules_for(accepted, True)), new, paid, carry=["gid"])
     assert sorted((r.material_id_new, r.cnt, r.is_vip_material) for r in material.collect()) == [("5.1", 3, 0), ("6", 3, 1)]
+
+
+def test_structured_conditions_join_text_conditions(spark):
+    given = table(spark, {"level1": "aa", "event_id": "tap", "filter_condition": "params['x'] = '1'"}, {"level1": "bb", "event_id": "tap"})
+    listed = F.array(F.struct(F.lit("y").alias("key"), F.lit("=").alias("op"), F.array(F.lit("2")).alias("values")))
+    both = given.withColumn("predicates", F.when(F.col("rule_no") == 0, listed).cast(rules.PREDICATES))
+    accepted, _ = rules.clean_rules(both)
+    events = log(spark, (1, "tap", {"x": "1", "y": "2"}, DAY), (2, "tap", {"x": "1"}, DAY), (3, "tap", {"y": "2"}, DAY))
+    found = rules.attribute(events, rules.compile_rules(accepted)).collect()
+    assert sorted((r.record, r.rule_no) for r in found) == [(1, 0), (1, 1), (2, 1), (3, 1)]

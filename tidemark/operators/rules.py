@@ -127,6 +127,12 @@ class RuleSet:
     values: dict[int, str] = field(default_factory=dict)
     alternatives: int = 1
     event_ids: tuple[str, ...] = ()
+    structured: bool = False
+
+    @property
+    def fields(self) -> dict[str, str]:
+        """Columns of one alternative."""
+        return {**ALTERNATIVE, "predicates": PREDICATES} if self.structured else ALTERNATIVE
 
 
 def compile_rules(rules: DataFrame, max_rules: int = MAX_RULES) -> RuleSet:
@@ -134,10 +140,15 @@ def compile_rules(rules: DataFrame, max_rules: int = MAX_RULES) -> RuleSet:
 
     Condition texts are SQL that only trusted configuration may supply; they become
     columns of the plan, which is why this one small table is read on the driver. Its
-    size is checked first.
+    size is checked first. An optional column ``predicates`` holds structured conditions
+    (see :func:`predicates_hold`), which stay data and are evaluated for all rules alike.
     """
+    structured = "predicates" in rules.columns
     keyed = rules.select(
-        "rule_no", *RULE_COLUMNS, *[param_keys(c).alias(f"{c}_keys") for c in (*PARAM_COLUMNS, "camera_mode")]
+        "rule_no",
+        *RULE_COLUMNS,
+        *[param_keys(c).alias(f"{c}_keys") for c in (*PARAM_COLUMNS, "camera_mode")],
+        *(["predicates"] if structured else []),
     )
     rows = keyed.limit(max_rules + 1).collect()
     if len(rows) > max_rules:
@@ -145,7 +156,7 @@ def compile_rules(rules: DataFrame, max_rules: int = MAX_RULES) -> RuleSet:
     if not rows:
         raise ValueError("no usable rule")
     rows.sort(key=lambda r: r["rule_no"])
-    compiled = RuleSet(frame=rules, event_ids=tuple(sorted({r["event_id"] for r in rows})))
+    compiled = RuleSet(frame=rules, event_ids=tuple(sorted({r["event_id"] for r in rows})), structured=structured)
     known: dict[tuple[str, str], int] = {}
     known_values: dict[str, int] = {}
 
@@ -168,6 +179,7 @@ def compile_rules(rules: DataFrame, max_rules: int = MAX_RULES) -> RuleSet:
             camera_fixed,
             camera_text,
             condition(r["event_id"], r["sharephone"]) if len(r["sharephone"]) > 2 else None,
+            *([r["predicates"]] if structured else []),
         )
         groups.setdefault(tuple(r[c] for c in IDENTITY), []).append(alternative)
 
@@ -179,7 +191,7 @@ def compile_rules(rules: DataFrame, max_rules: int = MAX_RULES) -> RuleSet:
         said = tuple(r[c] for c in (*FIXED.values(), "material_id"))
         first, number = said not in numbers, numbers.setdefault(said, len(numbers))
         group = groups[tuple(r[c] for c in IDENTITY)]
-        absent = (False, *[None] * (len(ALTERNATIVE) - 1))
+        absent = (False, *[None] * (len(compiled.fields) - 1))
         out.append(
             (
                 *[r[c] for c in ("rule_no", "event_id", *LEVELS, "record_type", "media_type", "deal_mode")],
@@ -194,7 +206,7 @@ def compile_rules(rules: DataFrame, max_rules: int = MAX_RULES) -> RuleSet:
     compiled.conditions = {number: key for key, number in known.items()}
     compiled.values = {number: text for text, number in known_values.items()}
     compiled.alternatives = most
-    flat = [f"_{name}{i} {kind}" for i in range(most) for name, kind in ALTERNATIVE.items()]
+    flat = [f"_{name}{i} {kind}" for i in range(most) for name, kind in compiled.fields.items()]
     compiled.frame = rules.sparkSession.createDataFrame(out, ", ".join([RULE_FRAME, *flat]))
     return compiled
 
@@ -213,6 +225,7 @@ ALTERNATIVE = {
     "camera_text": "int",
     "share": "int",
 }
+PREDICATES = "array<struct<key:string,op:string,values:array<string>>>"
 # What a rule says regardless of the event, by output name.
 FIXED = {
     "main_func_name": "level1",
@@ -269,7 +282,7 @@ def attribute(events: DataFrame, compiled: RuleSet, day: str | None = None) -> D
     """
     ready = events.filter(F.col("event_id").isin(*compiled.event_ids)).withColumn("_held", held_conditions(compiled))
     order = range(compiled.alternatives)
-    flat = [f"_{name}{i}" for i in order for name in ALTERNATIVE]
+    flat = [f"_{name}{i}" for i in order for name in compiled.fields]
     small = compiled.frame.select(
         "event_id", "rule_no", "fixed_no", *fixed_columns(), "icon_fixed", "icon_condition", *flat
     )
@@ -286,6 +299,8 @@ def attribute(events: DataFrame, compiled: RuleSet, day: str | None = None) -> D
     hits = {
         f"_hit{i}": at("present", i) & (at("condition", i).isNull() | holds(at("condition", i))) for i in order
     }
+    if compiled.structured:
+        hits = {n: hit & predicates_hold("params", at("predicates", i)) for i, (n, hit) in enumerate(hits.items())}
     any_hit = reduce(lambda a, b: a | b, map(F.col, hits))
     matched = joined.withColumns(hits).filter(any_hit)
 

@@ -609,6 +609,21 @@ def mode_flags(spark: SparkSession, folder: str) -> DataFrame:
     return _attributed(spark, folder).select("record", "rule_no", "camera_mode", "sharephone", "second_icon")
 
 
+@query
+def structured_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules whose conditions are data: several rules per event, no text to trust."""
+    conditions = [[("k", ">=", ["20"]), ("tab", "in", ["t0", "t2"])], [("k", "not in", ["1", "2"])], None]
+    given = [("click", 0), ("view", 0), ("click", 1), ("view", 2), ("error", 1)]
+    rows = [
+        (i, *[{**BLANK_RULE, "event_id": e, "level1": f"rule{i}"}[c] for c in rules.RULE_COLUMNS], conditions[c])
+        for i, (e, c) in enumerate(given)
+    ]
+    schema = ", ".join(["rule_no bigint", *[f"{c} string" for c in rules.RULE_COLUMNS], f"predicates {rules.PREDICATES}"])
+    accepted, _ = rules.clean_rules(spark.createDataFrame(rows, schema))
+    log = event_log(spark, folder).select("record", "event_id", "params")
+    return rules.attribute(log, rules.compile_rules(accepted)).select("record", "rule_no")
+
+
 @query
 def rule_levels(spark: SparkSession, folder: str) -> DataFrame:
     return _attributed(spark, folder).select(

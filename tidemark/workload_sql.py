@@ -319,6 +319,11 @@ SQL["fingerprint"] = """SELECT event_id,
 SQL["attribute"] = facts_sql("SELECT record, event_id, rule_no, 1 AS cnt FROM facts")
 SQL["extract_attrs"] = facts_sql("SELECT record, rule_no, scm, tab_id, posi_id, material_id FROM facts")
 SQL["mode_flags"] = facts_sql("SELECT record, rule_no, camera_mode, sharephone, second_icon FROM facts")
+STRUCTURED = ("k >= 20 AND k % 3 <> 1", "k NOT IN (1, 2)", "TRUE")
+SQL["structured_rules"] = f"WITH {EVENTS} " + " UNION ALL ".join(
+    f"SELECT event_id AS record, {number} AS rule_no FROM e WHERE event_type = '{kind}' AND {STRUCTURED[c]}"
+    for number, (kind, c) in enumerate([("click", 0), ("view", 0), ("click", 1), ("view", 2), ("error", 1)])
+)
 SQL["rule_levels"] = facts_sql(
     "SELECT record, rule_no, main_func_name, sub_func_level2_name, sub_func_level3_name, tool_level, model_p FROM facts"
 )
