@@ -172,6 +172,20 @@ def test_checkpoint_changes_nothing(spark):
     assert plain == sorted(map(str, cumulative(rows, spec, start="05:00", end="05:30", checkpoint=True).collect()))
 
 
+@pytest.mark.parametrize("hot_key_cells", [1, 3])
+def test_hot_keys_known_from_the_checkpoint(spark, hot_key_cells):
+    rows = make_rows(8)
+    report = cumulative(
+        spark.createDataFrame(rows, ROWS),
+        spec_of(["a", "b"]),
+        start="02:00",
+        end="04:00",
+        checkpoint=True,
+        hot_key_cells=hot_key_cells,
+    )
+    assert as_dict(report, ["a", "b"]) == brute_force(rows, ["a", "b"], 120, 240)
+
+
 def test_large_sums_do_not_overflow(spark):
     rows = spark.createDataFrame(
         [("x", None, None, "u1", i, 999_999_999_999.0, dt.datetime(2024, 1, 1)) for i in range(50)], ROWS

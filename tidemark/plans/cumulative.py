@@ -36,6 +36,7 @@ from tidemark.operators.aggregates import (
     prepare,
     sum_alias,
 )
+from tidemark.operators.joins import join_lookup
 from tidemark.operators.windows import running_spine
 from tidemark.sources.shared import ensure_checkpoint_dir
 from tidemark.spec import ALL_LABEL, Levels, MetricSpec, kept_sets, level_code, quote
@@ -68,7 +69,8 @@ def cumulative(
     ``start`` and ``end`` are times of day (``"10:00"``), ``days`` limits the days read,
     ``history`` says what happens to rows before ``start``. ``checkpoint=True`` writes the
     reduced rows to the checkpoint folder, so that a lost executor never causes the detail
-    rows to be read again; it runs that first step at once.
+    rows to be read again; it runs that first step at once. Hot keys are then known before
+    any rows of a key are brought together, so no task sees all leaf cells of one.
     """
     chosen_days = [as_date(d) for d in days] if days else None
     base = prepare(df, spec, start=start, end=end, history=history, days=chosen_days)
@@ -83,7 +85,8 @@ def cumulative(
     if wanted == [tuple(spec.dims)]:
         changes = leaf_changes(leaf, spec)
     else:
-        changes = cell_changes(tagged_facts(leaf, spec, wanted, hot_key_cells), spec, wanted)
+        hot = hot_keys(leaf, spec, hot_key_cells) if checkpoint and spec.distincts else None
+        changes = cell_changes(tagged_facts(leaf, spec, wanted, hot_key_cells, hot), spec, wanted)
     if chosen_days and not spec.dims:
         changes = with_empty_days(changes, spec, chosen_days, first)
     report = running_spine(
@@ -183,8 +186,23 @@ def leaf_changes(leaf: DataFrame, spec: MetricSpec) -> DataFrame:
     )
 
 
+def key_identity(spec: MetricSpec) -> list[str]:
+    return [PERIOD, SLOT, OWN_BUCKET, *[key_alias(i) for i in range(len(spec.distincts))]]
+
+
+def hot_keys(leaf: DataFrame, spec: MetricSpec, hot_key_cells: int) -> DataFrame:
+    """Hashes of the keys in more leaf cells than that; counted with partial sums. A
+    colliding key may be among them, and is then handled as a hot one, which is right too."""
+    counts = leaf.filter(F.col(SLOT) > 0).groupBy(F.xxhash64(*key_identity(spec)).alias("_own")).count()
+    return counts.filter(F.col("count") > hot_key_cells).select("_own", F.lit(True).alias("_hot"))
+
+
 def tagged_facts(
-    leaf: DataFrame, spec: MetricSpec, levels: Sequence[Sequence[str]], hot_key_cells: int = HOT_KEY_CELLS
+    leaf: DataFrame,
+    spec: MetricSpec,
+    levels: Sequence[Sequence[str]],
+    hot_key_cells: int = HOT_KEY_CELLS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Leaf facts with their kind.
 
@@ -200,12 +218,18 @@ def tagged_facts(
     # Rows of a key meet by a hash: sorting one number is the cheapest way to bring them
     # together. A collision can only count a key's cells too high, and the kinds for more
     # cells are right for any key. Amounts never meet a key and are spread by cell too.
-    own = [PERIOD, SLOT, OWN_BUCKET, *keys]
-    amounts_lane = F.when(F.col(SLOT) == 0, F.xxhash64(*spec.dims))
+    own = key_identity(spec)
+    if hot is None:
+        marked = leaf.withColumn("_hot", F.lit(False))
+    else:
+        hashed = leaf.withColumn("_own", F.xxhash64(*own))
+        marked = join_lookup(hashed, hot, ["_own"], "left").fillna(False, ["_hot"])
+    spread = F.when(F.expr(f"{SLOT} = 0 OR _hot"), F.xxhash64(*spec.dims))
     cells = F.count(F.lit(1)).over(Window.partitionBy(LANE))
-    sized = leaf.withColumn(LANE, F.xxhash64(*own, amounts_lane)).withColumn("_cells", cells)
+    sized = marked.withColumn(LANE, F.xxhash64(*own, spread)).withColumn("_cells", cells)
     kind = (
-        f"CASE WHEN {SLOT} = 0 OR _cells = 1 THEN {ADDITIVE} WHEN _cells <= {hot_key_cells} THEN {SHARED} ELSE {HOT} END"
+        f"CASE WHEN {SLOT} = 0 THEN {ADDITIVE} WHEN _hot OR _cells > {hot_key_cells} THEN {HOT}"
+        f" WHEN _cells = 1 THEN {ADDITIVE} ELSE {SHARED} END"
     )
     repeated = sized.selectExpr("*", f"{kind} AS {KIND}").selectExpr(
         "*", f"explode(if({KIND} = {SHARED}, {level_codes(spec, levels)}, array(0))) AS {LEVEL}"

@@ -102,7 +102,7 @@ def cum_cube_hot_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def cum_cube_checkpoint(spark: SparkSession, folder: str) -> DataFrame:
-    return plain(cumulative(events(spark, folder), SPEC, checkpoint=True), "amount")
+    return plain(cumulative(events(spark, folder), SPEC, checkpoint=True, hot_key_cells=2), "amount")
 
 
 @query
