@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.shared import scratch_path
@@ -41,3 +44,37 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the executors' Python import this library, whatever folder they start in.
+
+    The driver's own copy is zipped once per application and sent by Spark.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    name = Path(tempfile.mkdtemp(prefix="tidemark-ship-")) / root.name
+    context.addPyFile(shutil.make_archive(str(name), "zip", root.parent, root.name))
+    context._tidemark_shipped = True
+
+
+#: Rows of a few numbers that a broadcast may have: about ten megabytes.
+BROADCAST = 200_000
+
+
+def measured(table: DataFrame, limit: int = BROADCAST) -> DataFrame:
+    """A stored ``table`` of narrow rows, marked for broadcast if it was counted to be small.
+
+    Beyond the limit the join shuffles both sides; the results are the same.
+    """
+    return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table
+
+
+def document_key() -> tuple[Column, Column]:
+    """(k, x): what names a document. Null ids come last; x tells texts of one id apart.
+
+    Rows that repeat both are one document.
+    """
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("k"), F.hash("text").alias("x")
