@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words, lower-cased. A line is removed if an earlier line, in the
+A line is the set of its words. A line is removed if an earlier line, in the
 order of (doc_id, line number), has a Jaccard likeness of at least ``percent`` / 100 with it.
 
 1. Rarity: words are counted over all texts in ``BUCKETS`` hashed counters, a fixed size. The
@@ -9,7 +9,10 @@ order of (doc_id, line number), has a Jaccard likeness of at least ``percent`` /
 3. Prefix filter: two sets that are alike share one of their first
    n - ceil(t n) + 1 words. Only those are posted, and only words that two classes post.
    Sets too small to be alike without being equal are not posted.
-4. Length and position filters leave pairs that can still reach the overlap asked for.
+4. Length and position filters leave pairs that can still reach the overlap asked for. A
+   64-bit map of each prefix bounds the words that two prefixes share, and with that the
+   overlap: words behind the earlier prefix end are at most as many as one set has there. A
+   64-bit map of the whole set bounds the prefix words that the other set can miss.
 5. First pass: under each posted word every class is compared with one leader only, of a
    smallest doc_id. A group of near copies is settled by this, in time linear in its size.
 6. Second pass: the classes that are not settled are compared with all others under their
@@ -26,63 +29,63 @@ and text are one document and keep the same lines. Of equal lines the earliest s
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import SPACES, document_key, let, measured, stored
 
-PERCENT, BUCKETS = 80, 1 << 16
+PERCENT, BUCKETS = 80, 1 << 20
 
 
 def _hashes(line: Column) -> Column:
-    return F.transform(F.filter(F.split(F.lower(line), SPACES), lambda w: w != ""), lambda w: F.xxhash64(w))
+    return F.transform(F.array_remove(F.split(line, SPACES), ""), lambda w: F.xxhash64(w))
 
 
-def rarity(docs: DataFrame, buckets: int = BUCKETS) -> Column:
-    """array<int>: the rank of each bucket, rarest first; a literal of a fixed size."""
-    found = docs.select(F.explode(F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), SPACES), lambda w: F.xxhash64(w).bitwiseAND(buckets - 1).cast("int"))).alias("b"))
-    counts = {r["b"]: r["n"] for r in found.groupBy("b").agg(F.count("*").alias("n")).collect()}
-    order = sorted(range(buckets), key=lambda b: (counts.get(b, 0), b))
-    ranks = [0] * buckets
-    for rank, b in enumerate(order):
-        ranks[b] = rank
-    return F.from_json(F.lit(json.dumps(ranks)), "array<int>")
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(k, x, line_no, n, id, id2, words): every line with a word; written once, words as 32 bits."""
+    k, x = document_key()
+    rows = docs.where("text IS NOT NULL").select(k, x, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
+    def described(w: Column) -> Column:
+        return F.struct(F.size(w).alias("n"), F.xxhash64(w).alias("id"), F.hash(w).alias("id2"), F.transform(w, lambda h: F.shiftright(h, 32).cast("int")).alias("words"))
 
-def _ordered(line: Column, ranks: Column, buckets: int = BUCKETS) -> Column:
-    """Distinct words, rarest first, as numbers: rank, then what is left of the hash."""
-    bits = buckets.bit_length() - 1
-    place = lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(buckets - 1).cast("int")).cast("bigint"), 64 - bits).bitwiseOR(F.shiftrightunsigned(h, bits))
-    return F.sort_array(F.array_distinct(F.transform(_hashes(line), place)))
+    sets = F.sort_array(F.array_distinct(_hashes(F.col("line"))))
+    return rows.select("k", "x", "line_no", let(sets, described).alias("d")).where("d.n > 0").select("k", "x", "line_no", "d.*")
 
 
-def _ceil(a: Column, b: int) -> Column:
-    return F.floor((a + (b - 1)) / b).cast("int")
+def rarity(lines: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """One row, ``levels`` array<tinyint>: the logarithm of each bucket's count.
 
+    The table has a fixed size, whatever the vocabulary: words share buckets. Any order of
+    words gives exact results; the better it tells rare words, the fewer pairs are compared.
+    """
+    found = lines.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(buckets - 1).alias("b")).agg(F.count("*").alias("n"))
+    level = F.floor(F.log2(F.sum("n")) * 3).cast("tinyint")
+    empty = lines.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"), F.lit(1).cast("bigint").alias("n"))
+    dense = found.union(empty).groupBy("b").agg(level.alias("v"))
+    rows = dense.agg(F.sort_array(F.collect_list(F.struct("b", "v"))).alias("e"))
+    return stored(rows.select(F.transform("e", lambda e: e["v"]).alias("levels")), "line-levels")
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    k, x = document_key()
-    return docs.where("text IS NOT NULL").select(k, x, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
+def classes(lines: DataFrame, levels: DataFrame, percent: int = PERCENT, buckets: int = BUCKETS) -> DataFrame:
+    """(id, k, x, line_no, n, prefix, whole): the first line of each distinct set."""
+    ranked = lines.withColumn("levels", levels.scalar())
+    level = lambda w: F.get(F.col("levels"), w.bitwiseAND(buckets - 1))
+    order = F.sort_array(F.transform("words", lambda w: F.shiftleft(level(w).cast("bigint"), 32).bitwiseOR(w.cast("bigint").bitwiseAND(0xFFFFFFFF))))
+    width = F.col("n") - _ceil(F.col("n") * percent, 100) + 1
+    prefix = F.transform(F.slice(order, F.lit(1), width), lambda v: F.shiftright(F.shiftleft(v, 32), 32).cast("int"))
+    own = F.struct("k", "x", "line_no", "n", prefix.alias("prefix"), _map("words").alias("whole"))
+    return stored(ranked.select("id", "id2", own.alias("own")).groupBy("id", "id2").agg(F.min("own").alias("own")).select("id", "own.*"), "line-classes")
 
-def classes(docs: DataFrame, ranks: Column, percent: int = PERCENT) -> DataFrame:
-    """(id, k, x, line_no, n, prefix): the first line of each distinct set, with its prefix."""
 
-    def described(w: Column) -> Column:
-        n = F.size(w)
-        width = n - _ceil(n * percent, 100) + 1
-        return F.struct(
-            n.alias("n"),
-            F.xxhash64(w).alias("id"),
-            F.hash(w).alias("id2"),
-            F.transform(F.slice(w, 1, width), lambda v: F.hash(v)).alias("prefix"),
-        )
+def _map(words: str) -> Column:
+    """64 bits, of which each word sets one."""
+    one = F.lit(1).cast("bigint")
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda a, v: a.bitwiseOR(F.call_function("shiftleft", one, v.bitwiseAND(63))))
 
-    rows = lines_of(docs).select("k", "x", "line_no", let(_ordered(F.col("line"), ranks), described).alias("d")).where("d.n > 0")
-    flat = rows.select("d.id", "d.id2", F.struct("k", "x", "line_no", "d.n", "d.prefix").alias("own"))
-    return stored(flat.groupBy("id", "id2").agg(F.min("own").alias("own")).select("id", "own.*"), "line-classes")
+
+def _ceil(a: Column, b: int) -> Column:
+    return F.floor((a + (b - 1)) / b).cast("int")
 
 
 def overlap(a: Column, b: Column, percent: int) -> Column:
@@ -91,19 +94,25 @@ def overlap(a: Column, b: Column, percent: int) -> Column:
 
 
 def posted(heads: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(token, place, id, k, n) of prefix words that more than one class posts."""
+    """(token, place, id, k, n, bits, whole) of prefix words that more than one class posts."""
     least = -(-percent // max(1, 100 - percent)) if percent < 100 else 1 << 30
-    every = heads.where(F.col("n") >= least).select("id", "k", "n", F.posexplode("prefix").alias("place", "token"))
+    every = heads.where(F.col("n") >= least).select("id", "k", "n", _map("prefix").alias("bits"), "whole", F.posexplode("prefix").alias("place", "token"))
     shared = every.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     return stored(every.join(shared, "token"), "line-posted")
 
 
 def possible(percent: int) -> Column:
-    """Length and position filters on a pair (n, place) and (m, at) under one word."""
-    n, m, p, q = (F.col(c) for c in ("n", "m", "place", "at"))
+    """Whether a pair that shares a word may be alike: (n, place, bits, whole)
+    and (m, at, bits2, whole2)."""
+    n, m, p, q, x, y, v, w = (F.col(c) for c in ("n", "m", "place", "at", "bits", "bits2", "whole", "whole2"))
+    width = lambda s: s - _ceil(s * percent, 100) + 1
+    need = overlap(n, m, percent)
     length = (F.least(n, m) * 100) >= (F.greatest(n, m) * percent)
-    position = F.least(p, q) + 1 + F.least(n - p, m - q) - 1 >= overlap(n, m, percent)
-    return length & position
+    position = F.least(p, q) + F.least(n - p, m - q) >= need
+    alone = lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))
+    shared = F.least(width(n) - alone(x, y), width(m) - alone(y, x))
+    missing = (alone(x, w) <= n - need) & (alone(y, v) <= m - need)
+    return length & position & missing & (shared + F.greatest(n - width(n), m - width(m)) >= need)
 
 
 def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -130,20 +139,27 @@ def repeated(heads: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataF
     """(id): the classes whose first line is like an earlier line."""
     postings = posted(heads, percent)
     tops = postings.groupBy("token").agg(F.min_by("id", "k").alias("leader"))
-    led = postings.select("token", F.col("id").alias("leader"), F.col("n").alias("m"), F.col("place").alias("at")).join(tops, ["token", "leader"])
-    first = postings.join(led, "token").where((F.col("id") != F.col("leader")) & possible(percent)).select("id", F.col("leader").alias("other"))
-    near = verified(first.select(F.greatest("id", "other").alias("id"), F.least("id", "other").alias("other")), heads, docs, percent)
-    settled = near.select("id").distinct()
-    rest = postings.join(settled, "id", "left_anti")
-    others = postings.select("token", F.col("id").alias("other"), F.col("k").alias("k2"), F.col("n").alias("m"), F.col("place").alias("at"))
-    second = rest.join(others, "token").where((F.col("id") != F.col("other")) & (F.col("k2") <= F.col("k")) & possible(percent))
-    fresh = second.select(F.greatest("id", "other").alias("id"), F.least("id", "other").alias("other")).distinct().join(near.select(F.greatest("id", "other").alias("id"), F.least("id", "other").alias("other")), ["id", "other"], "left_anti")
+    other = {"id": "other", "k": "k2", "n": "m", "place": "at", "bits": "bits2", "whole": "whole2"}
+    led = postings.join(tops, "token").where("id = leader").drop("leader").withColumnsRenamed(other)
+    pair = (F.greatest("id", "other").alias("id"), F.least("id", "other").alias("other"))
+    first = postings.join(led, "token").where((F.col("id") != F.col("other")) & possible(percent)).select(*pair)
+    near = verified(first, heads, docs, percent)
+    settled = stored(near.select("id").distinct(), "line-settled")
+    # One table with a mark, so that both sides of the join read the same shuffle.
+    marked = postings.join(settled.withColumn("done", F.lit(True)), "id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    marked = stored(marked, "line-marked")
+    renamed = marked.withColumnsRenamed({**other, "done": "done2"})
+    # The later line must be open; of one document's lines either may be the later.
+    later = (~F.col("done") & (F.col("k") > F.col("k2"))) | (~(F.col("done") & F.col("done2")) & (F.col("k") == F.col("k2")) & (F.col("id") > F.col("other")))
+    second = marked.join(renamed, "token").where(later & possible(percent)).select(*pair).distinct()
+    fresh = second.join(near.select(*pair), ["id", "other"], "left_anti")
     return settled.union(verified(fresh, heads, docs, percent).select("id")).distinct()
 
 
 def removed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(k, x, stay): for each document, the lines with words that stay."""
-    heads = classes(docs, rarity(docs), percent)
+    lines = stored(lines_of(docs), "line-words")
+    heads = classes(lines, rarity(lines), percent)
     gone = repeated(heads, docs, percent)
     stay = heads.select("id", "k", "x", "line_no").join(gone, "id", "left_anti")
     return stored(stay.groupBy("k", "x").agg(F.collect_set("line_no").alias("stay")), "line-stay")
