@@ -6,9 +6,11 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__
+import tidemark.workload
+import tidemark.workload_sql
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+QUERIES, SQL = dict(tidemark.workload.QUERIES), dict(tidemark.workload_sql.SQL)
 
 
 @pytest.fixture(scope="module")
@@ -30,3 +32,8 @@ def test_comparison_notices_differences(spark, database):
     assert difference(df, database.execute("SELECT range AS a FROM range(2)")) is None
     for sql in ("SELECT range AS b FROM range(2)", "SELECT range AS a FROM range(3)", "SELECT range + 1 AS a FROM range(2)"):
         assert difference(df, database.execute(sql)) is not None
+
+
+def test_entry_offers_every_query():
+    assert set(QUERIES) <= set(__spark_entry__.queries())
+    assert set(SQL) <= set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
