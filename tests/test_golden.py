@@ -111,3 +111,22 @@ def test_own_labels_and_kept_nulls(spark):
     spec = MetricSpec(dims=["d"], distincts={"time_minute": "n"}, dim_labels={"d": DimLabel(None)})
     report = cumulative(rows, spec, start="00:00", end="00:00", all_label="all")
     assert {(r.d, r.level, r.n) for r in report.collect()} == {(None, 0, 1), ("x", 0, 1), ("all", 1, 1)}
+
+
+def test_numbers_as_stamps_and_days(spark):
+    df = spark.createDataFrame([(202403100230.0, 20240115.0, "202403100230", " 20240115.0")], "d double, e double, t string, u string")
+    row = df.select(
+        minutes.parse_minute("d").cast("string").alias("d"),
+        minutes.parse_minute(F.col("d").cast("bigint")).cast("string").alias("b"),
+        minutes.parse_minute("t").cast("string").alias("t"),
+        minutes.parse_day("e").cast("string").alias("e"),
+        minutes.parse_day("u").cast("string").alias("u"),
+        minutes.parse_minute(F.lit("2.5E400")).alias("n"),
+    ).first()
+    assert tuple(row) == ("2024-03-10 02:30:00",) * 3 + ("2024-01-15",) * 2 + (None,)
+
+
+def test_large_amounts_count(spark):
+    df = spark.createDataFrame([("2000000000000",), ("1e20",), ("x",), (None,)], "v string")
+    got = [r.a for r in df.select(cleaning.amount("v").alias("a")).collect()]
+    assert [int(a) for a in got] == [2 * 10**12, 10**20, 0, 0]

@@ -55,8 +55,6 @@ def test_cleaning_and_rejection(spark):
     }
     with pytest.raises(ValueError, match="no usable rule"):
         rules.compile_rules(accepted.filter("false"))
-    with pytest.raises(ValueError, match="more than 2"):
-        rules.compile_rules(accepted, max_rules=2)
 
 
 def evaluate(spark, events, *given, day=None):
@@ -210,3 +208,11 @@ def test_structured_conditions_join_text_conditions(spark):
     events = log(spark, (1, "tap", {"x": "1", "y": "2"}, DAY), (2, "tap", {"x": "1"}, DAY), (3, "tap", {"y": "2"}, DAY))
     found = rules.attribute(events, rules.compile_rules(accepted)).collect()
     assert sorted((r.record, r.rule_no) for r in found) == [(1, 0), (1, 1), (2, 1), (3, 1)]
+
+
+def test_a_text_behind_the_param_is_not_cut_off(spark):
+    one, two = "params['a']", "nvl(params['a'], params['b'])"
+    texts = [one, two, f"{one} || params['b']", f"{two} + 1", f"{one}  "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.k for r in df.select("i", rules.param_keys("t").alias("k")).collect()}
+    assert got == {0: ["a"], 1: ["a", "b"], 2: [], 3: [], 4: ["a"]}

@@ -16,9 +16,16 @@ from pyspark.sql import functions as F
 STAMP_PATTERN = r"^[0-9]{12}(\..*)?$"
 
 
+def digits(col: Column | str) -> Column:
+    """A number or text without an exponent: a double of twelve digits casts to ``2.02E11``."""
+    text = F.trim(_col(col).cast("string"))
+    plain = text.try_cast("double").try_cast("decimal(20,1)").cast("string")
+    return F.when(text.rlike(r"^[0-9.]+[eE]\+?[0-9]+$"), plain).otherwise(text)
+
+
 def parse_minute(col: Column | str) -> Column:
     """Text or number ``YYYYMMDDHHmm`` to ``timestamp_ntz``; null when it is none."""
-    text = F.trim(_col(col).cast("string"))
+    text = digits(col)
 
     def part(start: int, length: int) -> Column:
         return F.substring(text, start, length).cast("int")
@@ -36,7 +43,7 @@ def floor_bucket(col: Column | str, step_minutes: int = 10) -> Column:
 
 def parse_day(col: Column | str) -> Column:
     """Day from ``YYYYMMDD`` text or number; null when it is none."""
-    text = F.trim(_col(col).cast("string"))
+    text = digits(col)
     stamp = F.try_make_timestamp_ntz(
         F.substring(text, 1, 4).cast("int"),
         F.substring(text, 5, 2).cast("int"),

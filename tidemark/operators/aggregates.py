@@ -53,7 +53,8 @@ def filter_day(df: DataFrame, column: str, days: Sequence[dt.date]) -> DataFrame
             hit = hit | ((F.col(column) >= F.lit(day).cast(kind)) & (F.col(column) < after))
         return df.filter(hit)
     if kind == "string":
-        return df.filter(F.col(column).isin(*[f"{day:%Y%m%d}" for day in days]))
+        # the same parser as for the report's days; on a partition column it still prunes
+        return df.filter(parse_day(column).isin(*days))
     return df.filter(F.col(column).isin(*[int(f"{day:%Y%m%d}") for day in days]))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import MESSAGE_CLIP, clip_message
+from tidemark.functions.text import clip_message
 from tidemark.operators.windows import recent_per_session
 
 # How roles are shown, and how many messages make a context.
@@ -23,13 +23,13 @@ def recent_context(
     order: str = "turn",
     role: str = "role",
     text: str = "text",
-    clip: int = MESSAGE_CLIP,
+    clip: int | None = None,
     labels: Mapping[str, str] = ROLE_LABELS,
     other: str = OTHER_ROLE,
 ) -> DataFrame:
     """The last ``n`` messages of a session, oldest first, one ``role：text`` line each.
 
-    At most ``n`` messages of at most ``clip`` characters are collected per session.
+    At most ``n`` messages, whole or of at most ``clip`` characters, are collected per session.
     """
     shown = None
     for name, label in labels.items():

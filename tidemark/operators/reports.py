@@ -29,7 +29,7 @@ def filter_partition_span(
     return df.filter(span)
 
 
-def totals(measure: str, scale_type: str = "decimal(18,6)") -> list[Column]:
+def totals(measure: str, scale_type: str = "decimal(32,6)") -> list[Column]:
     return [
         F.sum(F.col(measure).try_cast(scale_type)).alias(f"total_{measure}"),
         F.count(F.lit(1)).alias("row_count"),
@@ -50,7 +50,7 @@ def cost_analysis(
     df: DataFrame,
     by: Sequence[str],
     measure: str = "cost",
-    scale_type: str = "decimal(18,6)",
+    scale_type: str = "decimal(32,6)",
     average_digits: int = 6,
 ) -> DataFrame:
     """Total, calls and average per group."""

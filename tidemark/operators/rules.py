@@ -41,11 +41,8 @@ VERTICAL_SINCE = dt.date(2022, 10, 9)
 EVENT_ID_PATTERN = r"^[a-zA-Z]([a-zA-Z]+_)*[&a-zA-Z]+$"
 _NAME = r"@*\w*(?:[(（]*\d*\.\d*[一-龥]*[)）]*)*"
 _ONE = rf"params\['({_NAME})'\]"
-ONE_PARAM = rf"(?iU)^{_ONE}"
-TWO_PARAMS = rf"(?iU)^nvl\(\s*{_ONE}\s*,\s*{_ONE}\s*\)"
-
-# A rule table larger than this is not one that people keep by hand.
-MAX_RULES = 20_000
+ONE_PARAM = rf"(?iU)^{_ONE}\s*$"
+TWO_PARAMS = rf"(?iU)^nvl\(\s*{_ONE}\s*,\s*{_ONE}\s*\)\s*$"
 
 
 def clean_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -135,7 +132,7 @@ class RuleSet:
         return {**ALTERNATIVE, "predicates": PREDICATES} if self.structured else ALTERNATIVE
 
 
-def compile_rules(rules: DataFrame, max_rules: int = MAX_RULES) -> RuleSet:
+def compile_rules(rules: DataFrame) -> RuleSet:
     """Number the conditions and put rules of one identity side by side.
 
     Condition texts are SQL that only trusted configuration may supply; they become
@@ -150,9 +147,7 @@ def compile_rules(rules: DataFrame, max_rules: int = MAX_RULES) -> RuleSet:
         *[param_keys(c).alias(f"{c}_keys") for c in (*PARAM_COLUMNS, "camera_mode")],
         *(["predicates"] if structured else []),
     )
-    rows = keyed.limit(max_rules + 1).collect()
-    if len(rows) > max_rules:
-        raise ValueError(f"more than {max_rules} rules")
+    rows = keyed.collect()
     if not rows:
         raise ValueError("no usable rule")
     rows.sort(key=lambda r: r["rule_no"])
@@ -287,7 +282,7 @@ def attribute(events: DataFrame, compiled: RuleSet, day: str | None = None) -> D
         "event_id", "rule_no", "fixed_no", *fixed_columns(), "icon_fixed", "icon_condition", *flat
     )
     carried = [c for c in events.columns if c not in small.columns or c == "event_id"]
-    # the frame was built from at most MAX_RULES rows
+    # the frame was built from the compiled rules, which the driver holds
     joined = ready.select(*carried, "_held").join(F.broadcast(small), "event_id")
 
     def holds(number: Column) -> Column:

@@ -51,7 +51,7 @@ class MetricSpec:
     day_col: str | None = None
     step_minutes: int = 10
     period: str = "day"
-    sum_type: str = "decimal(18,6)"
+    sum_type: str = "decimal(32,6)"
     dim_labels: Mapping[str, DimLabel] = field(default_factory=lambda: dict(DEFAULT_DIM_LABELS))
     key_texts: Sequence[str] = MISSING_KEY_TEXTS
     key_words: Sequence[str] = MISSING_KEY_WORDS

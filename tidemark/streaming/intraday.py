@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.cleaning import amount, dim_value, key_or_null
-from tidemark.operators.aggregates import BUCKET, PERIOD, key_alias, sum_alias
+from tidemark.operators.aggregates import BUCKET, PERIOD, key_alias, stamp_column, sum_alias
 from tidemark.spec import MetricSpec
 
 
 def _zoned(stream: DataFrame, spec: MetricSpec, late: str) -> DataFrame:
     dims = [dim_value(F.col(d).cast("string"), spec.label_of(d)).alias(d) for d in spec.dims]
     return stream.select(
-        F.col(spec.time_col).cast("timestamp").alias("_time"),
+        stamp_column(stream, spec.time_col).cast("timestamp").alias("_time"),
         *dims,
         *[key_or_null(stream, k, spec).alias(key_alias(i)) for i, k in enumerate(spec.distincts)],
         *[amount(s, spec.sum_type).alias(sum_alias(i)) for i, s in enumerate(spec.sums)],

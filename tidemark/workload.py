@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,6 +137,41 @@ def cum_one_day(spark: SparkSession, folder: str) -> DataFrame:
     return plain(cumulative(events(spark, folder), SPEC, days=["20240115"]), "amount")
 
 
+@query
+def cum_double_stamp(spark: SparkSession, folder: str) -> DataFrame:
+    """Stamps as doubles, the way most detail files have them."""
+    stamped = events(spark, folder).withColumn("minute", F.date_format("ts", "yyyyMMddHHmm").cast("double"))
+    return plain(cumulative(stamped, replace(SPEC, time_col="minute"), levels="leaf"), "amount")
+
+
+@query
+def cum_text_days(spark: SparkSession, folder: str) -> DataFrame:
+    """A stored day as text with a float's tail, filtered by ``days``."""
+    stored = events(spark, folder).withColumn("date_p", F.concat(F.date_format("ts", "yyyyMMdd"), F.lit(".0")))
+    return plain(cumulative(stored, replace(SPEC, day_col="date_p"), days=["20240115"]), "amount")
+
+
+@query
+def cum_large_amounts(spark: SparkSession, folder: str) -> DataFrame:
+    """Amounts of 10^12 and more under the default type; shown in units of 10^12."""
+    large = events(spark, folder).withColumn("value", F.col("value").cast("decimal(18,2)") * F.lit(10**12).cast("decimal(13,0)"))
+    spec = MetricSpec(dims=SPEC.dims, sums=SPEC.sums, distincts=SPEC.distincts, time_col="ts")
+    report = cumulative(large, spec, levels="leaf")
+    return plain(report.withColumn("amount", (F.col("amount") / 10**12).cast("decimal(18,2)")), "amount")
+
+
+@query
+def rejected_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Nations as rules, some with a blank level or a bad event; what is turned away and why."""
+    nations = table(spark, folder, "nation")
+    blank = {c: F.lit("") for c in rules.RULE_COLUMNS}
+    rows = nations.select(
+        F.col("n_nationkey").cast("bigint").alias("rule_no"),
+        *[c.alias(n) for n, c in {**blank, "level1": F.when(F.col("n_nationkey") % 3 == 0, " ").otherwise(F.col("n_name")), "event_id": F.when(F.col("n_nationkey") % 2 == 0, "2nd").otherwise("click")}.items()],
+    )
+    return rules.clean_rules(rows)[1].select("rule_no", "reason")
+
+
 @query
 def cum_two_keys(spark: SparkSession, folder: str) -> DataFrame:
     return plain(cumulative(events(spark, folder), TWO_KEYS), "amount")
@@ -433,8 +469,8 @@ def consistency_check(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def reference_check(spark: SparkSession, folder: str) -> DataFrame:
-    heavy = table(spark, folder, "lineitem").filter(F.col("l_quantity") >= 49)
-    return quality.reference_check(table(spark, folder, "orders"), "o_orderkey", heavy, "l_orderkey")
+    """Customers without orders: the given tables have orphans this way round."""
+    return quality.reference_check(table(spark, folder, "customer"), "c_custkey", table(spark, folder, "orders"), "o_custkey")
 
 
 @query
@@ -697,10 +733,8 @@ def material_facts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def page_text(spark: SparkSession, folder: str) -> DataFrame:
-    whole = text.page_text("html", None)
-    return table(spark, folder, "pages").select(
-        "page_id", text.page_text("html").alias("text"), F.length(whole).cast("bigint").alias("whole_length")
-    )
+    whole = text.page_text("html")
+    return table(spark, folder, "pages").select("page_id", whole.alias("text"), F.length(whole).cast("bigint").alias("whole_length"))
 
 
 @query
@@ -715,7 +749,7 @@ def recent_turns(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def recent_context(spark: SparkSession, folder: str) -> DataFrame:
-    return messages.recent_context(table(spark, folder, "conversations"), 4, clip=200)
+    return messages.recent_context(table(spark, folder, "conversations"))
 
 
 @query

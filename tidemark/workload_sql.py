@@ -93,6 +93,10 @@ SQL["cum_range"] = cumulative_sql(
 )
 SQL["cum_one_day"] = cumulative_sql(TWO, [0, 1, 2, 3], USERS, rows="SELECT * FROM e WHERE d = DATE '2024-01-15'")
 SQL["cum_two_keys"] = cumulative_sql(["event_type"], [0, 1], {"event_id": "requests", "user_id": "users"})
+SQL["cum_double_stamp"] = SQL["cum_large_amounts"] = SQL["cum_leaf"]
+SQL["cum_text_days"] = SQL["cum_one_day"]
+SQL["rejected_rules"] = """SELECT CAST(n_nationkey AS BIGINT) AS rule_no, CASE WHEN n_nationkey % 3 = 0 THEN 'level1 is blank'
+  ELSE 'event_id is not a name' END AS reason FROM nation WHERE n_nationkey % 3 = 0 OR n_nationkey % 2 = 0"""
 SQL["cum_stored_day"] = SQL["cum_leaf"]
 
 ITEM_DIMS = ["l_returnflag", "l_linestatus"]
@@ -251,8 +255,8 @@ SQL["range_check"] = """SELECT count(*) AS row_count, count(*) FILTER (l_quantit
   count(*) FILTER (l_quantity IS NULL) AS null_count FROM lineitem"""
 SQL["consistency_check"] = """SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem
   WHERE l_returnflag = 'N' AND l_linestatus = 'F'"""
-SQL["reference_check"] = """SELECT o_orderkey, count(*) AS row_count FROM orders WHERE o_orderkey NOT IN
-  (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49) GROUP BY o_orderkey"""
+SQL["reference_check"] = """SELECT c_custkey, count(*) AS row_count FROM customer WHERE c_custkey NOT IN
+  (SELECT o_custkey FROM orders) GROUP BY c_custkey"""
 SQL["reconcile"] = "SELECT count(*) AS differences FROM events WHERE value IS NULL"
 SQL["falling_metrics"] = "SELECT count(*) AS falls FROM events WHERE value < 0"
 
@@ -356,7 +360,7 @@ FROM ids WHERE number > 0 GROUP BY gid, date_p, event_id, main_func_name, materi
 
 # --- text -----------------------------------------------------------------------------
 
-SQL["page_text"] = """SELECT page_id, substring(regexp_replace(html, '<[^>]*>', '', 'g'), 1, 3000) AS text,
+SQL["page_text"] = """SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS text,
   length(regexp_replace(html, '<[^>]*>', '', 'g')) AS whole_length FROM pages"""
 SQL["mentions"] = r"""SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '@([0-9A-Za-z_\x{4e00}-\x{9fa5}-]+)', 1)))
   AS handle FROM documents"""
@@ -365,9 +369,8 @@ SQL["recent_turns"] = """SELECT * FROM conversations c WHERE (SELECT count(*) FR
 SPACE = "chr(32) || chr(9) || chr(10) || chr(13)"
 SQL["recent_context"] = f"""WITH m AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN '用户' ELSE '助手' END AS who,
     trim(text, {SPACE}) AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations)
-  SELECT conv_id, count(*) AS messages, string_agg(who || '：' || CASE WHEN length(body) > 200
-    THEN substring(body, 1, 200) || chr(10) || chr(10) || '[已截断]' ELSE body END, chr(10) ORDER BY turn) AS context
-  FROM m WHERE n <= 4 GROUP BY conv_id"""
+  SELECT conv_id, count(*) AS messages, string_agg(who || '：' || body, chr(10) ORDER BY turn) AS context
+  FROM m WHERE n <= 12 GROUP BY conv_id"""
 SQL["latest_pages"] = """SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages
   WHERE regexp_extract(html, '<title>([^<]*)</title>', 1) SIMILAR TO '.*(tion|que).*' ORDER BY page_id DESC LIMIT 10"""
 
