@@ -17,10 +17,12 @@ Jaccard likeness of the full sets is at least ``percent`` / 100.
 5. Rest pass: postings whose classes are in one component by then need no more comparison. In
    the others, classes of different components are joined with each other. No posting is cut.
 
-Candidates are checked on the whole signature (skip), then on the whole texts.
+Candidates are checked on a longer signature (skip): four bits of each of ``CELLS``
+coordinates, compared inside the join, so that pairs below the threshold are not even rows.
+Then they are checked on the whole texts.
 
-``matches`` is set so low that a linked pair misses it with a probability below 10^-6: a pair
-at likeness 0.85 has a binomial number of collisions, 54 of 64 expected, 36 asked for.
+Both thresholds are set so low that a pair at the likeness asked for misses one with a
+probability below 10^-6: the collisions of such a pair are binomial.
 
 Defined results: null and empty texts, and texts without words, have an empty set and no
 links. Fewer than k words are one shingle. Rows of one doc_id are one document: it has the
@@ -38,11 +40,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship, stored, total
+from tidemark.llm.common import ship, stored
 from tidemark.llm.components import components
 from tidemark.llm.word_hashes import hashed_words, mix, shingles
 
-SIZE, MATCHES = 64, 36
+SIZE, CELLS = 64, 256
 
 
 def _factors(size: int) -> np.ndarray:
@@ -57,43 +59,63 @@ def signature(values: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+def cells(coordinates: np.ndarray) -> np.ndarray:
+    """Four bits of every coordinate, sixteen to a number."""
+    low = (coordinates & np.uint32(15)).astype(np.uint64).reshape(-1, 16)
+    return (low << (np.uint64(4) * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+
+
 def signatures(docs: DataFrame, k: int, size: int = SIZE) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (128 bits that name the set), coordinates; one row per row."""
-    schema = "doc_id long, n_shingles long, h1 long, h2 long, coordinates array<int>"
+    """doc_id, n_shingles, h1, h2 (128 bits that name the set), coordinates, cells; one row per row."""
+    schema = "doc_id long, n_shingles long, h1 long, h2 long, coordinates array<int>, cells array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = _factors(size)
+        factors = _factors(max(size, CELLS))
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for first, offsets, hashes in hashed_words(texts):
                 n = len(offsets) - 1
                 counts, names, rows = np.zeros(n, np.int64), np.zeros((n, 2), np.int64), np.zeros((n, size), np.int32)
+                packed = np.zeros((n, CELLS // 16), np.int64)
                 for i in range(n):
                     values = shingles(hashes[offsets[i] : offsets[i + 1]], k)
                     counts[i] = len(values)
                     if len(values):
                         names[i] = np.frombuffer(hashlib.blake2b(values.tobytes(), digest_size=16).digest(), np.int64)
-                        rows[i] = signature(values, factors).view(np.int32)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * size, size, dtype=np.int32)), pa.array(rows.ravel()))
+                        least = signature(values, factors)
+                        rows[i], packed[i] = least[:size].view(np.int32), cells(least[:CELLS]).view(np.int64)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (rows, packed)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, n), pa.array(counts), pa.array(names[:, 0]), pa.array(names[:, 1]), flat],
-                    names=["doc_id", "n_shingles", "h1", "h2", "coordinates"],
+                    [ids.slice(first, n), pa.array(counts), pa.array(names[:, 0]), pa.array(names[:, 1]), *lists],
+                    names=["doc_id", "n_shingles", "h1", "h2", "coordinates", "cells"],
                 )
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
 
 
-def _collisions(a: Column, b: Column) -> Column:
-    return total(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), "int")
+WORDS = [f"s{i}" for i in range(CELLS // 16)]
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int, matches: int) -> DataFrame:
-    """The links among candidate ``pairs`` (a < b): enough collisions, then the full sets."""
-    sides = [nodes.select(F.col("doc_id").alias(x), F.col("coordinates").alias(f"c_{x}")) for x in "ab"]
-    likely = stored(
-        pairs.join(sides[0], "a").join(sides[1], "b").where(_collisions(F.col("c_a"), F.col("c_b")) >= matches).select("a", "b").distinct(),
-        "coordinate-likely",
-    )
+def _alike(a: str, b: str, least: int) -> Column:
+    """Whether at least ``least`` cells agree in the columns with prefixes ``a`` and ``b``."""
+    apart = F.lit(0)
+    for word in WORDS:
+        d = F.col(a + word).bitwiseXOR(F.col(b + word))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(0x1111111111111111)
+        apart = apart + F.bit_count(d)
+    return apart <= CELLS - least
+
+
+def likely(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """The distinct ``pairs`` (a < b) whose cells agree."""
+    sides = [nodes.select(F.col("doc_id").alias(x), *(F.col(w).alias(x + w) for w in WORDS)) for x in "ab"]
+    return pairs.distinct().join(sides[0], "a").join(sides[1], "b").where(_alike("a", "b", least)).select("a", "b")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links among candidate ``pairs`` (a < b), by the full sets."""
+    pairs = stored(pairs.distinct(), "coordinate-likely")
     both = [texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t_{x}")) for x in "ab"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +130,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, perc
                 good.append(100 * same >= percent * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    full = likely.join(both[0], "a").join(both[1], "b").select("a", "b", "t_a", "t_b")
+    full = pairs.join(both[0], "a").join(both[1], "b").select("a", "b", "t_a", "t_b")
     return stored(full.mapInArrow(run, "a long, b long"), "coordinate-links")
 
 
@@ -134,27 +156,31 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
 
-def links(nodes: DataFrame, texts: DataFrame, k: int, percent: int, size: int = SIZE, matches: int = MATCHES, hubs: int = 2) -> DataFrame:
+def links(nodes: DataFrame, texts: DataFrame, k: int, percent: int, size: int, matches: int, hubs: int = 2) -> DataFrame:
     """Links (a < b) between classes; whoever is connected by all links is connected by these.
 
-    ``nodes`` has doc_id and coordinates, ``texts`` doc_id and text of the same classes.
+    ``nodes`` has doc_id, coordinates and cells, ``texts`` doc_id and text of the same classes.
     """
+    least = threshold_at(percent / 100 + (1 - percent / 100) / 16, CELLS)
+    spread = nodes.select("doc_id", *(F.get("cells", F.lit(i)).alias(w) for i, w in enumerate(WORDS)))
     postings = stored(posted(nodes, size, matches), "coordinate-posted")
     found, labels = None, None
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     for step in range(hubs + 1):
         rows = _labelled(postings, labels)
         order = F.col("weight") if step == 0 else F.xxhash64(F.lit(step), "doc_id").cast("double")
         tops = rows.groupBy("token").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct(order.alias("w"), F.col("doc_id").alias("hub"), F.col("component").alias("hub_component"))).alias("top")
         ).where("low < high").select("token", "top.hub", "top.hub_component")
-        open_rows = stored(rows.join(tops, "token"), "coordinate-open")
+        open_rows = rows.join(tops, "token")
         if step < hubs:
-            pairs = open_rows.where("component != hub_component").select(*ordered(F.col("hub"), F.col("doc_id")))
+            pairs = open_rows.where("component != hub_component").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b"))
+            pairs = likely(pairs, spread, least)
         else:
-            x, y = (open_rows.select("token", F.col("doc_id").alias(f"d{i}"), F.col("component").alias(f"p{i}")) for i in "xy")
-            pairs = x.join(y, "token").where("dx < dy AND px != py").select(F.col("dx").alias("a"), F.col("dy").alias("b"))
-        fresh = confirmed(pairs.distinct(), nodes, texts, k, percent, matches)
+            held = stored(open_rows.select("token", "doc_id", "component").join(spread, "doc_id"), "coordinate-open")
+            x = held.select("token", F.col("doc_id").alias("a"), F.col("component").alias("pa"), *(F.col(w).alias("a" + w) for w in WORDS))
+            y = held.select("token", F.col("doc_id").alias("b"), F.col("component").alias("pb"), *(F.col(w).alias("b" + w) for w in WORDS))
+            pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _alike("a", "b", least)).select("a", "b")
+        fresh = confirmed(pairs, texts, k, percent)
         found = fresh if found is None else found.unionByName(fresh)
         if step < hubs:
             labels = stored(components(found, f"coordinate-{step}"), "coordinate-labels")
@@ -171,7 +197,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int =
     own = stored(signatures(docs, k, size), "coordinate-signatures")
     held = own.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(held.groupBy("h1", "h2").agg(F.min("doc_id").alias("head")), "coordinate-classes")
-    nodes = stored(held.join(classes, ["h1", "h2"]).where("doc_id = head").select("doc_id", "coordinates"), "coordinate-nodes")
+    nodes = stored(held.join(classes, ["h1", "h2"]).where("doc_id = head").select("doc_id", "coordinates", "cells"), "coordinate-nodes")
     texts = docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     members = stored(held.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "head").distinct(), "coordinate-members")
     found = links(nodes, texts, k, percent, size, matches)
@@ -184,12 +210,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int =
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def threshold(percent: int, size: int = SIZE) -> int:
-    """The largest number of collisions that a pair at the threshold misses with p < 10^-6."""
-    p, below, term = percent / 100, 0.0, (1 - percent / 100) ** size
+def threshold_at(p: float, size: int) -> int:
+    """The largest number of matches that ``size`` trials of chance ``p`` miss with < 10^-6."""
+    if p >= 1:
+        return size
+    below, term = 0.0, (1 - p) ** size
     for m in range(size):
         below += term
         if below > 1e-6:
             return max(1, m)
-        term *= (size - m) / (m + 1) * p / max(1 - p, 1e-12)
+        term *= (size - m) / (m + 1) * p / (1 - p)
     return size
+
+
+def threshold(percent: int, size: int = SIZE) -> int:
+    """Collisions to ask for at a likeness of ``percent`` / 100."""
+    return threshold_at(percent / 100, size)
