@@ -8,6 +8,7 @@ from conftest import records
 from pyspark.sql import functions as F
 
 from tidemark import DimLabel, MetricSpec, cumulative
+from tidemark.functions import cleaning, minutes
 from tidemark.functions.cleaning import normalize_dims, valid_key
 from tidemark.functions.minutes import floor_bucket, minute_text, parse_minute
 

@@ -98,7 +98,7 @@ def test_recent_messages(spark):
 def test_page_text_and_mentions(spark):
     page = "<p>one\n<b\nclass='x'>two</b> < three" + "z" * 4000
     rows = spark.createDataFrame([(page, "hi @Ann, @小明 and @ann @a-b_c! x@y @")], "html string, t string")
-    got = rows.select(text.page_text("html").alias("cut"), text.page_text("html", None).alias("all"), text.mentions("t").alias("m")).first()
+    got = rows.select(text.page_text("html", 3000).alias("cut"), text.page_text("html").alias("all"), text.mentions("t").alias("m")).first()
     assert got["all"] == "one\ntwo < three" + "z" * 4000 and got["cut"] == got["all"][:3000]
     assert got["m"] == ["ann", "小明", "a-b_c", "y"]
 
