@@ -475,22 +475,33 @@ def reference_check(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def reconcile(spark: SparkSession, folder: str) -> DataFrame:
-    """The last point of every cell against the whole day counted directly; no findings."""
+    """The last point of every cell against the whole day counted directly.
+
+    The report is damaged on purpose: days divisible by 5 lack a kind, those divisible by
+    7 have one user too many in another. The findings are those cells and no others.
+    """
     source = events(spark, folder)
-    report = cumulative(source, SPEC, levels="leaf").filter(F.substring("date_minute", 9, 4) == "2350")
+    last = cumulative(source, SPEC, levels="leaf").filter(F.substring("date_minute", 9, 4) == "2350")
+    lost = (F.col("date_p") % 5 == 0) & (F.col("event_type") == "view")
+    shifted = (F.col("date_p") % 7 == 0) & (F.col("event_type") == "click")
+    damaged = last.filter(~lost).withColumn("users", F.col("users") + shifted.cast("bigint"))
     direct = source.groupBy("event_type", "band", minutes.day_number("ts").alias("date_p")).agg(
         F.count_distinct("user_id").alias("users"), F.sum(F.col("value").cast("decimal(18,2)")).alias("amount")
     )
-    found = quality.reconcile(report, direct, [*SPEC.dims, "date_p"], ["users", "amount"])
-    return found.agg(F.count(F.lit(1)).alias("differences"))
+    found = quality.reconcile(damaged, direct, [*SPEC.dims, "date_p"], ["users", "amount"])
+    return found.select(*SPEC.dims, "date_p", "result_rows", "oracle_rows", "users_result", "users_oracle").withColumns(
+        {c: F.col(c).cast("bigint") for c in ("users_result", "users_oracle")}
+    )
 
 
 @query
 def falling_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Every noon point of the report loses half of its users; the points that fall."""
     report = cumulative(events(spark, folder), SPEC)
-    cell = ["date_p", LEVEL, *SPEC.dims]
-    falls = quality.falling_metrics(report, cell, "date_minute", SPEC.metric_names)
-    return falls.agg(F.count(F.lit(1)).alias("falls"))
+    noon_point = F.substring("date_minute", 9, 4) == "1200"
+    damaged = report.withColumn("users", F.when(noon_point, F.floor(F.col("users") / 2)).otherwise(F.col("users")).cast("bigint"))
+    falls = quality.falling_metrics(damaged, ["date_p", LEVEL, *SPEC.dims], "date_minute", SPEC.metric_names)
+    return plain(falls, "amount")
 
 
 # --- event attribution ----------------------------------------------------------------
@@ -630,6 +641,24 @@ def fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def fingerprint_json(spark: SparkSession, folder: str) -> DataFrame:
+    """The mark of a record whose details are a map: equal maps in any order give equal marks."""
+    details = F.create_map(F.lit("type"), "event_type", F.lit("band"), "band")
+    turned = F.create_map(F.lit("band"), "band", F.lit("type"), "event_type")
+    marks = {n: params.fingerprint(["event_id", params.params_json(m)]) for n, m in (("mark", details), ("turned_mark", turned))}
+    return events(spark, folder).select("event_id", *[m.alias(n) for n, m in marks.items()])
+
+
+@query
+def local_day(spark: SparkSession, folder: str) -> DataFrame:
+    """The calendar day of epoch milliseconds in a named zone."""
+    millis = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")) * 1000
+    return table(spark, folder, "events").select(
+        "event_id", minutes.day_number(params.local_day(millis, "Asia/Shanghai")).alias("day_number")
+    )
+
+
 @query
 def attribute(spark: SparkSession, folder: str) -> DataFrame:
     return _attributed(spark, folder).select("record", "event_id", "rule_no", "cnt")
@@ -819,6 +848,43 @@ def delimited_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return readers.read_delimited(spark, path, [*source.columns, "absent"])
 
 
+@query
+def read_detail(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as a text file with loose headers, read with the headers trimmed."""
+    path = scratch_path(spark, "detail")
+    loose = table(spark, folder, "orders").select(F.col("o_orderkey").alias(" o_orderkey "), F.col("o_orderstatus").alias("o_orderstatus\t"))
+    loose.write.option("header", "true").option("ignoreLeadingWhiteSpace", "false").csv(path)
+    back = readers.read_detail(spark, path, "csv", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
+    return back.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "o_orderstatus")
+
+
+@query
+def read_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as rules, written as a rule file in the fixed column order and read back."""
+    path = scratch_path(spark, "rules")
+    given = {**{c: F.lit("") for c in rules.RULE_COLUMNS}, "level1": F.col("p_name"), "event_id": F.lit("click"), "record_type": F.col("p_type")}
+    fields = F.concat_ws("\x01", *[given[c] for c in rules.RULE_COLUMNS], F.lit(""))
+    table(spark, folder, "part").select(fields.alias("value")).write.text(path)
+    accepted, _ = rules.clean_rules(readers.read_rules(spark, path))
+    return accepted.select("level1", "event_id", "record_type", "scm")
+
+
+@query
+def insert_day_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """A day table: all days loaded, one day replaced by name, one day made known again."""
+    name = f"tidemark_days_{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
+    rows = events(spark, folder).groupBy("event_type", minutes.day_number("ts").alias("date_p")).agg(F.count(F.lit(1)).alias("cnt"))
+    writers.create_day_table(spark, name, writers.column_types("event_type string, cnt bigint, date_p int"), path=path)
+    writers.write_dynamic(rows, name)
+    writers.insert_overwrite_day(rows.withColumn("cnt", -F.col("cnt")), name, 20240102)
+    spark.sql(f"ALTER TABLE {name} DROP PARTITION (date_p = 20240103)")
+    writers.register_partition(spark, name, 20240103)
+    back = spark.read.schema("event_type string, cnt bigint, date_p int").orc(path)
+    known = spark.sql(f"SHOW PARTITIONS {name}").select(F.regexp_extract("partition", r"date_p=(\d+)", 1).cast("int").alias("date_p"))
+    return back.join(known, "date_p").select("event_type", "cnt", "date_p")
+
+
 # --- streams --------------------------------------------------------------------------
 
 

@@ -257,8 +257,18 @@ SQL["consistency_check"] = """SELECT l_orderkey, l_linenumber, l_returnflag, l_l
   WHERE l_returnflag = 'N' AND l_linestatus = 'F'"""
 SQL["reference_check"] = """SELECT c_custkey, count(*) AS row_count FROM customer WHERE c_custkey NOT IN
   (SELECT o_custkey FROM orders) GROUP BY c_custkey"""
-SQL["reconcile"] = "SELECT count(*) AS differences FROM events WHERE value IS NULL"
-SQL["falling_metrics"] = "SELECT count(*) AS falls FROM events WHERE value < 0"
+SQL["reconcile"] = f"""WITH {EVENTS}, o AS (SELECT event_type, band, {DAY.format('d')} AS date_p,
+    count(DISTINCT user_id) AS users FROM e GROUP BY ALL),
+  r AS (SELECT event_type, band, date_p, users + CASE WHEN date_p % 7 = 0 AND event_type = 'click' THEN 1 ELSE 0 END AS users
+    FROM o WHERE NOT (date_p % 5 = 0 AND event_type = 'view'))
+  SELECT event_type, band, date_p, CASE WHEN r.users IS NULL THEN 0 ELSE 1 END AS result_rows,
+    CASE WHEN o.users IS NULL THEN 0 ELSE 1 END AS oracle_rows, r.users AS users_result, o.users AS users_oracle
+  FROM r FULL JOIN o USING (event_type, band, date_p) WHERE r.users IS DISTINCT FROM o.users"""
+SQL["falling_metrics"] = f"""WITH p AS (SELECT * REPLACE (CASE WHEN substr(date_minute, 9, 4) = '1200' THEN users // 2
+    ELSE users END AS users) FROM ({SQL['cum_cube']})),
+  s AS (SELECT *, lag(users) OVER w AS u, lag(amount) OVER w AS a FROM p
+    WINDOW w AS (PARTITION BY date_p, level, event_type, band ORDER BY date_minute))
+  SELECT event_type, band, level, date_minute, users, amount, date_p FROM s WHERE users < u OR amount < a"""
 
 # --- event attribution ----------------------------------------------------------------
 
@@ -320,6 +330,9 @@ SQL["fingerprint"] = """SELECT event_id,
       || CASE WHEN event_type = 'error' THEN chr(92) || 'N' ELSE event_type END || '#' || props) AS mark,
   md5(CAST(event_id AS VARCHAR) || '#' || CAST(user_id AS VARCHAR)
       || CASE WHEN event_type = 'error' THEN '' ELSE '#' || event_type END || '#' || props) AS old_mark FROM events"""
+JSON_MARK = """md5(CAST(event_id AS VARCHAR) || '#{"band":"' || band || '","type":"' || event_type || '"}')"""
+SQL["fingerprint_json"] = f"WITH {EVENTS} SELECT event_id, {JSON_MARK} AS mark, {JSON_MARK} AS turned_mark FROM e"
+SQL["local_day"] = f"SELECT event_id, {DAY.format('ts + INTERVAL 8 HOUR')} AS day_number FROM events"
 SQL["attribute"] = facts_sql("SELECT record, event_id, rule_no, 1 AS cnt FROM facts")
 SQL["extract_attrs"] = facts_sql("SELECT record, rule_no, scm, tab_id, posi_id, material_id FROM facts")
 SQL["mode_flags"] = facts_sql("SELECT record, rule_no, camera_mode, sharephone, second_icon FROM facts")
@@ -390,6 +403,12 @@ SQL["write_dynamic_roundtrip"] = f"""WITH {EVENTS} SELECT CASE WHEN band = 'low'
 SQL["delimited_roundtrip"] = """SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id,
   event_type, props, '' AS absent FROM events"""
 
+SQL["read_detail"] = "SELECT o_orderkey, o_orderstatus FROM orders"
+SQL["read_rules"] = """SELECT p_name AS level1, 'click' AS event_id, p_type AS record_type, '无参数' AS scm
+  FROM part WHERE p_name <> ''"""
+SQL["insert_day_roundtrip"] = f"""WITH {EVENTS}, n AS (SELECT event_type, count(*) AS cnt, {DAY.format('d')} AS date_p FROM e GROUP BY ALL)
+  SELECT event_type, CASE WHEN date_p = 20240102 THEN -cnt ELSE cnt END AS cnt, date_p FROM n"""
+
 # --- streams --------------------------------------------------------------------------
 
 SQL["stream_bucket_sums"] = (
