@@ -18,8 +18,6 @@ equal fingerprints.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,11 +136,14 @@ def edited(docs: DataFrame, k: int = K, s: int = S, size: int = SIZE) -> DataFra
     Of several rows with the next id, the one of the smallest text hash is taken. A row
     without doc_id is followed by itself, as is the only document of a table.
     """
-    base = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
+    # A cast that changes nothing would leave a name on one side of a join only, and the two
+    # shuffles of the texts would no longer be one.
+    number = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("bigint")
+    base = docs.select(number, F.coalesce("text", F.lit("")).alias("text"))
     links = stored(following(base), "syncmer-links")
     third = F.floor(F.col("n_chars") / 3).cast("int")
-    texts = base.withColumn("own", sketch(F.col("text"), k, s, size))
-    named = texts.where("doc_id IS NOT NULL")
+    # Both joins read one shuffle of the texts; sketches are made behind it.
+    named = base.where("doc_id IS NOT NULL")
     heads = (
         links.select(F.col("doc_id").alias("before"), F.col("next_id").alias("doc_id"), third.alias("third"))
         .join(links.select("doc_id", "n_rows"), "doc_id")
@@ -150,19 +151,19 @@ def edited(docs: DataFrame, k: int = K, s: int = S, size: int = SIZE) -> DataFra
         .select(
             F.col("before").alias("doc_id"),
             "n_rows",
-            F.struct(F.xxhash64("text").alias("h"), F.expr("substring(text, 1, third)").alias("head"), F.col("own").alias("next_sketch")).alias("next"),
+            F.struct(F.xxhash64("text").alias("h"), F.expr("substring(text, 1, third)").alias("head"), sketch(F.col("text"), k, s, size).alias("next_sketch")).alias("next"),
         )
     )
     single = heads.where("n_rows = 1").select("doc_id", "next")
     several = heads.where("n_rows > 1").groupBy("doc_id").agg(F.min("next").alias("next"))
     joined = named.join(single.unionByName(several), "doc_id", "left")
-    alone = texts.where("doc_id IS NULL").withColumn("next", F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("head"), F.col("own").alias("next_sketch")))
+    alone = base.where("doc_id IS NULL").withColumn("next", F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("head"), sketch(F.col("text"), k, s, size).alias("next_sketch")))
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     rows = joined.unionByName(alone).select(
         "doc_id",
         n.cast("bigint").alias("n_chars"),
-        "own",
+        sketch(F.col("text"), k, s, size).alias("own"),
         F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.coalesce("next.head", F.lit("")), F.lit(1), cut)).alias("edited"),
         "next.next_sketch",
     )
