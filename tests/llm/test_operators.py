@@ -208,6 +208,18 @@ def test_spans(docs, given, empty):
     assert sentence_spans.deduplicated(docs).count() == len(given) and sentence_spans.deduplicated(empty).count() == 0
 
 
+def test_spans_of_few_long_sentences(spark):
+    """Repeated passages that hold fewer than three whole sentences."""
+    say = lambda n, mark: " ".join(f"{mark}{i}" for i in range(n)) + ". "
+    two, one, short = say(30, "a") + say(31, "b"), say(60, "c"), say(5, "d") + say(6, "e")
+    texts = [say(9, f"x{i}") + two + say(9, f"y{i}") + one + say(9, f"z{i}") + short + say(9, f"v{i}") for i in range(2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in sentence_spans.deduplicated(df).collect()}
+    assert (got[0].n_removed, got[0].text) == (0, texts[0])
+    assert (got[1].n_sentences, got[1].n_removed) == (9, 3)
+    assert got[1].text == texts[1].replace(two, "").replace(one, "")
+
+
 def test_mixture_equals_sql(docs, given, empty):
     got = sorted(tuple(r) for r in poisson_mix.mixed(docs.where("doc_id IS NOT NULL AND source IS NOT NULL").select("doc_id", "source", "text")).collect())
     base = duckdb.connect()

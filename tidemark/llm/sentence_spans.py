@@ -1,16 +1,20 @@
 """Substring dedup by sliding spans of sentences.
 
 A text is cut behind sentence marks and line ends. Every run of ``SPAN`` consecutive sentences
-is hashed; all spans of all documents meet by their hash. Of the equal spans the first, in the
-order of (doc_id, place), stays; the sentences under any other are removed. What is left of a
-text is put together unchanged.
+is hashed, and every shorter run that has ``LEAST_WORDS`` words; all spans of all documents meet
+by their hash. Of the equal spans the first, in the order of (doc_id, place), stays; the sentences
+under any other are removed. What is left of a text is put together unchanged.
+
+Only whole sentences are compared and removed. Of a repeated passage that starts or ends inside a
+sentence, the parts of those two sentences stay, and all of it stays where the whole sentences in
+it are fewer than ``SPAN`` and have fewer than ``LEAST_WORDS`` words. The README has a figure.
 
 Spans are compared by 96 bits. Only the count and the smallest doc_id of a hash are
 aggregated, combined before the shuffle, so a passage in a third of all documents is one row
 per upstream task; the spans of a hash are never gathered.
 
 Defined results: null and empty texts have no sentences and stay as they are. A text of fewer
-than ``SPAN`` sentences is one span. White space around sentences does not count; pieces of
+than ``SPAN`` sentences is one span, whatever its words. White space around sentences does not count; pieces of
 white space alone are no sentences and stay. Rows without doc_id come last. Rows that repeat a
 doc_id and text are one document and are cut alike.
 """
@@ -20,9 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import document_key, let, measured, stored
+from tidemark.llm.common import document_key, let, measured, stored, words_of
 
 SPAN = 3
+#: Words that a run of fewer than ``SPAN`` sentences must have to be compared.
+LEAST_WORDS = 40
 CUT = r"(?<=[.!?\n])(?=[^.!?\n])"
 BLANK = " \t\r\n\f"
 
@@ -32,38 +38,40 @@ def pieces(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), CUT)
 
 
-def _spans(text: Column, span: int) -> Column:
-    """array<struct<a, b>> of the hashes of each run of sentences."""
+def _spans(text: Column, span: int, least: int) -> Column:
+    """array<struct<j, n, a, b>>: first sentence, length and hashes of each run of sentences."""
+
+    def of_sentences(h: Column) -> Column:
+        def run(i: Column, n: int) -> Column:
+            parts = [F.get(h, i + d) for d in range(n)]
+            hashes = [p["h"] for p in parts]
+            fit = i + n <= F.size(h)
+            if n < span:
+                fit = fit & ((F.size(h) == n) | (sum((p["w"] for p in parts[1:]), parts[0]["w"]) >= least))
+            return F.when(fit, F.struct(i.alias("j"), F.lit(n).alias("n"), F.xxhash64(*hashes).alias("a"), F.hash(*hashes).alias("b")))
 
-    def of_hashes(h: Column) -> Column:
-        count = F.greatest(F.size(h) - (span - 1), F.least(F.size(h), F.lit(1)))
-        return F.transform(
-            F.slice(h, 1, count),
-            lambda x, i: F.struct(
-                F.xxhash64(x, *(F.get(h, i + j) for j in range(1, span))).alias("a"),
-                F.hash(x, *(F.get(h, i + j) for j in range(1, span))).alias("b"),
-            ),
-        )
+        runs = F.transform(h, lambda _, i: F.array(*(run(i, n) for n in range(1, span + 1))))
+        return F.filter(F.flatten(runs), lambda r: r.isNotNull())
 
     trimmed = F.filter(F.transform(pieces(text), lambda p: F.btrim(p, F.lit(BLANK))), lambda p: p != "")
-    return let(F.transform(trimmed, lambda p: F.xxhash64(p)), of_hashes)
+    return let(F.transform(trimmed, lambda p: F.struct(F.xxhash64(p).alias("h"), F.size(words_of(p)).alias("w"))), of_sentences)
 
 
-def covered(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(k, x, starts): for each document with repeats, the spans that are not the first."""
+def covered(docs: DataFrame, span: int = SPAN, least: int = LEAST_WORDS) -> DataFrame:
+    """(k, x, runs): for each document with repeats, start and length of the spans that are not the first."""
     k, x = document_key()
-    spans = docs.select(k, x, F.posexplode(_spans(F.col("text"), span)).alias("j", "s")).select("k", "x", "j", "s.a", "s.b")
-    repeats = spans.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("k").alias("low")).where("n > 1").drop("n")
+    spans = docs.select(k, x, F.explode(_spans(F.col("text"), span, least)).alias("s")).select("k", "x", "s.j", "s.n", "s.a", "s.b")
+    repeats = spans.groupBy("a", "b").agg(F.count("*").alias("times"), F.min("k").alias("low")).where("times > 1").drop("times")
     held = stored(spans.join(repeats, ["a", "b"]), "span-repeats")
     first = held.where("k = low").groupBy("a", "b").agg(F.min(F.struct("x", "j")).alias("first"))
     later = held.join(first, ["a", "b"]).where("NOT (k = low AND x = first.x AND j = first.j)")
-    return stored(later.groupBy("k", "x").agg(F.collect_set("j").alias("starts")), "span-covered")
+    return stored(later.groupBy("k", "x").agg(F.collect_set(F.struct("j", "n")).alias("runs")), "span-covered")
 
 
-def deduplicated(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def deduplicated(docs: DataFrame, span: int = SPAN, least: int = LEAST_WORDS) -> DataFrame:
     """doc_id, n_sentences, n_removed and the remaining text of every row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("bigint"), "text").select("doc_id", "text", *document_key())
-    out = rows.join(measured(covered(docs, span)), ["k", "x"], "left")
+    out = rows.join(measured(covered(docs, span, least)), ["k", "x"], "left")
     parts = pieces(F.col("text"))
 
     def cut(p: Column) -> Column:
@@ -71,13 +79,13 @@ def deduplicated(docs: DataFrame, span: int = SPAN) -> DataFrame:
         return let(real, lambda r: without(p, r))
 
     def without(p: Column, real: Column) -> Column:
-        under = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, F.least(s + (span - 1), F.size(real) - 1)))))
+        under = F.array_distinct(F.flatten(F.transform("runs", lambda s: F.sequence(s["j"], s["j"] + s["n"] - 1))))
         gone = F.transform(under, lambda s: F.get(real, s))
         keep = F.array_except(F.sequence(F.lit(0), F.size(p) - 1), gone)
         return F.struct(F.size(real).alias("n"), F.size(under).alias("gone"), F.array_join(F.transform(keep, lambda i: F.get(p, i)), "").alias("text"))
 
     whole = let(parts, lambda p: F.struct(F.size(F.filter(p, lambda s: F.btrim(s, F.lit(BLANK)) != "")).alias("n"), F.lit(0).alias("gone"), F.lit(None).cast("string").alias("text")))
-    done = out.withColumn("r", F.when(F.col("starts").isNull(), whole).otherwise(let(parts, cut)))
+    done = out.withColumn("r", F.when(F.col("runs").isNull(), whole).otherwise(let(parts, cut)))
     return done.select(
-        "doc_id", F.col("r.n").cast("bigint").alias("n_sentences"), F.col("r.gone").cast("bigint").alias("n_removed"), F.when(F.col("starts").isNull(), F.col("text")).otherwise(F.col("r.text")).alias("text")
+        "doc_id", F.col("r.n").cast("bigint").alias("n_sentences"), F.col("r.gone").cast("bigint").alias("n_removed"), F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.col("r.text")).alias("text")
     )
