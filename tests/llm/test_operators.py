@@ -230,6 +230,18 @@ def test_mixture_equals_sql(docs, given, empty):
     assert poisson_mix.mixed(empty).count() == 0
 
 
+@pytest.mark.parametrize("rate", [650, 800, 5000])
+def test_mixture_of_large_rates(spark, rate):
+    given = [(0, "b" * (80 * rate - 40), "big")] + [(i, "x", "small") for i in range(1, 31)] + [(None, chr(97 + i), "small") for i in range(10)]
+    df = spark.createDataFrame(given, "doc_id long, text string, source string")
+    found = poisson_mix.mixed(df, {"small": 0.5}).where("source = 'small'").groupBy("doc_id", "text").count().collect()
+    counts = np.array([r["count"] for r in found])
+    assert poisson_mix.rates(df, {"small": 0.5}).where("source = 'small'").first().rate == rate
+    assert len(counts) == 40 and abs(counts.mean() - rate) < 4 * (rate / 40) ** 0.5
+    assert 0.4 * rate < counts.var(ddof=1) < 2 * rate
+    assert len({r["count"] for r in found if r.doc_id is None}) > 3
+
+
 def test_statistics(docs, given, empty):
     got = {r.doc_id: r for r in mcd.judge(docs).collect()}
     for doc, text, *_ in given:
