@@ -276,6 +276,32 @@ def test_outliers(spark):
     assert np.allclose(mean, 0, atol=0.4)
 
 
+def test_outliers_settle(spark):
+    """The half of the rows that lies densest is several steps from the median."""
+    z = np.sqrt(np.arange(1, 601) / 600)
+    df = spark.createDataFrame([("p", float(x), 0.0) for x in z], "pool string, z0 double, z1 double")
+    four, last = (mcd.estimates(df, 0.5, n, (0.01, 1.0)).first() for n in (4, mcd.STEPS))
+    mean = np.median(z)
+    for _ in range(200):
+        far = (z - mean) ** 2
+        mean = z[far <= np.quantile(far, 0.5, method="inverted_cdf")].mean()
+    assert abs(last.m0 - mean) < 1e-3 < abs(four.m0 - mean)
+
+
+def test_outliers_per_statistic(spark):
+    """Each planted text is far off in one statistic only."""
+    plain = lambda i, n=40: " ".join(f"word{i * 97 + j:06d}" for j in range(n))
+    texts = {i: "\n".join(plain(100 * i + j, 20) for j in range(10)) for i in range(60)}
+    texts[100] = texts[0] + "\n" + "\n".join(["ad"] * 13)  # half of the lines repeat
+    texts[101] = plain(9001).replace("word", "$word")
+    texts[102] = plain(9002).replace("word", "word" * 20)
+    texts[103] = plain(9003) + " " + plain(9003, 10)  # more than 20 % of the words
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in mcd.judge(df).collect()}
+    assert all(got[i].kept for i in range(60))
+    assert not any(got[i].kept for i in range(100, 104)) and [got[i].base_failed for i in range(100, 104)] == [False, False, False, True]
+
+
 def best_path(own, text):
     """Every position's best path, by trying all pieces at it."""
     ids = {p: (i, s) for p, i, s in own}
