@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import coordinate_join, line_join, mcd, piece_paths, plane_files, poisson_mix, quality_machine, sentence_spans, syncmers, url_trees
+from tidemark.llm import coordinate_join, line_join, mcd, piece_paths, pivot_codes, plane_files, poisson_mix, quality_machine, sentence_spans, syncmers, toxic_segments, turn_search, url_trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -85,6 +85,29 @@ def op10_near(spark: SparkSession, folder: str) -> DataFrame:
     return coordinate_join.near_duplicates(table(spark, folder, "documents"), k=3, percent=85)
 
 
+@query
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scores = toxic_segments.scored(docs, toxic_segments.train(docs, table(spark, folder, "labels")))
+    return scores.select(
+        "doc_id",
+        toxic_segments.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("passages").cast("bigint").alias("n_passages"),
+    )
+
+
+@query
+def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return turn_search.mended(table(spark, folder, "conversations"))
+
+
+@query
+def op13_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return pivot_codes.judged(table(spark, folder, "embeddings"))
+
+
 #: The mixture is the only operator here that SQL can express: hashes are of md5 text, and a
 #: Poisson count is found by adding terms.
 SQL: dict[str, str] = {
