@@ -170,7 +170,7 @@ def _round(prepared: DataFrame, coder: Coder) -> np.ndarray:
             parts, far = _arrays(batch, width, coder.pivots)
             place = (coder.assign(parts, far)[0] + np.arange(PARTS) * entries).ravel()
             counts += np.bincount(place, minlength=PARTS * entries)
-            np.add.at(sums, place, parts.reshape(-1, width))
+            np.add.at(sums, place, parts.reshape(len(place), width))
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used]), _lists(sums[used], pa.int64())], names=["place", "n", "sums"])
 
