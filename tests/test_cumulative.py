@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import random
 from decimal import Decimal
 from itertools import product
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark import MetricSpec, cumulative, kept_sets
 from tidemark.operators import aggregates
-from tidemark.plans.cumulative import cell_changes, leaf_facts, tagged_facts
+from tidemark.plans.cumulative import lattice, leaf_facts, level_changes, marked_facts
 from tidemark.spec import level_code
 
 ROWS = "a string, b string, c string, uid string, oid bigint, cost double, ts timestamp_ntz"
@@ -72,20 +73,19 @@ def as_dict(report, dims):
     }
 
 
-def spec_of(dims, **options):
-    return MetricSpec(
-        dims=dims, sums={"cost": "cost"}, distincts={"uid": "users", "oid": "orders"}, time_col="ts", **options
-    )
+def spec_of(dims, sum_type="decimal(32,6)", **options):
+    sums, keys = {"cost": "cost"}, {"uid": "users", "oid": "orders"}
+    return MetricSpec(dims=dims, sums=sums, distincts=keys, time_col="ts", sum_type=sum_type, **options)
 
 
 @pytest.mark.parametrize("dims", [["a"], ["a", "b", "c"]])
-@pytest.mark.parametrize("hot_key_cells", [100_000, 1])
-def test_cube_equals_brute_force(spark, dims, hot_key_cells, zone):
+@pytest.mark.parametrize("fan_out", [8, 1])
+def test_cube_equals_brute_force(spark, dims, fan_out, zone):
     """Also where a raw value equals the "all" label, on a clock-change day, and with
-    nearly every key treated as hot."""
+    levels made one from another."""
     rows = make_rows(len(dims))
     report = cumulative(
-        spark.createDataFrame(rows, ROWS), spec_of(dims), start="01:00", end="06:00", hot_key_cells=hot_key_cells
+        spark.createDataFrame(rows, ROWS), spec_of(dims), start="01:00", end="06:00", fan_out=fan_out
     )
     assert as_dict(report, dims) == brute_force(rows, dims, 60, 360)
 
@@ -148,7 +148,7 @@ def test_only_keys_or_only_sums(spark):
     rows = spark.createDataFrame(make_rows(11), ROWS)
     both = cumulative(rows, spec_of(["a", "b"]), start="05:00", end="05:30")
     keys = MetricSpec(dims=["a", "b"], distincts={"uid": "users"}, time_col="ts")
-    sums = MetricSpec(dims=["a", "b"], sums={"cost": "cost"}, time_col="ts")
+    sums = MetricSpec(dims=["a", "b"], sums={"cost": "cost"}, time_col="ts", sum_type="decimal(32,6)")
     for spec in (keys, sums):
         alone = cumulative(rows, spec, start="05:00", end="05:30")
         columns = ["a", "b", "level", "date_minute", *spec.metric_names]
@@ -172,8 +172,8 @@ def test_checkpoint_changes_nothing(spark):
     assert plain == sorted(map(str, cumulative(rows, spec, start="05:00", end="05:30", checkpoint=True).collect()))
 
 
-@pytest.mark.parametrize("hot_key_cells", [1, 3])
-def test_hot_keys_known_from_the_checkpoint(spark, hot_key_cells):
+@pytest.mark.parametrize("fan_out", [1, 4])
+def test_checkpoint_with_steps(spark, fan_out):
     rows = make_rows(8)
     report = cumulative(
         spark.createDataFrame(rows, ROWS),
@@ -181,7 +181,7 @@ def test_hot_keys_known_from_the_checkpoint(spark, hot_key_cells):
         start="02:00",
         end="04:00",
         checkpoint=True,
-        hot_key_cells=hot_key_cells,
+        fan_out=fan_out,
     )
     assert as_dict(report, ["a", "b"]) == brute_force(rows, ["a", "b"], 120, 240)
 
@@ -203,23 +203,98 @@ def test_bad_amounts_count_as_zero(spark):
     assert cumulative(rows, spec, levels="leaf", start="00:00", end="00:00").first()["cost"] == Decimal("1.5")
 
 
-def test_only_shared_keys_are_repeated_per_level(spark):
-    """A key in one leaf cell leaves the key step once, one in two cells once per cell and level."""
-    rows = spark.createDataFrame(
-        [
-            ("x", "p", "m", "single", None, 1.0, dt.datetime(2024, 1, 1)),
-            ("x", "p", "m", "both", None, 1.0, dt.datetime(2024, 1, 1)),
-            ("y", "p", "m", "both", None, 1.0, dt.datetime(2024, 1, 1, 0, 10)),
-        ],
-        ROWS,
+@pytest.mark.parametrize("lanes", [1, 2, 5, 256])
+def test_only_shared_keys_keep_their_identity(spark, lanes):
+    """A key in one leaf cell becomes a count there; one in two cells stays a key, whatever the lanes."""
+    rows = [("x", "p", "m", "single", None, 1.0, dt.datetime(2024, 1, 1))]
+    rows += [(a, "p", "m", "both", None, 1.0, dt.datetime(2024, 1, 1, 0, m)) for a, m in (("x", 0), ("y", 10))]
+    rows += [(f"c{i}", f"d{n}", "m", f"{n} cells", None, 1.0, dt.datetime(2024, 1, 1)) for n in range(2, 9) for i in range(n)]
+    rows += [(f"a{i}", f"b{i % 7}", "m", "everywhere", None, 1.0, dt.datetime(2024, 1, 1, 0, i % 60)) for i in range(200)]
+    spec = MetricSpec(dims=["a", "b"], distincts={"uid": "users"}, time_col="ts")
+    facts = marked_facts(leaf_facts(aggregates.prepare(spark.createDataFrame(rows, ROWS), spec), spec), spec, lanes)
+    assert facts.agg(F.sum("_new0")).first()[0] == 1
+    kept = {r["_shared_key0"]: r["count"] for r in facts.filter("_shared_slot = 1").groupBy("_shared_key0").count().collect()}
+    assert kept == {"both": 2, "everywhere": 200, **{f"{n} cells": n for n in range(2, 9)}}
+    total = level_changes(facts, spec, lattice(spec.dims, kept_sets(spec.dims))).filter("level = 3").agg(F.sum("users")).first()[0]
+    assert total == 10
+
+
+def test_no_task_gathers_a_key_in_all_cells(spark, monkeypatch):
+    cells = spark.range(60_000).select(
+        (F.col("id") % 300).cast("string").alias("a"), F.floor(F.col("id") / 300).cast("string").alias("b"), F.lit("everywhere").alias("uid"), F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("ts")
     )
     spec = MetricSpec(dims=["a", "b"], distincts={"uid": "users"}, time_col="ts")
-    levels = kept_sets(spec.dims)
-    facts = tagged_facts(leaf_facts(aggregates.prepare(rows, spec), spec), spec, levels)
-    per_key = {r["_key0"]: r["count"] for r in facts.filter("_slot = 1").groupBy("_key0").count().collect()}
-    assert per_key == {"single": 1, "both": 2 + 2 + 1 + 1}
-    total = cell_changes(facts, spec, levels).filter("level = 3").agg(F.sum("users")).first()[0]
-    assert total == 2
+    options = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "32"}
+    before = {k: spark.conf.get(k) for k in options}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    facts = marked_facts(leaf_facts(aggregates.prepare(cells, spec), spec), spec)
+    rows = sorted(r["count"] for r in facts.groupBy(F.spark_partition_id()).count().collect())
+    top = cumulative(cells, spec, start="00:00", end="00:00").filter("level = 3").collect()
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    assert sum(rows) == 120_000 and len(rows) == 32 and rows[-1] < 4 * rows[16]
+    assert [r["users"] for r in top] == [1]
+
+
+def test_lattice_makes_every_level_once_from_the_smallest_finer_one():
+    dims = list("abcdefg")
+    for sizes in (None, {d: 2 + i for i, d in enumerate(dims)}):
+        steps = lattice(dims, kept_sets(dims), 8, sizes)
+        made, there = [], {0}
+        assert steps[0][0].pop(0) == 0
+        for step in steps:
+            assert set(step) <= there
+            for finer, codes in step.items():
+                assert len(codes) <= len(dims) and all(c & finer == finer != c and (c ^ finer).bit_count() == 1 for c in codes)
+                made += codes
+            there |= {c for codes in step.values() for c in codes}
+        assert sorted(made) == list(range(1, 128)) and len(steps) == 7
+    # without g, the most values are gone: levels are made from those that lack it where they can
+    assert all(finer & 1 for step in steps for finer, codes in step.items() for c in codes if c & 1 and (c ^ 1) and c != 1)
+    assert lattice(dims, kept_sets(dims, [["a"], []]), 1) == [{0: [63]}, {63: [127]}]
+    assert lattice(["a", "b"], kept_sets(["a", "b"])) == [{0: [0, 1, 2, 3]}]
+
+
+def test_wide_cube_equals_brute_force(spark):
+    rows = make_rows(21, n=150, days=1)
+    spec = spec_of(["a", "b", "c"])
+    wide = MetricSpec(dims=[*"abc", *"defg"], sums=spec.sums, distincts=spec.distincts, time_col="ts", sum_type=spec.sum_type)
+    df = spark.createDataFrame(rows, ROWS).withColumns({d: F.col("abc"[i % 3]) for i, d in enumerate("defg")})
+    levels = [(*k, *"d") for k in kept_sets("abc")] + kept_sets("abc") + [tuple("abcdefg")]
+    report = cumulative(df, wide, levels=levels, start="06:00", end="07:00", fan_out=2)
+    got = {k: v for k, v in as_dict(report.filter("level & 15 = 15").withColumn("level", F.expr("level >> 4")), ["a", "b", "c"]).items()}
+    assert got == brute_force(rows, ["a", "b", "c"], 360, 420)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_double_amounts_add_up_exactly(spark, parts):
+    """Equal to the correctly rounded sum, however rows are dealt; nothing becomes 0."""
+    pick = random.Random(5)
+    values = [pick.choice([-1, 1]) * pick.uniform(1, 10) * 10.0 ** pick.randint(-9, 30) for _ in range(600)]
+    values += [0.1] * 50 + [1e30, -1e30, 4e-7, 1e26, 1e300, -1e300, 1e-300, math.nan, None]
+    pick.shuffle(values)
+    made = [(pick.choice("xyz"), "p", "m", "u", i, v, dt.datetime(2024, 1, 1, 0, pick.randrange(30))) for i, v in enumerate(values)]
+    df = spark.createDataFrame(made, ROWS).repartition(parts)
+    spec = spec_of(["a"], sum_type="double")
+    for fan_out in (1, 8):
+        got = {(r["a"], r["date_minute"][-2:]): r["cost"] for r in cumulative(df, spec, start="00:00", end="00:20", fan_out=fan_out).collect()}
+        for cell in ("x", "y", "z", "整体"):
+            for minute in (0, 10, 20):
+                own = [r[5] for r in made if (cell in (r[0], "整体")) and r[6].minute < minute + 10 and r[5] is not None and r[5] == r[5]]
+                assert got[cell, f"{minute:02d}"] == math.fsum(own)
+    base = aggregates.prepare(df, spec)
+    per_cell = {(r.a, r.bucket.minute): r.cost for r in aggregates.bucket_sums(base, spec).collect()}
+    cubed = {(r.a, r.bucket.minute): r.cost for r in aggregates.cube_sums(base, spec).collect()}
+    assert all(cubed[k] == v for k, v in per_cell.items()) and len(cubed) == 12
+    assert cubed[None, 0] == math.fsum(r[5] for r in made if r[6].minute < 10 and r[5] is not None and r[5] == r[5])
+
+
+def test_infinite_amounts(spark):
+    df = spark.createDataFrame([("x", None, None, "u", 1, v, dt.datetime(2024, 1, 1)) for v in (math.inf, 1.0, 5e-324)], ROWS)
+    got = cumulative(df, spec_of(["a"], sum_type="double"), start="00:00", end="00:00")
+    assert {r.cost for r in got.collect()} == {math.inf}
+    assert {r.cost for r in cumulative(df.where("cost < 1"), spec_of(["a"], sum_type="double"), start="00:00", end="00:00").collect()} == {5e-324}
 
 
 def test_all_missing_columns_in_one_error(spark):

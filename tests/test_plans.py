@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,15 +35,17 @@ def test_number_of_shuffles_does_not_grow_with_keys(spark):
     one = physical(cumulative(events(spark, FOLDER), SPEC))
     two = physical(cumulative(events(spark, FOLDER), TWO_KEYS))
     assert count("Exchange", one) == count("Exchange", two) == 5
+    unbound = physical(cumulative(events(spark, FOLDER), replace(SPEC, dim_sizes={})))
+    assert count("Exchange", unbound) == 6
     assert count("Exchange", physical(cumulative(events(spark, FOLDER), SPEC, levels="leaf"))) == 3
 
 
-def test_keys_are_repeated_per_level_without_a_shuffle(spark):
+def test_levels_are_combined_before_their_shuffle(spark):
     plan = physical(cumulative(events(spark, FOLDER), SPEC)).splitlines()
-    window = next(i for i, line in enumerate(plan) if "Window [count(1)" in line)
-    above = [line for line in plan[:window] if "Exchange" in line or "Generate explode(if" in line]
-    # nearest above the window is the level step, only then the next shuffle
-    assert "Generate" in above[-1] and "Exchange" in above[-2]
+    step = next(i for i, line in enumerate(plan) if "Generate explode([0,1,2,3])" in line)
+    above = [line for line in plan[:step] if "Exchange" in line or "partial_min" in line]
+    # nearest above the repetition is the partial reduction, only then the shuffle
+    assert "partial_min" in above[-1] and "Exchange" in above[-2]
 
 
 def test_only_needed_columns_are_read(spark):
@@ -56,8 +59,6 @@ def test_day_filter_reaches_the_scan(spark, tmp_path):
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(ts,2024-01-15", one_day)
     stored = table(spark, FOLDER, "events").withColumn("date_p", F.date_format("ts", "yyyyMMdd").cast("int"))
     stored.write.partitionBy("date_p").parquet(str(tmp_path / "p"))
-    from dataclasses import replace
-
     spec = replace(TWO_KEYS, day_col="date_p")
     plan = physical(cumulative(spark.read.parquet(str(tmp_path / "p")), spec, days=[20240115]))
     assert re.search(r"PartitionFilters: \[[^\]]*date_p#\d+ = 20240115", plan)

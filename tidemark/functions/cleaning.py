@@ -99,13 +99,19 @@ def key_or_null(df: DataFrame, name: str, spec: MetricSpec) -> Column:
     return F.when(valid_key(name, spec.key_texts, spec.key_words), F.col(name))
 
 
-def amount(col: Column | str, sum_type: str = "decimal(32,6)") -> Column:
-    """A number to add up; a bad or missing value counts as 0."""
+def amount(col: Column | str, sum_type: str = "double") -> Column:
+    """A number to add up; a bad or missing value counts as 0.
+
+    A double holds any amount, however large or small. A decimal type keeps only what fits it; the rest counts as bad.
+    """
     col = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(col.try_cast(sum_type), F.lit(0).cast(sum_type))
+    value = col.try_cast(sum_type)
+    if sum_type == "double":
+        value = F.nanvl(value, F.lit(None).cast("double"))
+    return F.coalesce(value, F.lit(0).cast(sum_type))
 
 
-def numeric_metrics(df: DataFrame, columns: Sequence[str], sum_type: str = "decimal(32,6)") -> DataFrame:
+def numeric_metrics(df: DataFrame, columns: Sequence[str], sum_type: str = "double") -> DataFrame:
     """P9 for several columns."""
     return df.withColumns({c: amount(c, sum_type) for c in columns})
 

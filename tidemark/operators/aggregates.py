@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.amounts import amount_parts, part_names, sum_alias, tidied, totals
 from tidemark.functions.cleaning import amount, dim_value, key_or_null, require_columns
 from tidemark.functions.minutes import at_time, floor_bucket, minute_of_day, parse_day, parse_minute, period_start
 from tidemark.spec import ALL_LABEL, Levels, MetricSpec, kept_sets, quote
@@ -132,10 +133,6 @@ def key_alias(i: int) -> str:
     return f"_key{i}"
 
 
-def sum_alias(i: int) -> str:
-    return f"_sum{i}"
-
-
 def preaggregate(df: DataFrame, spec: MetricSpec, carry_max: Sequence[str] = ()) -> DataFrame:
     """A1: one row per dims, keys and bucket (and stored day), amounts added up.
 
@@ -155,11 +152,17 @@ def preaggregate(df: DataFrame, spec: MetricSpec, carry_max: Sequence[str] = ())
     return base.groupBy(*groups).agg(*reduced) if reduced else base.select(*groups).distinct()
 
 
+def _part_sums(base: DataFrame, spec: MetricSpec) -> DataFrame:
+    """Added parts of the amounts per period, dims and bucket."""
+    parts = amount_parts(spec)
+    rows = base.selectExpr(PERIOD, *map(quote, spec.dims), BUCKET, *[f"{e} AS {n}" for n, e in parts.items()])
+    return tidied(rows.groupBy(PERIOD, *spec.dims, BUCKET).agg(*[F.sum(p).alias(p) for p in parts]), spec)
+
+
 def bucket_sums(base: DataFrame, spec: MetricSpec) -> DataFrame:
-    """A2: sums per period, dims and bucket."""
-    return base.groupBy(PERIOD, *spec.dims, BUCKET).agg(
-        *[F.sum(sum_alias(i)).alias(out) for i, out in enumerate(spec.sums.values())]
-    )
+    """A2: sums per period, dims and bucket; exact in any order."""
+    added = _part_sums(base, spec)
+    return added.selectExpr(PERIOD, *map(quote, spec.dims), BUCKET, *[f"{e} AS {quote(n)}" for n, e in totals(spec).items()])
 
 
 def first_seen(base: DataFrame, spec: MetricSpec, key: str) -> DataFrame:
@@ -201,13 +204,15 @@ def level_flag(dims: Sequence[str]) -> Column:
 
 
 def cube_sums(base: DataFrame, spec: MetricSpec, levels: Levels = "cube") -> DataFrame:
-    """Sums for all cells of all levels; the bucket is in every grouping set."""
-    leaf = bucket_sums(base, spec)
+    """Sums for all cells of all levels, exact in any order; the bucket is in every grouping set."""
+    leaf = _part_sums(base, spec)
     always = [PERIOD, BUCKET]
     sets = [[*always, *kept] for kept in kept_sets(spec.dims, levels)]
-    return leaf.groupingSets(sets, *always, *spec.dims).agg(
-        level_flag(spec.dims).alias(LEVEL), *[F.sum(out).alias(out) for out in spec.sums.values()]
+    added = leaf.groupingSets(sets, *always, *spec.dims).agg(
+        level_flag(spec.dims).alias(LEVEL), *[F.sum(p).alias(p) for p in part_names(spec)]
     )
+    shown = [f"{e} AS {quote(n)}" for n, e in totals(spec).items()]
+    return added.selectExpr(*always, *map(quote, spec.dims), LEVEL, *shown)
 
 
 def cube_first_seen(base: DataFrame, spec: MetricSpec, key: str, levels: Levels = "cube") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,9 +43,13 @@ def running_spine(
     closes: Column,
     step_minutes: int = 10,
     order: str = BUCKET,
+    shown: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """W1 + J1 + J2 + W2 in one pass: running totals at every point of the spine.
 
+    ``shown`` names the results and gives them as SQL over the totals, before quiet points are made; without it
+    the totals themselves are the results.
+
     ``df`` has one row per cell and *active* bucket. Each row knows how long its total
     holds (until the next active bucket), so the quiet points are exploded from it after
     the window. The full grid is therefore never joined, sorted or shuffled; a window
@@ -61,6 +65,9 @@ def running_spine(
             "_first": F.row_number().over(ordered) == 1,
         }
     )
+    if shown is not None:
+        totals = totals.selectExpr(*map(quote, cell), quote(order), "_next", "_first", *[f"{e} AS {quote(n)}" for n, e in shown.items()])
+        columns = list(shown)
     filled = totals.withColumn(
         "_point",
         F.explode(

@@ -4,26 +4,27 @@ The plan, for any number of sums and keys, reads the detail rows once:
 
 1. ``leaf_facts``: each detail row is laid out once for the sums and once per key, then
    reduced to amounts per (dims, bucket) and to the first bucket per (dims, key).
-2. ``tagged_facts``: amounts, and keys that occur in a single leaf cell, add up over the
-   levels of a cube. Only keys seen in several leaf cells do not; those rows are repeated
-   per level, next to their key, and reduced to the first bucket per (cell, key).
-3. ``cell_changes``: additive rows are counted per leaf cell first and only then repeated
-   per level, which leaves new keys and amounts per cell and active bucket.
+2. ``marked_facts``: amounts, and keys that occur in a single leaf cell, add up over the
+   levels of a cube; only keys seen in several leaf cells do not. Keys are told apart in two
+   steps, so that the cells of one key never meet in a task.
+3. ``level_changes``: every level comes from a coarser-by-a-dimension chain of levels
+   (``lattice``), each reduced before the next is made from it: additive rows to counts per cell and bucket, shared
+   keys to the first bucket per cell and key. No row is repeated for all levels of a wide cube.
 4. ``running_spine``: running totals, then the quiet points are filled in.
 
-Repeating every (dims, key) row 2^n times, as a plain cube does, is thus limited to the
-keys that need it.
+Every reduction groups by the cell and combines before its shuffle, so neither a key in all cells nor a cell
+that holds all rows is gathered anywhere.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
-from decimal import Decimal
+from collections.abc import Mapping, Sequence
+from math import prod
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.amounts import amount_parts, part_names, sum_alias, tidied, totals
 from tidemark.functions.cleaning import export_names
 from tidemark.functions.minutes import as_date, at_time, minute_of_day, period_end
 from tidemark.operators.aggregates import (
@@ -34,9 +35,7 @@ from tidemark.operators.aggregates import (
     label_totals,
     mask_levels,
     prepare,
-    sum_alias,
 )
-from tidemark.operators.joins import join_lookup
 from tidemark.operators.windows import running_spine
 from tidemark.sources.shared import ensure_checkpoint_dir
 from tidemark.spec import ALL_LABEL, Levels, MetricSpec, kept_sets, level_code, quote
@@ -44,11 +43,13 @@ from tidemark.spec import ALL_LABEL, Levels, MetricSpec, kept_sets, level_code,
 SLOT = "_slot"
 OWN_BUCKET = "_own_bucket"
 LANE = "_lane"
-KIND = "_kind"
-ADDITIVE, SHARED, HOT = 0, 1, 2
 
-# A key in more leaf cells than this is not repeated per level within one task.
-HOT_KEY_CELLS = 100_000
+#: Lanes that the cells of one key are spread over while they are counted.
+LANES = 256
+#: Cells of one key that may meet in a task.
+FEW_CELLS = 100_000
+#: Levels that a row is repeated for in one step of the lattice.
+FAN_OUT = 8
 
 
 def cumulative(
@@ -61,16 +62,16 @@ def cumulative(
     history: str = "day",
     days: Sequence | None = None,
     all_label: str = ALL_LABEL,
-    hot_key_cells: int = HOT_KEY_CELLS,
+    fan_out: int = FAN_OUT,
     checkpoint: bool = False,
 ) -> DataFrame:
     """Cumulative report: ``<dims>, level, date_minute, <metrics>, date_p``.
 
     ``start`` and ``end`` are times of day (``"10:00"``), ``days`` limits the days read,
-    ``history`` says what happens to rows before ``start``. ``checkpoint=True`` writes the
-    reduced rows to the checkpoint folder, so that a lost executor never causes the detail
-    rows to be read again; it runs that first step at once. Hot keys are then known before
-    any rows of a key are brought together, so no task sees all leaf cells of one.
+    ``history`` says what happens to rows before ``start``. With more than ``fan_out`` levels they are made step by step;
+    the spec's ``dim_sizes`` then say which finer level is the smallest to make one from.
+    ``checkpoint=True`` writes the reduced rows to the checkpoint folder, so that a lost executor never causes the detail
+    rows to be read again; it runs that first step at once, and estimates unknown sizes from those rows.
     """
     chosen_days = [as_date(d) for d in days] if days else None
     base = prepare(df, spec, start=start, end=end, history=history, days=chosen_days)
@@ -85,17 +86,20 @@ def cumulative(
     if wanted == [tuple(spec.dims)]:
         changes = leaf_changes(leaf, spec)
     else:
-        hot = hot_keys(leaf, spec, hot_key_cells) if checkpoint and spec.distincts else None
-        changes = cell_changes(tagged_facts(leaf, spec, wanted, hot_key_cells, hot), spec, wanted)
+        sizes = spec.dim_sizes
+        if checkpoint and len(wanted) > fan_out:
+            sizes = {**leaf.agg(*[F.approx_count_distinct(d).alias(d) for d in spec.dims]).first().asDict(), **sizes}
+        changes = level_changes(marked_facts(leaf, spec), spec, lattice(spec.dims, wanted, fan_out, sizes))
     if chosen_days and not spec.dims:
         changes = with_empty_days(changes, spec, chosen_days, first)
     report = running_spine(
         changes,
         [PERIOD, LEVEL, *spec.dims],
-        spec.metric_names,
+        [*spec.distincts.values(), *part_names(spec)],
         at_time(PERIOD, first),
         at_time(period_end(PERIOD, spec.period), last),
         spec.step_minutes,
+        shown={**{k: quote(k) for k in spec.distincts.values()}, **totals(spec)},
     )
     return export_names(label_totals(report, spec.dims, all_label)).select(
         *spec.dims, LEVEL, "date_minute", *spec.metric_names, "date_p"
@@ -110,10 +114,10 @@ def leaf_facts(base: DataFrame, spec: MetricSpec) -> DataFrame:
     stage. Unused columns of a slot are null, so they cost next to nothing on the wire.
     """
     keys = [key_alias(i) for i in range(len(spec.distincts))]
-    sums = part_names(spec)
+    sums = [sum_alias(i) for i in range(len(spec.sums))]
     dims = [quote(d) for d in spec.dims]
     # each value column twice, as itself and as a null of its type; a slot uses one of them
-    given = {OWN_BUCKET: BUCKET, **{k: k for k in keys}, **amount_parts(spec)}
+    given = {OWN_BUCKET: BUCKET, **{k: k for k in keys}, **{s: s for s in sums}}
     rows = base.selectExpr(PERIOD, *dims, BUCKET, *[f"{e} AS {n}_some" for n, e in given.items()])
     sources = rows.selectExpr("*", *[f"if(false, {n}_some, null) AS {n}_none" for n in given])
     values = [OWN_BUCKET, *keys, *sums]
@@ -127,62 +131,21 @@ def leaf_facts(base: DataFrame, spec: MetricSpec) -> DataFrame:
         rows=sources,
     )
     counted = " OR ".join(f"{v} IS NOT NULL" for v in (OWN_BUCKET, *keys))
-    return (
+    parts = amount_parts(spec)
+    reduced = (
         laid_out.filter(counted)
-        .groupBy(PERIOD, *spec.dims, F.expr(f"cast({SLOT} AS int) AS {SLOT}"), OWN_BUCKET, *keys)
-        .agg(F.min(BUCKET).alias(BUCKET), *[F.sum(s).alias(s) for s in sums])
+        .selectExpr(PERIOD, *dims, f"cast({SLOT} AS int) AS {SLOT}", OWN_BUCKET, *keys, BUCKET, *[f"{e} AS {n}" for n, e in parts.items()])
+        .groupBy(PERIOD, *spec.dims, SLOT, OWN_BUCKET, *keys)
+        .agg(F.min(BUCKET).alias(BUCKET), *[F.sum(p).alias(p) for p in parts])
     )
-
-
-def exact_scale(spec: MetricSpec) -> int | None:
-    """Scale of a decimal amount that is added up as two whole numbers; None for others."""
-    found = re.fullmatch(r"decimal\((\d+),\s*(\d+)\)", spec.sum_type)
-    if found and int(found.group(1)) <= 18 and int(found.group(2)) <= 6:
-        return int(found.group(2))
-    return None
-
-
-def part_names(spec: MetricSpec) -> list[str]:
-    names = [sum_alias(i) for i in range(len(spec.sums))]
-    return names if exact_scale(spec) is None else [f"{n}_{part}" for n in names for part in ("units", "rest")]
-
-
-def amount_parts(spec: MetricSpec) -> dict[str, str]:
-    """Amounts as whole units and the rest in the last decimal place.
-
-    Both add up exactly as longs. Sums of decimals are wider than 18 digits, which costs
-    several times as much per row; units and rest hold sums of 10^18 units over 10^12 rows.
-    """
-    scale = exact_scale(spec)
-    if scale is None:
-        return {n: n for n in part_names(spec)}
-    parts = {}
-    for i in range(len(spec.sums)):
-        digits = f"cast({sum_alias(i)} * {10**scale} AS bigint)"
-        parts[f"{sum_alias(i)}_units"] = f"{digits} div {10**scale}"
-        parts[f"{sum_alias(i)}_rest"] = f"{digits} % {10**scale}"
-    return parts
-
-
-def summed_amounts(spec: MetricSpec) -> list[Column]:
-    """Sums under their output names; exact ones as ``decimal(38, scale)``."""
-    scale = exact_scale(spec)
-    out = []
-    for i, name in enumerate(spec.sums.values()):
-        total = f"sum({sum_alias(i)})"
-        if scale is not None:
-            kind, last_place = f"decimal(38,{scale})", f"{Decimal(1).scaleb(-scale):f}"
-            units, rest = f"sum({sum_alias(i)}_units)", f"sum({sum_alias(i)}_rest)"
-            total = f"cast(cast({units} AS {kind}) + {rest} * {last_place} AS {kind})"
-        out.append(F.expr(f"coalesce({total}, 0)").alias(name))
-    return out
+    return tidied(reduced, spec)
 
 
 def leaf_changes(leaf: DataFrame, spec: MetricSpec) -> DataFrame:
     """New keys and amounts per leaf cell and active bucket."""
     return leaf.groupBy(PERIOD, F.lit(0).alias(LEVEL), *spec.dims, BUCKET).agg(
         *[F.expr(f"count_if({SLOT} = {i + 1})").alias(out) for i, out in enumerate(spec.distincts.values())],
-        *summed_amounts(spec),
+        *[F.sum(p).alias(p) for p in part_names(spec)],
     )
 
 
@@ -190,108 +153,119 @@ def key_identity(spec: MetricSpec) -> list[str]:
     return [PERIOD, SLOT, OWN_BUCKET, *[key_alias(i) for i in range(len(spec.distincts))]]
 
 
-def hot_keys(leaf: DataFrame, spec: MetricSpec, hot_key_cells: int) -> DataFrame:
-    """Hashes of the keys in more leaf cells than that; counted with partial sums. A
-    colliding key may be among them, and is then handled as a hot one, which is right too."""
-    counts = leaf.filter(F.col(SLOT) > 0).groupBy(F.xxhash64(*key_identity(spec)).alias("_own")).count()
-    return counts.filter(F.col("count") > hot_key_cells).select("_own", F.lit(True).alias("_hot"))
+def new_names(spec: MetricSpec) -> list[str]:
+    return [f"_new{i}" for i in range(len(spec.distincts))]
 
 
-def tagged_facts(
-    leaf: DataFrame,
-    spec: MetricSpec,
-    levels: Sequence[Sequence[str]],
-    hot_key_cells: int = HOT_KEY_CELLS,
-    hot: DataFrame | None = None,
-) -> DataFrame:
-    """Leaf facts with their kind.
+def shared_key(spec: MetricSpec) -> list[str]:
+    return ["_shared_slot", *[f"_shared{key_alias(i)}" for i in range(len(spec.distincts))]]
+
+
+def marked_facts(leaf: DataFrame, spec: MetricSpec, lanes: int = LANES) -> DataFrame:
+    """Leaf facts as rows of level 0: new keys and amounts, and the key where it is shared.
 
-    Additive rows keep their leaf cell. Shared rows, whose key is in several leaf cells,
-    come out once per cell of every level with the key's first bucket there. Rows of a hot
-    key, one in more leaf cells than a task should repeat, keep their leaf cell and key and
-    are resolved in ``cell_changes``, spread over the cluster.
+    A key is shared if it is in several leaf cells. Its rows first meet in ``lanes`` lanes, by
+    a hash of the cell: two in one lane prove it. One row of each lane then meets those of the key's other lanes; the rest
+    go on, spread by cell. So no task gathers the cells of a key. The lanes are left out where ``dim_sizes`` bound the cells of
+    a key by ``FEW_CELLS``. Rows meet by a hash of the key: a collision can only make a key look shared,
+    which gives the same result.
     """
     keys = [key_alias(i) for i in range(len(spec.distincts))]
-    sums = part_names(spec)
     if not keys:
-        return leaf.withColumns({KIND: F.lit(ADDITIVE), LEVEL: F.lit(0)})
-    # Rows of a key meet by a hash: sorting one number is the cheapest way to bring them
-    # together. A collision can only count a key's cells too high, and the kinds for more
-    # cells are right for any key. Amounts never meet a key and are spread by cell too.
-    own = key_identity(spec)
-    if hot is None:
-        marked = leaf.withColumn("_hot", F.lit(False))
-    else:
-        hashed = leaf.withColumn("_own", F.xxhash64(*own))
-        marked = join_lookup(hashed, hot, ["_own"], "left").fillna(False, ["_hot"])
-    spread = F.when(F.expr(f"{SLOT} = 0 OR _hot"), F.xxhash64(*spec.dims))
-    cells = F.count(F.lit(1)).over(Window.partitionBy(LANE))
-    sized = marked.withColumn(LANE, F.xxhash64(*own, spread)).withColumn("_cells", cells)
-    kind = (
-        f"CASE WHEN {SLOT} = 0 THEN {ADDITIVE} WHEN _hot OR _cells > {hot_key_cells} THEN {HOT}"
-        f" WHEN _cells = 1 THEN {ADDITIVE} ELSE {SHARED} END"
-    )
-    repeated = sized.selectExpr("*", f"{kind} AS {KIND}").selectExpr(
-        "*", f"explode(if({KIND} = {SHARED}, {level_codes(spec, levels)}, array(0))) AS {LEVEL}"
-    )
-    # the rows of a key are together already, so this needs no shuffle
-    return (
-        mask_levels(repeated, spec.dims)
-        .groupBy(LANE, *own, KIND, LEVEL, *spec.dims)
-        .agg(F.min(BUCKET).alias(BUCKET), *[F.sum(s).alias(s) for s in sums])
+        return leaf.withColumns({LEVEL: F.lit(0), **{n: F.lit(None).cast("int") for n in shared_key(spec)}, OWN_BUCKET: F.col(BUCKET)})
+    cell = F.xxhash64(*spec.dims)
+    # amounts never meet a key; they are spread by cell and bucket
+    rows = leaf.withColumn("_key", F.when(F.col(SLOT) > 0, F.xxhash64(*key_identity(spec))).otherwise(F.xxhash64(BUCKET, *spec.dims)))
+    lane, near = "_key", "false"
+    if prod(spec.dim_sizes.get(d, FEW_CELLS + 1) for d in spec.dims) > FEW_CELLS:
+        lane, near = LANE, "_near"
+        laned = Window.partitionBy("_key", F.pmod(cell, F.lit(lanes))).orderBy("_cell")
+        ranked = rows.withColumn("_cell", cell).withColumns({"_rank": F.row_number().over(laned), "_more": F.lead(F.lit(True)).over(laned)})
+        rows = ranked.selectExpr("*", "_rank > 1 OR _more IS NOT NULL AS _near", f"if(_rank > 1, xxhash64(_key, _cell), _key) AS {LANE}")
+    counted = rows.withColumn("_several", F.count(F.lit(1)).over(Window.partitionBy(lane)) > 1)
+    shared = f"{SLOT} > 0 AND ({near} OR _several)"
+    return counted.selectExpr(
+        PERIOD,
+        f"0 AS {LEVEL}",
+        *[quote(d) for d in spec.dims],
+        f"if({shared}, null, {BUCKET}) AS {OWN_BUCKET}",
+        *[f"if({shared}, {c}, null) AS {n}" for c, n in zip([SLOT, *keys], shared_key(spec))],
+        BUCKET,
+        *[f"cast(NOT ({shared}) AND {SLOT} = {i + 1} AS bigint) AS {n}" for i, n in enumerate(new_names(spec))],
+        *part_names(spec),
     )
 
 
-def level_codes(spec: MetricSpec, levels: Sequence[Sequence[str]]) -> str:
-    return f"array({', '.join(str(level_code(spec.dims, kept)) for kept in levels)})"
-
+def lattice(
+    dims: Sequence[str], wanted: Sequence[Sequence[str]], fan_out: int = FAN_OUT, sizes: Mapping[str, int] | None = None
+) -> list[dict[int, list[int]]]:
+    """Steps of {finer level: levels made from it}; the first makes them from the facts, level 0 among them.
 
-def cell_changes(facts: DataFrame, spec: MetricSpec, levels: Sequence[Sequence[str]]) -> DataFrame:
-    """New keys and amounts per cell and active bucket, for all wanted levels."""
-    keys = [key_alias(i) for i in range(len(spec.distincts))]
-    sums = part_names(spec)
-    news = [f"_new{i}" for i in range(len(keys))]
-    hot_key = ["_hot_slot", *[f"_hot{k}" for k in keys]]
-    named = facts.selectExpr("*", *[f"if({KIND} = {HOT}, {c}, null) AS {h}" for c, h in zip([SLOT, *keys], hot_key)])
-    counted = named.groupBy(PERIOD, KIND, LEVEL, *spec.dims, BUCKET, *hot_key).agg(
-        *[F.expr(f"count_if({SLOT} = {i + 1}) AS {n}") for i, n in enumerate(news)],
-        *[F.sum(s).alias(s) for s in sums],
-    )
-    again = f"explode(if({KIND} = {SHARED}, array({LEVEL}), {level_codes(spec, levels)}))"
-    placed = counted.withColumn(LEVEL, F.expr(again))
-    # a hot key's rows of one cell meet here and leave its first bucket; others keep theirs
-    joined = (
-        mask_levels(placed, spec.dims)
-        .groupBy(PERIOD, LEVEL, *spec.dims, F.expr(f"if({KIND} = {HOT}, null, {BUCKET}) AS {OWN_BUCKET}"), *hot_key)
-        .agg(F.min(BUCKET).alias(BUCKET), *[F.sum(v).alias(v) for v in (*news, *sums)])
-    )
-    if not keys:
-        return joined.groupBy(PERIOD, LEVEL, *spec.dims, BUCKET).agg(*summed_amounts(spec))
-    # few rows per cell are left: one shuffle serves this step and the running totals
-    return (
-        joined.repartition(PERIOD, LEVEL, *spec.dims)
-        .groupBy(PERIOD, LEVEL, *spec.dims, BUCKET)
-        .agg(
-            *[
-                F.expr(f"sum(if(_hot_slot IS NULL, {n}, cast(_hot_slot = {i + 1} AS bigint)))").alias(out)
-                for i, (n, out) in enumerate(zip(news, spec.distincts.values()))
-            ],
-            *summed_amounts(spec),
-        )
+    With at most ``fan_out`` levels one step makes all. Otherwise a level is made, in the step after, from the smallest
+    finer one there is.
+    """
+    codes = [level_code(dims, kept) for kept in wanted]
+    if len(codes) <= fan_out:
+        return [{0: codes}]
+    size = {d: max(1, (sizes or {}).get(d, 2)) for d in dims}
+
+    def cells(code: int) -> tuple[float, int]:
+        n, left = 1.0, 0
+        for i, d in enumerate(dims):
+            if not code >> (len(dims) - 1 - i) & 1:
+                n, left = n * size[d], left + 1
+        return n, left
+
+    made: dict[int, int] = {0: 0}
+    steps: list[dict[int, list[int]]] = []
+    for code in sorted(set(codes) - {0}, key=lambda c: (c.bit_count(), c)):
+        finer = min((p for p in made if p & code == p), key=lambda p: (*cells(p), p))
+        made[code] = made[finer] + 1
+        while len(steps) < made[code]:
+            steps.append({})
+        steps[made[code] - 1].setdefault(finer, []).append(code)
+    if 0 in codes:
+        steps[0][0].insert(0, 0)
+    return steps
+
+
+def level_changes(facts: DataFrame, spec: MetricSpec, steps: Sequence[Mapping[int, Sequence[int]]]) -> DataFrame:
+    """New keys and amounts per cell and active bucket, for the levels of a ``lattice``."""
+    sums, news = part_names(spec), new_names(spec)
+    own = [PERIOD, LEVEL, *spec.dims, OWN_BUCKET, *shared_key(spec)]
+    levels, now = [], facts
+    for children in steps:
+        choice = " ".join(f"WHEN {finer} THEN array({', '.join(map(str, made))})" for finer, made in children.items())
+        # Not explode and no ELSE: Spark would push a filter on the level below the reduction before, which two
+        # branches then no longer share.
+        again = F.expr(f"explode_outer(CASE {LEVEL} {choice} END)")
+        placed = now.withColumn("_to", again).drop(LEVEL).withColumnRenamed("_to", LEVEL).filter(f"{LEVEL} IS NOT NULL")
+        now = mask_levels(placed, spec.dims).groupBy(*own).agg(F.min(BUCKET).alias(BUCKET), *[F.sum(v).alias(v) for v in (*news, *sums)])
+        levels.append(now)
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
+    return every.groupBy(PERIOD, LEVEL, *spec.dims, BUCKET).agg(
+        *[
+            F.expr(f"sum(if(_shared_slot IS NULL, {n}, cast(_shared_slot = {i + 1} AS bigint)))").alias(out)
+            for i, (n, out) in enumerate(zip(news, spec.distincts.values()))
+        ],
+        *[F.sum(p).alias(p) for p in sums],
     )
 
 
 def with_empty_days(changes: DataFrame, spec: MetricSpec, days: Sequence, first_minute: int) -> DataFrame:
     """Without dimensions, a requested day without rows is a row of zeros."""
     spark = changes.sparkSession
+    values = [*spec.distincts.values(), *part_names(spec)]
     zeros = spark.createDataFrame([(d,) for d in days], "period date").select(
         PERIOD,
         F.lit(0).alias(LEVEL),
         at_time(PERIOD, first_minute).alias(BUCKET),
-        *[F.lit(0).cast(changes.schema[m].dataType).alias(m) for m in spec.metric_names],
+        *[F.lit(0).cast(changes.schema[m].dataType).alias(m) for m in values],
     )
     return (
         changes.unionByName(zeros)
         .groupBy(PERIOD, LEVEL, BUCKET)
-        .agg(*[F.sum(m).cast(changes.schema[m].dataType).alias(m) for m in spec.metric_names])
+        .agg(*[F.sum(m).cast(changes.schema[m].dataType).alias(m) for m in values])
     )

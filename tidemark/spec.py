@@ -42,6 +42,8 @@ class MetricSpec:
     ``sums`` and ``distincts`` map an input column to its output name.
     ``day_col`` names a stored day partition (``DateType`` or ``YYYYMMDD``); without
     it the day comes from ``time_col``. Totals start again with every ``period``.
+    ``dim_sizes`` says how many values dimensions have at most, where that is known; it only helps to
+    choose a plan, and results do not depend on it.
     """
 
     dims: Sequence[str] = ()
@@ -51,10 +53,11 @@ class MetricSpec:
     day_col: str | None = None
     step_minutes: int = 10
     period: str = "day"
-    sum_type: str = "decimal(32,6)"
+    sum_type: str = "double"
     dim_labels: Mapping[str, DimLabel] = field(default_factory=lambda: dict(DEFAULT_DIM_LABELS))
     key_texts: Sequence[str] = MISSING_KEY_TEXTS
     key_words: Sequence[str] = MISSING_KEY_WORDS
+    dim_sizes: Mapping[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "dims", tuple(self.dims))

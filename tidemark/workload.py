@@ -49,6 +49,7 @@ SPEC = MetricSpec(
     distincts={"user_id": "users"},
     time_col="ts",
     sum_type="decimal(18,2)",
+    dim_sizes={"event_type": 100, "band": 2},
 )
 TWO_KEYS = MetricSpec(
     dims=["event_type"],
@@ -56,6 +57,7 @@ TWO_KEYS = MetricSpec(
     distincts={"event_id": "requests", "user_id": "users"},
     time_col="ts",
     sum_type="decimal(18,2)",
+    dim_sizes={"event_type": 100},
 )
 NO_DIMS = MetricSpec(
     sums={"value": "amount"}, distincts={"user_id": "users"}, time_col="ts", sum_type="decimal(18,2)"
@@ -68,9 +70,36 @@ ITEMS = MetricSpec(
     step_minutes=1440,
     period="month",
     sum_type="decimal(18,2)",
+    dim_sizes={"l_returnflag": 10, "l_linestatus": 10},
 )
 
 
+SEVEN = MetricSpec(
+    dims=["flag", "status", "order_status", "priority", "amount_band", "discount_band", "tax_band"],
+    sums={"l_quantity": "quantity"},
+    distincts={"l_orderkey": "orders", "l_suppkey": "suppliers"},
+    time_col="stamp",
+    step_minutes=360,
+    sum_type="decimal(18,2)",
+)
+
+
+def wide_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Items with dimensions of their orders; a year stands for a day, its months for two hours each."""
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("order_status"), F.col("o_orderpriority").alias("priority"))
+    band = lambda c, at: F.when(F.col(c) < at, "low").otherwise("high")
+    items = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_suppkey", "l_quantity",
+        F.col("l_returnflag").alias("flag"),
+        F.col("l_linestatus").alias("status"),
+        band("l_quantity", 26).alias("amount_band"),
+        band("l_discount", 0.05).alias("discount_band"),
+        band("l_tax", 0.04).alias("tax_band"),
+        F.expr("make_timestamp_ntz(year(l_shipdate), 1, 1, (month(l_shipdate) - 1) * 2, 0, 0)").alias("stamp"),
+    )
+    return items.join(orders, "l_orderkey")
+
+
 def plain(df: DataFrame, *decimals: str) -> DataFrame:
     """Amounts as doubles and stamps as text, so that engines compare alike."""
     shown = {c: F.col(c).cast("double") for c in decimals}
@@ -97,13 +126,27 @@ def cum_cube(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def cum_cube_hot_keys(spark: SparkSession, folder: str) -> DataFrame:
-    """The cube with nearly every user treated as a hot key."""
-    return plain(cumulative(events(spark, folder), SPEC, hot_key_cells=2), "amount")
+    """The cube without a bound on the cells of a key, its levels made one from another as in a wide cube."""
+    return plain(cumulative(events(spark, folder), replace(SPEC, dim_sizes={}), fan_out=1), "amount")
 
 
 @query
 def cum_cube_checkpoint(spark: SparkSession, folder: str) -> DataFrame:
-    return plain(cumulative(events(spark, folder), SPEC, checkpoint=True, hot_key_cells=2), "amount")
+    return plain(cumulative(events(spark, folder), SPEC, checkpoint=True, fan_out=2), "amount")
+
+
+@query
+def cum_cube_seven(spark: SparkSession, folder: str) -> DataFrame:
+    """All 128 levels of seven dimensions, for the quarters of each year of shipping."""
+    return plain(cumulative(wide_items(spark, folder), SEVEN, checkpoint=True), "quantity")
+
+
+@query
+def cum_double_amounts(spark: SparkSession, folder: str) -> DataFrame:
+    """Amounts from 10^-9 to 10^30 as doubles; a type of event has one magnitude, so its sums are exact in any engine."""
+    scale = F.when(F.col("event_type") == "click", 2.0**100).when(F.col("event_type") == "view", 2.0**-30).when(F.col("event_type") == "error", 2.0**60)
+    rows = events(spark, folder).withColumn("value", (F.col("k") + 1) * F.coalesce(scale, F.lit(1.0)))
+    return plain(cumulative(rows, replace(SPEC, sum_type="double"), levels=[["event_type", "band"], ["event_type"]]))
 
 
 @query

@@ -71,6 +71,30 @@ SQL["cum_leaf"] = cumulative_sql(TWO, [0], USERS)
 SQL["cum_cube"] = cumulative_sql(TWO, [0, 1, 2, 3], USERS)
 SQL["cum_cube_hot_keys"] = SQL["cum_cube"]
 SQL["cum_cube_checkpoint"] = SQL["cum_cube"]
+SQL["cum_double_amounts"] = cumulative_sql(
+    TWO,
+    [0, 1],
+    USERS,
+    rows="SELECT * REPLACE ((k + 1) * CASE event_type WHEN 'click' THEN pow(2.0::DOUBLE, 100) WHEN 'view' THEN pow(2.0::DOUBLE, -30)"
+    " WHEN 'error' THEN pow(2.0::DOUBLE, 60) ELSE 1.0::DOUBLE END AS v) FROM e",
+)
+SEVEN = ["flag", "status", "order_status", "priority", "amount_band", "discount_band", "tax_band"]
+SQL["cum_cube_seven"] = f"""WITH r AS (
+  SELECT l_orderkey, l_suppkey, CAST(l_quantity AS DECIMAL(18,2)) AS q, l_returnflag AS flag, l_linestatus AS status,
+    o_orderstatus AS order_status, o_orderpriority AS priority, CASE WHEN l_quantity < 26 THEN 'low' ELSE 'high' END AS amount_band,
+    CASE WHEN l_discount < 0.05 THEN 'low' ELSE 'high' END AS discount_band, CASE WHEN l_tax < 0.04 THEN 'low' ELSE 'high' END AS tax_band,
+    year(l_shipdate) AS y, quarter(l_shipdate) AS b
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ points AS (SELECT unnest(range(1, 5)) AS p),
+ g AS (SELECT y, p, CAST(GROUPING({', '.join(SEVEN)}) AS INTEGER) AS level, {', '.join(f"coalesce({d}, {ALL}) AS {d}_" for d in SEVEN)},
+   count(DISTINCT l_orderkey) AS orders, count(DISTINCT l_suppkey) AS suppliers, sum(q) AS quantity
+   FROM r JOIN points ON b <= p GROUP BY y, p, CUBE ({', '.join(SEVEN)})),
+ cells AS (SELECT DISTINCT y, level, {', '.join(f"{d}_" for d in SEVEN)} FROM g)
+SELECT {', '.join(f"c.{d}_ AS {d}" for d in SEVEN)}, c.level, CAST(c.y AS VARCHAR) || '0101' || lpad(CAST(6 * (points.p - 1) AS VARCHAR), 2, '0') || '00' AS date_minute,
+  coalesce(orders, 0) AS orders, coalesce(suppliers, 0) AS suppliers, coalesce(CAST(quantity AS DOUBLE), 0) AS quantity,
+  CAST(c.y * 10000 + 101 AS INTEGER) AS date_p
+FROM cells c CROSS JOIN points LEFT JOIN g ON g.y = c.y AND g.p = points.p AND g.level = c.level
+  AND {' AND '.join(f"g.{d}_ = c.{d}_" for d in SEVEN)}"""
 SQL["cum_nodims"] = cumulative_sql([], [0], USERS)
 SQL["cum_rollup"] = cumulative_sql(TWO, [0, 1, 3], USERS)
 SQL["cum_chosen_levels"] = cumulative_sql(TWO, [2, 3], USERS)
