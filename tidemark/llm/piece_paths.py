@@ -10,7 +10,8 @@ Ties: the path of fewer pieces wins, then the one whose last piece is longer.
 
 A space is written as U+2581 and one is put before the text, as the vocabulary expects. Where
 no piece has U+2581 behind another character, no piece spans the beginning of a run of
-spaces: the text is cut there, the parts are encoded one by one and the results kept.
+spaces: the text is cut there, the parts are encoded one by one and the results kept. The
+same holds for any two neighbours that no piece has side by side.
 
 Defined results: null and empty texts have no ids. Decoding an encoding gives the text back,
 whatever is in it: a U+2581 of the text itself is written as bytes.
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import ship
@@ -52,7 +54,8 @@ class Pieces:
         if usable:
             self.automaton.make_automaton()
         self.empty = not usable
-        self.cache, self.kept = cache, {}
+        self.pairs = {(a, b) for i in usable for a, b in zip(self.pieces[i], self.pieces[i][1:])}
+        self.cache, self.kept, self.tails = cache, {}, {}
         self.spelled = [self.bytes_of.get(i, p.replace(MARK, " ").encode()) for i, p in enumerate(self.pieces)]
 
     def path(self, text: str) -> list[int]:
@@ -88,6 +91,27 @@ class Pieces:
     def _spelled(self, text: str) -> str:
         return text.replace(MARK, _OUTSIDE).replace(" ", MARK)
 
+    def _word(self, word: str) -> bytes:
+        """The ids of a word with its mark. It is cut where no piece has the two neighbours, as no path spans that
+        place; so a word is searched once, whatever punctuation it meets."""
+        marked = MARK + self._spelled(word)
+        if word.isalnum():
+            return np.array(self.path(marked), np.int32).tobytes()
+        cuts = [at for at, pair in enumerate(zip(marked, marked[1:]), 1) if pair not in self.pairs]
+        if not cuts:
+            return np.array(self.path(marked), np.int32).tobytes()
+        out = []
+        for a, b in zip([0, *cuts], [*cuts, len(marked)]):
+            part = marked[a:b]
+            place, key = (self.tails, part) if a else (self.kept, word[: b - 1])
+            ids = place.get(key)
+            if ids is None:
+                ids = np.array(self.path(part), np.int32).tobytes()
+                if len(place) < self.cache:
+                    place[key] = ids
+            out.append(ids)
+        return b"".join(out)
+
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
@@ -101,7 +125,7 @@ class Pieces:
         if None in found:
             for at, word in enumerate(words):
                 if found[at] is None:
-                    ids = found[at] = kept.get(word) or np.array(self.path(MARK + self._spelled(word)), np.int32).tobytes()
+                    ids = found[at] = kept.get(word) or self._word(word)
                     if len(kept) < self.cache:
                         kept[word] = ids
         return np.frombuffer(b"".join(found), np.int32)
@@ -174,3 +198,27 @@ def decoded(rows: DataFrame, model: str, column: str = "piece_ids", name: str =
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, name])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.StringType())]))
+
+
+def checked(docs: DataFrame, model: str) -> DataFrame:
+    """doc_id, n_pieces, piece_ids, exact of ``docs`` (doc_id, text): the ids, and whether decoding them gives the text back.
+
+    Encoding and decoding are one pass over the texts.
+    """
+    ship(docs.sparkSession)
+    names = ["doc_id", "n_pieces", "piece_ids", "exact"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = load(model)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                texts = part.column(1).to_pylist()
+                ids = [own.encode(t) for t in texts]
+                exact = [own.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts, strict=True)]
+                counts = np.array([len(x) for x in ids], np.int64)
+                bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), lists, pa.array(exact)], names=names)
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id long, n_pieces long, piece_ids array<int>, exact boolean")
