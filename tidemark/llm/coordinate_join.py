@@ -11,11 +11,14 @@ Jaccard likeness of the full sets is at least ``percent`` / 100.
    removes nearly all documents without a near-duplicate before any pair is formed.
 3. Prefix: of the others, only the ``size - matches + 1`` rarest pairs are posted; two
    signatures with ``matches`` collisions share one of those.
-4. Hub pass: under every posted pair, each class is compared with one class only, the one
-   whose coordinates are the most common (the original that copies were made from). This
-   is linear in the posting's length and joins the bulk of a group of copies.
+4. Hub passes: every posted pair has a hub, the class whose coordinates are the most common (the original that
+   copies were made from), later a random one. A class is compared with one hub, the best of its
+   postings, so a pass has a pair per class at most and joins the bulk of a group of copies.
 5. Rest pass: postings whose classes are in one component by then need no more comparison. In
-   the others, classes of different components are joined with each other. No posting is cut.
+   the others, classes of different components are joined with each other, a pair under the
+   first posting it shares only. No posting is cut.
+
+Sizes filter every join: sets as alike as asked for differ in size by no more.
 
 Candidates are checked on a longer signature (skip): four bits of each of ``CELLS``
 coordinates, compared inside the join, so that pairs below the threshold are not even rows.
@@ -107,10 +110,15 @@ def _alike(a: str, b: str, least: int) -> Column:
     return apart <= CELLS - least
 
 
-def likely(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """The distinct ``pairs`` (a < b) whose cells agree."""
-    sides = [nodes.select(F.col("doc_id").alias(x), *(F.col(w).alias(x + w) for w in WORDS)) for x in "ab"]
-    return pairs.distinct().join(sides[0], "a").join(sides[1], "b").where(_alike("a", "b", least)).select("a", "b")
+def _near_sizes(a: str, b: str, percent: int) -> Column:
+    """Whether sets of these sizes can be as alike as that."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+def likely(pairs: DataFrame, nodes: DataFrame, least: int, percent: int) -> DataFrame:
+    """The ``pairs`` (a < b) whose sizes and cells agree."""
+    sides = [nodes.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"{x}n"), *(F.col(w).alias(x + w) for w in WORDS)) for x in "ab"]
+    return pairs.join(sides[0], "a").join(sides[1], "b").where(_near_sizes("an", "bn", percent) & _alike("a", "b", least)).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -156,35 +164,55 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
 
+def _hub_pairs(rows: DataFrame, step: int) -> DataFrame:
+    """(a, b): each class with one hub at most, the best of its postings' that is not under its label."""
+    order = F.col("weight") if step == 0 else F.xxhash64(F.lit(step), "doc_id").cast("double")
+    top = F.max(F.struct(order.alias("w"), F.col("doc_id").alias("hub"), F.col("component").alias("hub_component")))
+    tops = rows.groupBy("token").agg(top.alias("top")).select("token", "top")
+    other = rows.join(tops, "token").where("component != top.hub_component")
+    best = other.groupBy("doc_id").agg(F.max(F.struct("top.w", "top.hub")).alias("best"))
+    return best.select(F.least("best.hub", "doc_id").alias("a"), F.greatest("best.hub", "doc_id").alias("b")).distinct()
+
+
+def _rest_pairs(postings: DataFrame, spread: DataFrame, labels: DataFrame, least: int, percent: int) -> DataFrame:
+    """(a, b): the likely pairs of classes in different components, each under the first posting that both are in."""
+    rows = _labelled(postings, labels)
+    mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+    open_rows = rows.join(mixed, "token").select("token", "doc_id", "component")
+    own = open_rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    held = stored(open_rows.join(spread.join(own, "doc_id"), "doc_id"), "coordinate-open")
+    sides = [
+        held.select("token", F.col("doc_id").alias(x), F.col("component").alias(f"{x}p"), F.col("n_shingles").alias(f"{x}n"), F.col("tokens").alias(f"{x}t"), *(F.col(w).alias(x + w) for w in WORDS))
+        for x in "ab"
+    ]
+    near = (F.col("a") < F.col("b")) & (F.col("ap") != F.col("bp")) & _near_sizes("an", "bn", percent) & _alike("a", "b", least)
+    first = F.col("token") == F.get(F.array_intersect("at", "bt"), F.lit(0))
+    return sides[0].join(sides[1], "token").where(F.when(near, first).otherwise(False)).select("a", "b")
+
+
 def links(nodes: DataFrame, texts: DataFrame, k: int, percent: int, size: int, matches: int, hubs: int = 2) -> DataFrame:
     """Links (a < b) between classes; whoever is connected by all links is connected by these.
 
-    ``nodes`` has doc_id, coordinates and cells, ``texts`` doc_id and text of the same classes.
+    ``nodes`` has doc_id, n_shingles, coordinates and cells, ``texts`` doc_id and text of the same classes.
     """
     least = threshold_at(percent / 100 + (1 - percent / 100) / 16, CELLS)
-    spread = nodes.select("doc_id", *(F.get("cells", F.lit(i)).alias(w) for i, w in enumerate(WORDS)))
+    spread = nodes.select("doc_id", "n_shingles", *(F.get("cells", F.lit(i)).alias(w) for i, w in enumerate(WORDS)))
     postings = stored(posted(nodes, size, matches), "coordinate-posted")
     found, labels = None, None
-    for step in range(hubs + 1):
-        rows = _labelled(postings, labels)
-        order = F.col("weight") if step == 0 else F.xxhash64(F.lit(step), "doc_id").cast("double")
-        tops = rows.groupBy("token").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct(order.alias("w"), F.col("doc_id").alias("hub"), F.col("component").alias("hub_component"))).alias("top")
-        ).where("low < high").select("token", "top.hub", "top.hub_component")
-        open_rows = rows.join(tops, "token")
-        if step < hubs:
-            pairs = open_rows.where("component != hub_component").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b"))
-            pairs = likely(pairs, spread, least)
-        else:
-            held = stored(open_rows.select("token", "doc_id", "component").join(spread, "doc_id"), "coordinate-open")
-            x = held.select("token", F.col("doc_id").alias("a"), F.col("component").alias("pa"), *(F.col(w).alias("a" + w) for w in WORDS))
-            y = held.select("token", F.col("doc_id").alias("b"), F.col("component").alias("pb"), *(F.col(w).alias("b" + w) for w in WORDS))
-            pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _alike("a", "b", least)).select("a", "b")
-        fresh = confirmed(pairs, texts, k, percent)
+    for step in range(hubs):
+        # Labels only have to say who is surely connected: here a class and the hub it was linked with.
+        fresh = confirmed(likely(_hub_pairs(_labelled(postings, labels), step), spread, least, percent), texts, k, percent)
         found = fresh if found is None else found.unionByName(fresh)
-        if step < hubs:
-            labels = stored(components(found, f"coordinate-{step}"), "coordinate-labels")
-    return found
+        labels = components(found, "coordinate-hubs") if step == hubs - 1 else _stars_of(found)
+        labels = stored(labels, "coordinate-labels")
+    return found.unionByName(confirmed(_rest_pairs(postings, spread, labels, least, percent), texts, k, percent))
+
+
+def _stars_of(edges: DataFrame) -> DataFrame:
+    """(node, component): each node under its smallest neighbour, if that has no smaller one itself; else alone."""
+    down = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
+    low = down.select(F.col("node").alias("component"))
+    return down.join(low, "component", "left_anti").select("node", "component")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int = SIZE, matches: int | None = None) -> DataFrame:
@@ -197,7 +225,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int =
     own = stored(signatures(docs, k, size), "coordinate-signatures")
     held = own.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(held.groupBy("h1", "h2").agg(F.min("doc_id").alias("head")), "coordinate-classes")
-    nodes = stored(held.join(classes, ["h1", "h2"]).where("doc_id = head").select("doc_id", "coordinates", "cells"), "coordinate-nodes")
+    nodes = stored(held.join(classes, ["h1", "h2"]).where("doc_id = head").select("doc_id", "n_shingles", "coordinates", "cells"), "coordinate-nodes")
     texts = docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     members = stored(held.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "head").distinct(), "coordinate-members")
     found = links(nodes, texts, k, percent, size, matches)
