@@ -179,10 +179,21 @@ def test_lookup_join_gives_the_same_either_way(spark):
     facts = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(90)], "n int, gid string")
     lookup = spark.createDataFrame([("hot",), ("hot",), ("k0",), (None,)], "gid string")
     small = joins.exists_flag(facts, lookup, "gid", "flag")
-    large = joins.exists_flag(facts, lookup, "gid", "flag", max_rows=1)
-    assert sorted(small.collect()) == sorted(large.collect())
     assert small.count() == 90 and small.agg(F.sum("flag")).first()[0] == 61
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().toString()
+    rows = sorted(small.collect())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    large = joins.exists_flag(facts, lookup, "gid", "flag")
+    assert rows == sorted(large.collect())
+    assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_lookups_run_nothing_while_the_plan_is_built(spark):
+    facts = spark.createDataFrame([("a",)], "gid string")
+    failing = spark.range(3).select(F.expr("raise_error('read')").cast("string").alias("gid"))
+    flagged = joins.exists_flag(facts, failing, "gid", "flag")
+    assert flagged.columns == ["gid", "flag"]
 
 
 def test_facts_add_up_copies(spark):

@@ -11,37 +11,15 @@ from pyspark.sql import functions as F
 from tidemark.functions.minutes import spine_points
 from tidemark.operators.aggregates import BUCKET
 
-# Rows up to which a lookup is sent whole to every executor.
-BROADCAST_ROWS = 200_000
 
+def join_lookup(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str, distinct: bool = False) -> DataFrame:
+    """Join a large frame with a lookup of unknown size, without asking for its size beforehand.
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the frame has at most ``max_rows`` rows.
-
-    Asks for one row beyond them: partitions are read a few at a time until there is one,
-    so a large frame is not scanned for it.
-    """
-    return not df.select(F.lit(1)).offset(max_rows).head(1)
-
-
-def join_lookup(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    how: str,
-    max_rows: int = BROADCAST_ROWS,
-    distinct: bool = False,
-) -> DataFrame:
-    """Join a large frame with a lookup of unknown size.
-
-    A lookup proven small is broadcast. A larger one is joined by a shuffle on the key,
-    where adaptive execution splits a hot key's rows by the tasks that wrote them, which
-    works for identical copies too. Both sides of that split are exact.
+    Adaptive execution knows the lookup's bytes when its stage has run: below the broadcast threshold it
+    is broadcast. A larger one is joined by a shuffle on the key, where a hot key's rows are split by
+    the tasks that wrote them, which works for identical copies too. Both are exact.
     """
-    small = fits_broadcast(lookup, max_rows)
-    if distinct:
-        lookup = lookup.distinct()
-    return facts.join(F.broadcast(lookup) if small else lookup, list(on), how)
+    return facts.join(lookup.distinct() if distinct else lookup, list(on), how)
 
 
 def grid(cells: DataFrame, opens: Column | str, closes: Column | str, step_minutes: int = 10) -> DataFrame:
@@ -84,17 +62,13 @@ def merge_metrics(frames: Sequence[tuple[DataFrame, Sequence[str]]], keys: Seque
     return reduce(DataFrame.unionByName, stacked).groupBy(*keys).agg(*[F.sum(n).alias(n) for n in types])
 
 
-def match_rules(events: DataFrame, rules: DataFrame, on: str = "event_id", max_rules: int = BROADCAST_ROWS) -> DataFrame:
+def match_rules(events: DataFrame, rules: DataFrame, on: str = "event_id") -> DataFrame:
     """Each event with each rule of its kind."""
-    return join_lookup(events, rules, [on], "inner", max_rules)
+    return join_lookup(events, rules, [on], "inner")
 
 
-def exists_flag(
-    facts: DataFrame, lookup: DataFrame, key: str, flag: str, lookup_key: str | None = None, max_rows: int = BROADCAST_ROWS
-) -> DataFrame:
+def exists_flag(facts: DataFrame, lookup: DataFrame, key: str, flag: str, lookup_key: str | None = None) -> DataFrame:
     """1 when the id is in the lookup, else 0; ids repeated there add no rows."""
-    ids = lookup.select(F.col(lookup_key or key).alias(key)).filter(F.col(key).isNotNull())
-    small = fits_broadcast(ids, max_rows)
-    ids = ids.distinct().withColumn(flag, F.lit(1))
-    joined = facts.join(F.broadcast(ids) if small else ids, [key], "left")
+    ids = lookup.select(F.col(lookup_key or key).alias(key)).filter(F.col(key).isNotNull()).distinct()
+    joined = join_lookup(facts, ids.withColumn(flag, F.lit(1)), [key], "left")
     return joined.select(*facts.columns, F.coalesce(flag, F.lit(0)).alias(flag))

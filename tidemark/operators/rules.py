@@ -136,8 +136,8 @@ def compile_rules(rules: DataFrame) -> RuleSet:
     """Number the conditions and put rules of one identity side by side.
 
     Condition texts are SQL that only trusted configuration may supply; they become
-    columns of the plan, which is why this one small table is read on the driver. Its
-    size is checked first. An optional column ``predicates`` holds structured conditions
+    columns of the plan, which is why this one table is read on the driver, whatever its
+    size: it is configuration, and a plan cannot hold more conditions than the driver. An optional column ``predicates`` holds structured conditions
     (see :func:`predicates_hold`), which stay data and are evaluated for all rules alike.
     """
     structured = "predicates" in rules.columns

@@ -205,12 +205,12 @@ def cum_large_amounts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def rejected_rules(spark: SparkSession, folder: str) -> DataFrame:
-    """Nations as rules, some with a blank level or a bad event; what is turned away and why."""
-    nations = table(spark, folder, "nation")
+    """Parts as rules, some with a blank level or a bad event; what is turned away and why."""
+    parts = table(spark, folder, "part")
     blank = {c: F.lit("") for c in rules.RULE_COLUMNS}
-    rows = nations.select(
-        F.col("n_nationkey").cast("bigint").alias("rule_no"),
-        *[c.alias(n) for n, c in {**blank, "level1": F.when(F.col("n_nationkey") % 3 == 0, " ").otherwise(F.col("n_name")), "event_id": F.when(F.col("n_nationkey") % 2 == 0, "2nd").otherwise("click")}.items()],
+    rows = parts.select(
+        F.col("p_partkey").cast("bigint").alias("rule_no"),
+        *[c.alias(n) for n, c in {**blank, "level1": F.when(F.col("p_partkey") % 3 == 0, " ").otherwise(F.col("p_name")), "event_id": F.when(F.col("p_size") % 2 == 0, "2nd").otherwise("click")}.items()],
     )
     return rules.clean_rules(rows)[1].select("rule_no", "reason")
 

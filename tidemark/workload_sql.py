@@ -119,8 +119,8 @@ SQL["cum_one_day"] = cumulative_sql(TWO, [0, 1, 2, 3], USERS, rows="SELECT * FRO
 SQL["cum_two_keys"] = cumulative_sql(["event_type"], [0, 1], {"event_id": "requests", "user_id": "users"})
 SQL["cum_double_stamp"] = SQL["cum_large_amounts"] = SQL["cum_leaf"]
 SQL["cum_text_days"] = SQL["cum_one_day"]
-SQL["rejected_rules"] = """SELECT CAST(n_nationkey AS BIGINT) AS rule_no, CASE WHEN n_nationkey % 3 = 0 THEN 'level1 is blank'
-  ELSE 'event_id is not a name' END AS reason FROM nation WHERE n_nationkey % 3 = 0 OR n_nationkey % 2 = 0"""
+SQL["rejected_rules"] = """SELECT CAST(p_partkey AS BIGINT) AS rule_no, CASE WHEN p_partkey % 3 = 0 THEN 'level1 is blank'
+  ELSE 'event_id is not a name' END AS reason FROM part WHERE p_partkey % 3 = 0 OR p_size % 2 = 0"""
 SQL["cum_stored_day"] = SQL["cum_leaf"]
 
 ITEM_DIMS = ["l_returnflag", "l_linestatus"]
