@@ -200,7 +200,7 @@ def read(manifest: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 where, base = filesystem(path)
                 with where.open_input_file(base) as source:
                     rows: list[tuple] = []
@@ -208,7 +208,7 @@ def read(manifest: DataFrame) -> DataFrame:
                         crc = 0
                         for p in parts:
                             crc = zlib.crc32(p.astype("<u4", copy=False).tobytes(), crc)
-                        rows.append((number, name, start, sum(map(len, parts)), crc))
+                        rows.append((name, before + start, sum(map(len, parts)), crc))
                         if len(rows) == 10_000:
                             yield packed(rows)
                             rows = []
@@ -216,15 +216,12 @@ def read(manifest: DataFrame) -> DataFrame:
                         yield packed(rows)
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int32(), *[pa.int64()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["file_no", "doc_id", "local", "n_tokens", "ids_crc32"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     every = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
-    before = manifest.select("file_no", F.coalesce(F.sum("n_tokens").over(every), F.lit(0).cast("bigint")).alias("before"))
+    placed = manifest.select("file_no", "path", F.coalesce(F.sum("n_tokens").over(every), F.lit(0).cast("bigint")).alias("before"))
     files = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    spread = manifest.select("file_no", "path").repartition(files, "file_no")
-    found = spread.mapInArrow(run, "file_no int, doc_id long, local long, n_tokens long, ids_crc32 long")
-    return found.join(before, "file_no").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    return placed.repartition(files, "file_no").select("path", "before").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int, bits: bool = False) -> DataFrame:
