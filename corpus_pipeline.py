@@ -35,10 +35,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at five-word shingles and a likeness of 0.8 or more."""
-    judged = coordinate_join.near_duplicates(docs, k=5, percent=80)
-    gone = stored(judged.where("NOT kept").select(F.col("doc_id").alias("doc_id__")).distinct(), "pipeline-near")
-    return docs.join(measured(gone), F.col("doc_id") == F.col("doc_id__"), "left_anti")
+    """One document of each group at five-word shingles and a likeness of 0.8 or more.
+
+    Rows are judged, not doc_ids: each gets a number of its own, in the order of (doc_id, text) with null ids
+    last, and the first row of a group stays. So a doc_id that stands for two texts keeps the one that is unlike others.
+    Rows without a word stay.
+    """
+    own = "row_number"
+    while own in docs.columns:
+        own += "_"
+    order = [F.asc_nulls_last("doc_id"), F.asc("text")]
+    sorted_rows = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Numbers ascend with the order, as partitions do; stored, so that they never change.
+    rows = stored(sorted_rows.withColumn(own, F.monotonically_increasing_id()), "pipeline-rows")
+    judged = coordinate_join.near_duplicates(rows.select(F.col(own).alias("doc_id"), "text"), k=5, percent=80)
+    gone = stored(judged.where("NOT kept").select(F.col("doc_id").alias(f"{own}_gone")), "pipeline-near")
+    return rows.join(measured(gone), F.col(own) == F.col(f"{own}_gone"), "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

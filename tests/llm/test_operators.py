@@ -375,3 +375,17 @@ def test_pipeline_stages(spark, docs):
             now = spark.createDataFrame(now.collect(), now.schema)
         last = corpus_pipeline.STAGES[-1][1](spark, now, folder)
         assert {"doc_id", "piece_ids", "n_pieces"} <= set(last.columns) and last.count() == now.count()
+
+
+def test_pipeline_removes_rows_not_ids(spark):
+    """Two texts under one doc_id, copies without id, repeated rows, and rows without a word."""
+    pick = random.Random(2)
+    a, b = (" ".join(f"w{pick.randrange(500)}" for _ in range(80)) for _ in range(2))
+    near = a.replace(a.split(" ")[40], "other", 1)
+    rows = [(1, a), (2, near), (2, b), (None, a), (3, a), (3, a), (None, near), (4, None), (None, " "), (4, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, 7) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row_number int").repartition(3)
+    out = corpus_pipeline.near_duplicates(spark, df, "")
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (4, None), (4, None), (None, " ")], key=str)
+    assert corpus_pipeline.near_duplicates(spark, df.limit(0), "").count() == 0
