@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import cleaning, minutes, params, text
-from tidemark.operators import aggregates, joins, messages, quality, reports, rules, snapshots, windows
+from tidemark.operators import aggregates, joins, messages, quality, reports, rule_index, rules, snapshots, windows
 from tidemark.operators.aggregates import BUCKET, LEVEL, PERIOD
 from tidemark.plans.attribution import attributed_events, behaviour_detail, material_detail
 from tidemark.plans.cumulative import cumulative
@@ -732,6 +732,52 @@ def structured_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.attribute(log, rules.compile_rules(accepted)).select("record", "rule_no")
 
 
+def order_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """One structured rule per order and nation: those of customers below 100 share one identity per kind of event."""
+    kinds = F.array(*[F.lit(k) for k in ("click", "view", "purchase", "signup", "error")])
+
+    def condition(key: str, op: str, *values: Column) -> Column:
+        return F.struct(F.lit(key).alias("key"), F.lit(op).alias("op"), F.array(*[v.cast("string") for v in values]).cast("array<string>").alias("values"))
+
+    def chosen(number: Column, choices: list[Column]) -> Column:
+        """The choice at ``number`` modulo their count; null beyond those given."""
+        return F.get(F.array(*choices), F.pmod(number, F.lit(len(choices))).cast("int"))
+
+    key, customer, nation = F.col("o_orderkey"), F.col("o_custkey"), F.col("n_nationkey")
+    k = F.pmod(key, F.lit(100))
+    other = chosen(key, [condition("k", ">=", k), condition("tab", "in", F.lit("t0"), F.lit("t2")), condition("k", "not in", F.lit("1"), k), condition("none", "is null")])
+    user = F.when(F.pmod(key, F.lit(3)) == 0, condition("user", "in", customer, customer + 1, customer)).otherwise(condition("user", "=", customer))
+    tab = chosen(key, [F.lit("params['tab']"), F.lit("nvl(params['none'],params['band'])"), F.lit("")])
+    orders = table(spark, folder, "orders").select(
+        key.alias("rule_no"),
+        chosen(key, [F.get(kinds, F.lit(i)) for i in range(5)]).alias("event_id"),
+        F.concat(F.lit("group"), F.greatest(customer, F.lit(99)).cast("string")).alias("level1"),
+        tab.alias("tab_id"),
+        F.when(F.pmod(key, F.lit(7)) == 0, F.array(other, user)).otherwise(F.array(user, other)).alias("predicates"),
+    )
+    wide = chosen(nation, [F.array(condition("k", "<", nation)), F.lit(None), F.array(condition("none", "is null"), condition("band", "=", F.lit("low")))])
+    nations = table(spark, folder, "nation").select(
+        (-1 - nation).alias("rule_no"),
+        chosen(nation, [F.get(kinds, F.lit(i)) for i in range(5)]).alias("event_id"),
+        F.concat(F.lit("nation"), nation.cast("string")).alias("level1"),
+        F.lit("params['k']").alias("tab_id"),
+        wide.alias("predicates"),
+    )
+    given = ("level1", "event_id", "tab_id")
+    blank = {c: F.lit("") for c in rules.RULE_COLUMNS if c not in given}
+    return orders.unionByName(nations).withColumns(blank)
+
+
+@query
+def many_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """As many structured rules as orders, matched through an index: events per rule and value read."""
+    accepted, _ = rules.clean_rules(order_rules(spark, folder))
+    log = event_log(spark, folder)
+    log = log.withColumn("params", F.map_concat("params", F.create_map(F.lit("user"), F.col("gid").cast("string"))))
+    found = rule_index.attribute_indexed(log, accepted, ["record"])
+    return found.groupBy("rule_no", "tab_id").agg(F.count(F.lit(1)).alias("events"), F.sum("record").alias("records"))
+
+
 @query
 def rule_levels(spark: SparkSession, folder: str) -> DataFrame:
     return _attributed(spark, folder).select(

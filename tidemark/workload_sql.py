@@ -365,6 +365,22 @@ SQL["structured_rules"] = f"WITH {EVENTS} " + " UNION ALL ".join(
     f"SELECT event_id AS record, {number} AS rule_no FROM e WHERE event_type = '{kind}' AND {STRUCTURED[c]}"
     for number, (kind, c) in enumerate([("click", 0), ("view", 0), ("click", 1), ("view", 2), ("error", 1)])
 )
+SQL["many_rules"] = f"""WITH {EVENTS}, kinds AS (SELECT ['click', 'view', 'purchase', 'signup', 'error'] AS names),
+ ev AS (SELECT event_id AS record, event_type, user_id, k, k % 3 AS tab, band FROM e),
+ orders_hit AS (SELECT record, o_orderkey AS rule_no, event_type, greatest(o_custkey, 99) AS grp,
+   CASE o_orderkey % 3 WHEN 0 THEN 't' || tab WHEN 1 THEN band END AS value, o_orderkey % 3 < 2 AS named
+  FROM ev, kinds, orders
+  WHERE event_type = names[o_orderkey % 5 + 1]
+    AND (user_id = o_custkey OR (o_orderkey % 3 = 0 AND user_id = o_custkey + 1))
+    AND CASE o_orderkey % 4 WHEN 0 THEN k >= o_orderkey % 100 WHEN 1 THEN tab IN (0, 2) WHEN 2 THEN k NOT IN (1, o_orderkey % 100) ELSE TRUE END),
+ said AS (SELECT record, event_type, grp, arg_min_null(value, rule_no) FILTER (WHERE named) AS tab_id FROM orders_hit GROUP BY ALL),
+ of_orders AS (SELECT o_orderkey AS rule_no, said.tab_id, record FROM said, kinds, orders
+  WHERE event_type = names[o_orderkey % 5 + 1] AND grp = greatest(o_custkey, 99)),
+ of_nations AS (SELECT -1 - n_nationkey AS rule_no, CAST(k AS VARCHAR) AS tab_id, record FROM ev, kinds, nation
+  WHERE event_type = names[n_nationkey % 5 + 1]
+    AND CASE n_nationkey % 3 WHEN 0 THEN k < n_nationkey WHEN 1 THEN TRUE ELSE band = 'low' END)
+SELECT CAST(rule_no AS BIGINT) AS rule_no, tab_id, count(*) AS events, CAST(sum(record) AS BIGINT) AS records
+FROM (SELECT * FROM of_orders UNION ALL SELECT * FROM of_nations) GROUP BY ALL"""
 SQL["rule_levels"] = facts_sql(
     "SELECT record, rule_no, main_func_name, sub_func_level2_name, sub_func_level3_name, tool_level, model_p FROM facts"
 )
