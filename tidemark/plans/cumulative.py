@@ -78,7 +78,25 @@ def cumulative(
     first, last = minute_of_day(start, 0), minute_of_day(end, 1440 - spec.step_minutes)
     first, last = first - first % spec.step_minutes, last - last % spec.step_minutes
 
-    leaf = leaf_facts(base, spec)
+    return report_of_facts(
+        leaf_facts(base, spec), spec, levels=levels, first=first, last=last, days=chosen_days, all_label=all_label, fan_out=fan_out, checkpoint=checkpoint
+    )
+
+
+def report_of_facts(
+    leaf: DataFrame,
+    spec: MetricSpec,
+    *,
+    levels: Levels = "cube",
+    first: int = 0,
+    last: int | None = None,
+    days: Sequence | None = None,
+    all_label: str = ALL_LABEL,
+    fan_out: int = FAN_OUT,
+    checkpoint: bool = False,
+) -> DataFrame:
+    """The report of reduced facts (``leaf_facts``) from minute ``first`` to minute ``last`` of the day."""
+    last = 1440 - spec.step_minutes if last is None else last
     if checkpoint:
         ensure_checkpoint_dir(leaf.sparkSession)
         leaf = leaf.checkpoint()
@@ -90,8 +108,8 @@ def cumulative(
         if checkpoint and len(wanted) > fan_out:
             sizes = {**leaf.agg(*[F.approx_count_distinct(d).alias(d) for d in spec.dims]).first().asDict(), **sizes}
         changes = level_changes(marked_facts(leaf, spec), spec, lattice(spec.dims, wanted, fan_out, sizes))
-    if chosen_days and not spec.dims:
-        changes = with_empty_days(changes, spec, chosen_days, first)
+    if days and not spec.dims:
+        changes = with_empty_days(changes, spec, days, first)
     report = running_spine(
         changes,
         [PERIOD, LEVEL, *spec.dims],

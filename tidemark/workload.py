@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import cleaning, minutes, params, text
 from tidemark.operators import aggregates, joins, messages, quality, reports, rule_index, rules, snapshots, windows
 from tidemark.operators.aggregates import BUCKET, LEVEL, PERIOD
+from tidemark.plans import incremental
 from tidemark.plans.attribution import attributed_events, behaviour_detail, material_detail
 from tidemark.plans.cumulative import cumulative
 from tidemark.sources import readers, writers
@@ -119,6 +120,22 @@ def cum_leaf(spark: SparkSession, folder: str) -> DataFrame:
     return plain(cumulative(events(spark, folder), SPEC, levels="leaf"), "amount")
 
 
+@query
+def cum_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """Three slices of detail rows read one by one, the second of them twice, their facts merged and compacted.
+
+    Rows of odd users arrive a slice late.
+    """
+    source = events(spark, folder)
+    path = scratch_path(spark, "facts")
+    arrives = F.least(F.floor((F.dayofmonth("ts") - 1) / 12) + F.pmod("user_id", F.lit(2)), F.lit(2))
+    for i in (0, 1, 1, 2):
+        incremental.write_slice(source.filter(arrives == i), SPEC, path, str(i))
+    compacted = scratch_path(spark, "facts-compact")
+    incremental.compact(spark, path, SPEC, compacted, "0-2")
+    return plain(incremental.report_of(incremental.read_state(spark, compacted, SPEC), SPEC, levels="leaf"), "amount")
+
+
 @query
 def cum_cube(spark: SparkSession, folder: str) -> DataFrame:
     return plain(cumulative(events(spark, folder), SPEC), "amount")
@@ -1001,3 +1018,45 @@ def stream_first_seen(spark: SparkSession, folder: str) -> DataFrame:
     running.awaitTermination()
     latest = intraday.latest_updates(spark.read.parquet(path), [PERIOD, "event_type", "user_id"], [BUCKET])
     return plain(latest)
+
+
+TEXT_STAMP = replace(TWO_KEYS, time_col="minute", day_col="day")
+
+
+def arriving(spark: SparkSession, folder: str, parts: int, path: str, late: str) -> None:
+    """Events that arrive in ``parts`` deliveries by their number, each read by a stream that then stops."""
+    source = f"{path}-source"
+    rows = table(spark, folder, "events")
+    for i in range(parts):
+        rows.filter(F.pmod("event_id", F.lit(parts)) == i).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        incremental.stream_slices(stream, TWO_KEYS, path, f"{path}-state", late).awaitTermination()
+
+
+@query
+def stream_late_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Two of three events arrive long after their time: the report has all of them, and how many were late."""
+    path = scratch_path(spark, "late-facts")
+    arriving(spark, folder, 3, path, "2 days")
+    late = incremental.late_rows(spark, path).agg(F.sum("late").alias("late"))
+    report = incremental.report_of(incremental.read_state(spark, path, TWO_KEYS), TWO_KEYS, levels="leaf")
+    return plain(report, "amount").withColumn("late_rows", late.scalar())
+
+
+@query
+def stream_text_stamp(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream whose stamps are text and whose stored day differs from them for some rows."""
+    day = F.date_add("ts", F.when(F.pmod("user_id", F.lit(10)) == 0, 1).otherwise(0))
+    stream = event_stream(spark, folder).withColumns({"minute": minutes.minute_text("ts"), "day": minutes.day_number(day)})
+    path = scratch_path(spark, "text-facts")
+    incremental.stream_slices(stream, TEXT_STAMP, path, f"{path}-state").awaitTermination()
+    return plain(incremental.report_of(incremental.read_state(spark, path, TEXT_STAMP), TEXT_STAMP, levels="leaf"), "amount")
+
+
+@query
+def stream_compacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Deliveries of a stream merged into one slice, which the cube is made from."""
+    path = scratch_path(spark, "delivered-facts")
+    arriving(spark, folder, 4, path, "1 day")
+    incremental.compact(spark, path, TWO_KEYS, f"{path}-compact", "all")
+    return plain(incremental.report_of(incremental.read_state(spark, f"{path}-compact", TWO_KEYS), TWO_KEYS), "amount")

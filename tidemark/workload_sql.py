@@ -68,6 +68,7 @@ GROUP BY c.d, c.p, c.level{''.join(f', c.{d}' for d in dims)}"""
 TWO = ["event_type", "band"]
 USERS = {"user_id": "users"}
 SQL["cum_leaf"] = cumulative_sql(TWO, [0], USERS)
+SQL["cum_incremental"] = SQL["cum_leaf"]
 SQL["cum_cube"] = cumulative_sql(TWO, [0, 1, 2, 3], USERS)
 SQL["cum_cube_hot_keys"] = SQL["cum_cube"]
 SQL["cum_cube_checkpoint"] = SQL["cum_cube"]
@@ -117,6 +118,17 @@ SQL["cum_range"] = cumulative_sql(
 )
 SQL["cum_one_day"] = cumulative_sql(TWO, [0, 1, 2, 3], USERS, rows="SELECT * FROM e WHERE d = DATE '2024-01-15'")
 SQL["cum_two_keys"] = cumulative_sql(["event_type"], [0, 1], {"event_id": "requests", "user_id": "users"})
+REQUESTS = {"event_id": "requests", "user_id": "users"}
+# each delivery against the latest stamp of those before it
+LATE = " + ".join(
+    f"(SELECT count(*) FROM events WHERE event_id % 3 = {i} AND ts < (SELECT max(ts) FROM events WHERE event_id % 3 < {i}) - INTERVAL 2 DAY)"
+    for i in (1, 2)
+)
+SQL["stream_late_rows"] = f"SELECT *, CAST({LATE} AS BIGINT) AS late_rows FROM ({cumulative_sql(['event_type'], [0], REQUESTS)})"
+SQL["stream_text_stamp"] = cumulative_sql(
+    ["event_type"], [0], REQUESTS, rows="SELECT * REPLACE (CASE WHEN user_id % 10 = 0 THEN CAST(d + 1 AS DATE) ELSE d END AS d) FROM e"
+)
+SQL["stream_compacted"] = SQL["cum_two_keys"]
 SQL["cum_double_stamp"] = SQL["cum_large_amounts"] = SQL["cum_leaf"]
 SQL["cum_text_days"] = SQL["cum_one_day"]
 SQL["rejected_rules"] = """SELECT CAST(p_partkey AS BIGINT) AS rule_no, CASE WHEN p_partkey % 3 = 0 THEN 'level1 is blank'
