@@ -300,6 +300,15 @@ SQL["reconcile"] = f"""WITH {EVENTS}, o AS (SELECT event_type, band, {DAY.format
   SELECT event_type, band, date_p, CASE WHEN r.users IS NULL THEN 0 ELSE 1 END AS result_rows,
     CASE WHEN o.users IS NULL THEN 0 ELSE 1 END AS oracle_rows, r.users AS users_result, o.users AS users_oracle
   FROM r FULL JOIN o USING (event_type, band, date_p) WHERE r.users IS DISTINCT FROM o.users"""
+# a cell has two rows unless one was lost; damaged days and cells go on whole
+SQL["reconcile_digest"] = f"""WITH found AS ({SQL['reconcile']}), {EVENTS},
+ o AS (SELECT event_type, band, {DAY.format('d')} AS date_p FROM e GROUP BY ALL),
+ r AS (SELECT * FROM o WHERE NOT (date_p % 5 = 0 AND event_type = 'view')),
+ compared AS (SELECT * FROM o UNION ALL SELECT * FROM r)
+SELECT *, CAST((SELECT count(*) FROM compared) AS BIGINT) AS rows_all,
+  CAST((SELECT count(*) FROM compared WHERE date_p IN (SELECT date_p FROM found)) AS BIGINT) AS rows_days,
+  CAST((SELECT count(*) FROM compared WHERE (date_p, event_type) IN (SELECT (date_p, event_type) FROM found)) AS BIGINT) AS rows_cells
+FROM found"""
 SQL["falling_metrics"] = f"""WITH p AS (SELECT * REPLACE (CASE WHEN substr(date_minute, 9, 4) = '1200' THEN users // 2
     ELSE users END AS users) FROM ({SQL['cum_cube']})),
   s AS (SELECT *, lag(users) OVER w AS u, lag(amount) OVER w AS a FROM p
