@@ -998,6 +998,30 @@ def read_rules(spark: SparkSession, folder: str) -> DataFrame:
     return accepted.select("level1", "event_id", "record_type", "scm")
 
 
+@query
+def read_rules_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as rules in several files: ``rule_no`` follows the lines over all of them."""
+    path = scratch_path(spark, "rule-files")
+    fields = F.concat_ws("\x01", *[F.col("p_name") if c == "level1" else F.lit("") for c in rules.RULE_COLUMNS], F.lit(""))
+    ordered = table(spark, folder, "part").repartitionByRange("p_partkey").sortWithinPartitions("p_partkey")
+    ordered.select(fields.alias("value")).write.text(path)
+    return readers.read_rules(spark, path).select("rule_no", "level1")
+
+
+@query
+def delimited_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as text files whose separators differ, one for each kind of event."""
+    path = scratch_path(spark, "mixed")
+    source = table(spark, folder, "events").select("event_id", "user_id", "event_type", "props")
+    by_kind = {"click": "\x01", "view": "\x00", "error": "\t"}
+    lines = F.coalesce(
+        *[F.when(F.col("event_type") == kind, F.concat(F.concat_ws(s, *source.columns), F.lit(s))) for kind, s in by_kind.items()],
+        F.concat_ws(",", *source.columns),
+    )
+    source.select(lines.alias("value"), F.col("event_type").alias("kind")).write.partitionBy("kind").text(path)
+    return readers.read_delimited_files(spark, path, [*source.columns, "absent"])
+
+
 @query
 def insert_day_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """A day table: all days loaded, one day replaced by name, one day made known again."""

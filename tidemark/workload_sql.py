@@ -464,6 +464,8 @@ SQL["write_dynamic_roundtrip"] = f"""WITH {EVENTS} SELECT CASE WHEN band = 'low'
 SQL["delimited_roundtrip"] = """SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id,
   event_type, props, '' AS absent FROM events"""
 
+SQL["delimited_mixed"] = SQL["delimited_roundtrip"]
+SQL["read_rules_files"] = "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS rule_no, p_name AS level1 FROM part"
 SQL["read_detail"] = "SELECT o_orderkey, o_orderstatus FROM orders"
 SQL["read_rules"] = """SELECT p_name AS level1, 'click' AS event_id, p_type AS record_type, '无参数' AS scm
   FROM part WHERE p_name <> ''"""
