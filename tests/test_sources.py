@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from conftest import records
@@ -157,6 +158,39 @@ def test_tables_with_named_and_dynamic_partitions(spark, tmp_path):
     spark.sql("DROP TABLE tidemark_day")
 
 
+def test_two_writers_at_once(spark, tmp_path):
+    """Each replaces its own days of one table, by an option of the write; the session's setting stays."""
+    columns = writers.column_types("cnt bigint, date_p int, kind string")
+    writers.create_day_table(spark, "tidemark_both", columns, ("date_p", "kind"), path=str(tmp_path / "t"))
+    rows = lambda days, n: spark.createDataFrame([(n, d, k) for d in days for k in ("a'b", "c/d", None)], columns)
+    days = [(20251201, 20251202, 20251203), (20251204, 20251205, 20251206)]
+    assert writers.write_dynamic(rows(sum(days, ()), 1), "tidemark_both") == 18
+    with ThreadPoolExecutor(2) as pool:
+        for _ in range(3):
+            done = [pool.submit(writers.write_dynamic, rows(d[:2], 2 + i), "tidemark_both") for i, d in enumerate(days)]
+            assert [d.result() for d in done] == [6, 6]
+            assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+    found = {(r.date_p, r.cnt): r["count"] for r in spark.table("tidemark_both").groupBy("date_p", "cnt").count().collect()}
+    wanted = {**{(d, 2): 3 for d in days[0][:2]}, **{(d, 3): 3 for d in days[1][:2]}, (20251203, 1): 3, (20251206, 1): 3}
+    assert found == wanted and not [p for p in (tmp_path / "t").iterdir() if "staging" in p.name]
+    assert writers.write_dynamic(rows([20251201], 9), "tidemark_both", "append") == 3
+    assert spark.table("tidemark_both").count() == 21
+    spark.sql("DROP TABLE tidemark_both")
+
+
+def test_an_empty_result_is_reported(spark, tmp_path, caplog):
+    columns = writers.column_types("cnt bigint, date_p int")
+    writers.create_day_table(spark, "tidemark_none", columns, path=str(tmp_path / "t"))
+    rows = spark.createDataFrame([(1, 20251201)], columns)
+    assert writers.write_dynamic(rows, "tidemark_none") == 1 and not caplog.records
+    assert writers.write_dynamic(rows.filter("cnt > 1"), "tidemark_none") == 0
+    assert writers.write_dynamic(rows.limit(0), "tidemark_none") == 0
+    assert writers.write_days(rows.limit(0), str(tmp_path / "d")) == 0 and writers.write_days(rows, str(tmp_path / "d")) == 1
+    assert writers.write_day(rows, str(tmp_path / "d"), 20251202) == 0 and "2025-12-02" in caplog.records[-1].getMessage()
+    assert len(caplog.records) == 4 and spark.table("tidemark_none").count() == 1
+    spark.sql("DROP TABLE tidemark_none")
+
+
 class Connection:
     """Keeps what is asked of it; ``fail`` names a statement that breaks."""
 

@@ -6,15 +6,18 @@ Writes go through Spark's committer, so a lost executor leaves no partial day be
 from __future__ import annotations
 
 import datetime as dt
+import logging
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.functions.minutes import as_date
 from tidemark.spec import quote
 
+LOG = logging.getLogger(__name__)
+
 # Defaults of the sink.
 FILES_PER_WRITE = 16
 CODEC = "snappy"
@@ -70,17 +73,18 @@ def write_day(
     minute: str = "date_minute",
     max_records_per_file: int | None = None,
     format: str = "orc",
-) -> None:
-    """K1, K4-K6: rows of one day into its partition; other days are left alone.
+) -> int:
+    """K1, K4-K6: rows of one day into its partition; other days are left alone. Returns the rows written.
 
-    Overwriting is dynamic, so a result without rows of the day overwrites nothing.
+    Overwriting is dynamic, so a result without rows of the day overwrites nothing; it is reported as a warning.
     Slices are one write whose rows lie in slice order, not a loop of writes.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     rows = df.filter(F.col("date_p") == int(f"{as_date(day):%Y%m%d}"))
-    rows = _write_order(rows, files, slice_minutes, minute)
+    rows, seen = _counted(_write_order(rows, files, slice_minutes, minute))
     _writer(rows, mode, codec, max_records_per_file, format).partitionBy("date_p").save(path)
+    return _noticed(seen, f"{path}, day {as_date(day)}")
 
 
 def write_days(
@@ -93,12 +97,13 @@ def write_days(
     codec: str = CODEC,
     max_records_per_file: int | None = None,
     format: str = "orc",
-) -> None:
-    """K1 for every day of a result at once; only days that occur are replaced."""
+) -> int:
+    """K1 for every day of a result at once; only days that occur are replaced. Returns the rows written."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    rows = _sized(df, files, partitions)
+    rows, seen = _counted(_sized(df, files, partitions))
     _writer(rows, mode, codec, max_records_per_file, format).partitionBy(*partitions).save(path)
+    return _noticed(seen, path)
 
 
 def _write_order(rows: DataFrame, files: int | None, slice_minutes: int | None, minute: str) -> DataFrame:
@@ -125,20 +130,52 @@ def table_layout(spark: SparkSession, table: str) -> tuple[StructType, list[str]
     return spark.table(table).schema, [c.name for c in columns if c.isPartition]
 
 
-def write_dynamic(df: DataFrame, table: str, mode: str = "overwrite", *, files: int | None = None, day: str = "date_p") -> None:
-    """K2, K3: into an existing partitioned table; partitions that occur are replaced."""
+def write_dynamic(df: DataFrame, table: str, mode: str = "overwrite", *, files: int | None = None, day: str = "date_p") -> int:
+    """K2, K3: into an existing partitioned table; partitions that occur are replaced. Returns the rows written.
+
+    Rows are staged beside the table and swapped in partition by partition when all are written, as an option of this one
+    write: no session setting changes, so several writers may run at once, as long as their partitions differ.
+    The table keeps its partitions in its own folder.
+    """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     spark = df.sparkSession
     schema, partitions = table_layout(spark, table)
     aligned = _sized(align_to_table(df, schema, partitions, day), files, partitions)
-    # insertInto takes the mode from the session, not from a writer option
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        aligned.write.insertInto(table, overwrite=mode == "overwrite")
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    # ``date_p = 20251226, kind = 'a'`` of every partition written, few beside its rows
+    one = F.concat_ws(", ", *[F.concat(F.lit(f"{quote(p)} = "), _literal(p)) for p in partitions])
+    counted, seen = _counted(aligned, F.array_join(F.collect_set(one), "\n").alias("partitions"))
+    if mode == "append":
+        counted.write.insertInto(table)
+    else:
+        told = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+        writer = counted.write.mode("overwrite").format(told["Provider"]).option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(*partitions).save(told["Location"])
+        for part in filter(None, (seen.get["partitions"] or "").split("\n")):
+            spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION ({part})")
+        spark.catalog.refreshTable(table)
+    return _noticed(seen, table)
+
+
+def _literal(column: str):
+    """A partition's value as SQL text."""
+    value = F.col(column).cast("string")
+    escaped = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+    return F.coalesce(F.concat(F.lit("'"), escaped, F.lit("'")), F.lit("null"))
+
+
+def _counted(rows: DataFrame, *more) -> tuple[DataFrame, Observation]:
+    """Rows that are counted while they are written."""
+    seen = Observation()
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *more), seen
+
+
+def _noticed(seen: Observation, target: str) -> int:
+    """Rows written; a result without any is reported, since it replaces nothing."""
+    rows = seen.get["rows"]
+    if not rows:
+        LOG.warning("no rows for %s: what it holds is left as it was", target)
+    return rows
 
 
 def create_day_table(
