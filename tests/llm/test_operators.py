@@ -208,6 +208,20 @@ def test_spans(docs, given, empty):
     assert sentence_spans.deduplicated(docs).count() == len(given) and sentence_spans.deduplicated(empty).count() == 0
 
 
+def test_spans_of_hot_hashes_in_lanes(spark, monkeypatch):
+    """A passage in all documents, spread over lanes, is cut from the same places; texts of null ids are told apart."""
+    passage = "One two three. Four five six. Seven eight nine."
+    rows = [(i if i % 5 else None, f"Only here {i} a. {passage} And {i} here b.") for i in range(40)]
+    docs = spark.createDataFrame([*rows, (3, None), (7, "")], "doc_id bigint, text string")
+
+    def cut():
+        return sorted(map(str, sentence_spans.deduplicated(docs).collect()))
+
+    whole = cut()
+    monkeypatch.setattr(sentence_spans, "HEAVY", 3)
+    assert cut() == whole and sum("n_removed=3" in r for r in whole) == 39
+
+
 def test_spans_of_few_long_sentences(spark):
     """Repeated passages that hold fewer than three whole sentences."""
     say = lambda n, mark: " ".join(f"{mark}{i}" for i in range(n)) + ". "

@@ -73,8 +73,8 @@ def measured(table: DataFrame, limit: int = BROADCAST) -> DataFrame:
 
 
 def document_key() -> tuple[Column, Column]:
-    """(k, x): what names a document. Null ids come last; x tells texts of one id apart.
+    """(k, x): what names a document. Null ids come last; x, 64 bits, tells texts of one id apart.
 
     Rows that repeat both are one document.
     """
-    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("k"), F.hash("text").alias("x")
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("k"), F.xxhash64("text").alias("x")

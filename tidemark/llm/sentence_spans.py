@@ -11,7 +11,8 @@ it are fewer than ``SPAN`` and have fewer than ``LEAST_WORDS`` words. The README
 
 Spans are compared by 96 bits. Only the count and the smallest doc_id of a hash are
 aggregated, combined before the shuffle, so a passage in a third of all documents is one row
-per upstream task; the spans of a hash are never gathered.
+per upstream task. The spans of a hash that occurs more than ``HEAVY`` times are spread over lanes of about
+that many where they meet the hash's row, which is repeated once per lane.
 
 Defined results: null and empty texts have no sentences and stay as they are. A text of fewer
 than ``SPAN`` sentences is one span, whatever its words. White space around sentences does not count; pieces of
@@ -24,11 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import document_key, let, measured, stored, words_of
+from tidemark.llm.common import document_key, let, stored, words_of
 
 SPAN = 3
 #: Words that a run of fewer than ``SPAN`` sentences must have to be compared.
 LEAST_WORDS = 40
+#: Spans of one hash that a lane holds at least, and the hashes that can be spread at once.
+HEAVY, MOST_HEAVY = 10_000, 100_000
 CUT = r"(?<=[.!?\n])(?=[^.!?\n])"
 BLANK = " \t\r\n\f"
 
@@ -61,17 +64,27 @@ def covered(docs: DataFrame, span: int = SPAN, least: int = LEAST_WORDS) -> Data
     """(k, x, runs): for each document with repeats, start and length of the spans that are not the first."""
     k, x = document_key()
     spans = docs.select(k, x, F.explode(_spans(F.col("text"), span, least)).alias("s")).select("k", "x", "s.j", "s.n", "s.a", "s.b")
-    repeats = spans.groupBy("a", "b").agg(F.count("*").alias("times"), F.min("k").alias("low")).where("times > 1").drop("times")
-    held = stored(spans.join(repeats, ["a", "b"]), "span-repeats")
-    first = held.where("k = low").groupBy("a", "b").agg(F.min(F.struct("x", "j")).alias("first"))
-    later = held.join(first, ["a", "b"]).where("NOT (k = low AND x = first.x AND j = first.j)")
+    repeats = spans.groupBy("a", "b").agg(F.count("*").alias("times"), F.min("k").alias("low")).where("times > 1")
+    repeats = stored(repeats, "span-counts")
+    # fewer than MOST_HEAVY hashes can be as frequent as this, so their table has a bound
+    share = F.coalesce((repeats.agg(F.sum("times").alias("n")).scalar() / MOST_HEAVY).cast("bigint"), F.lit(0))
+    lanes = F.ceil(F.col("times") / F.greatest(F.lit(HEAVY).cast("bigint"), share)).cast("int")
+    wide = repeats.withColumn("lanes", lanes)
+    heavy = wide.where("lanes > 1").select("a", "b", "lanes")
+    lane = F.pmod(F.xxhash64("k", "x", "j", "n"), F.coalesce("lanes", F.lit(1))).cast("int")
+    spread = spans.join(F.broadcast(heavy), ["a", "b"], "left").withColumn("lane", lane).drop("lanes")
+    every = F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane")
+    held = stored(spread.join(wide.select("a", "b", "low", "lanes", every), ["a", "b", "lane"]), "span-repeats")
+    first = held.where("k = low").groupBy("a", "b").agg(F.min(F.struct("x", "j")).alias("first"), F.max("lanes").alias("lanes"))
+    later = held.drop("lanes").join(first.select("a", "b", "first", every), ["a", "b", "lane"])
+    later = later.where("NOT (k = low AND x = first.x AND j = first.j)")
     return stored(later.groupBy("k", "x").agg(F.collect_set(F.struct("j", "n")).alias("runs")), "span-covered")
 
 
 def deduplicated(docs: DataFrame, span: int = SPAN, least: int = LEAST_WORDS) -> DataFrame:
     """doc_id, n_sentences, n_removed and the remaining text of every row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("bigint"), "text").select("doc_id", "text", *document_key())
-    out = rows.join(measured(covered(docs, span, least)), ["k", "x"], "left")
+    out = rows.join(covered(docs, span, least), ["k", "x"], "left")
     parts = pieces(F.col("text"))
 
     def cut(p: Column) -> Column:
