@@ -5,22 +5,23 @@ order of (doc_id, line number), has a Jaccard likeness of at least ``percent`` /
 
 1. Rarity: words are counted over all texts in ``BUCKETS`` hashed counters, a fixed size. The
    words of a line are ordered by the count of their bucket, then by hash.
-2. Equal sets are one class; its first line stands for it and the others are removed.
+2. Equal sets are one class; its first line stands for it and the others are removed. Classes
+   are numbered in the order of their first lines.
 3. Prefix filter: two sets that are alike share one of their first
-   n - ceil(t n) + 1 words. Only those are posted, and only words that two classes post.
-   Sets too small to be alike without being equal are not posted.
-4. Length and position filters leave pairs that can still reach the overlap asked for. A
-   64-bit map of each prefix bounds the words that two prefixes share, and with that the
-   overlap: words behind the earlier prefix end are at most as many as one set has there. A
-   64-bit map of the whole set bounds the prefix words that the other set can miss.
-5. First pass: under each posted word every class is compared with one leader only, of a
-   smallest doc_id. A group of near copies is settled by this, in time linear in its size.
-6. Second pass: the classes that are not settled are compared with all others under their
+   n - ceil(t n) + 1 words. Only those are posted. Sets too small to be alike without being
+   equal are not posted.
+4. Length and position filters leave pairs that can still reach the overlap asked for. So does
+   a parity map of 128 bits: each word of a set flips one bit, so two maps differ in
+   no more bits than there are words in only one of the two sets.
+5. First pass: under each posted word every class is compared with one leader only, the first
+   class there. A group of near copies is settled by this, in time linear in its size.
+6. Second pass: the classes that are not settled are compared with all earlier ones under their
    words. No posting is cut.
 7. Candidates are verified on the whole sets of their lines.
 
-Words are compared by 64-bit hashes when verified, by 32 bits when posted. Built-in functions
-only.
+Words are compared by 64-bit hashes when verified, by 32 bits when posted. Words are hashed and
+lines described by numpy on Arrow batches (the built-in form needed more CPU time for these
+steps alone than the whole operator may take); all joins and groupings are Spark's.
 
 Defined results: null and empty texts have no lines to remove and stay as they are. Lines
 without a word are never removed. Rows without doc_id come last. Rows that repeat a doc_id
@@ -29,59 +30,107 @@ and text are one document and keep the same lines. Of equal lines the earliest s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, document_key, let, measured, stored
+from tidemark.llm.common import document_key, let, ship, stored
+from tidemark.llm.word_hashes import hashed_words, mix
 
 PERCENT, BUCKETS = 80, 1 << 20
 
-
-def _hashes(line: Column) -> Column:
-    return F.transform(F.array_remove(F.split(line, SPACES), ""), lambda w: F.xxhash64(w))
+_SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(k, x, line_no, n, id, id2, words): every line with a word; written once, words as 32 bits."""
-    k, x = document_key()
-    rows = docs.where("text IS NOT NULL").select(k, x, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+def _lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All lines of a column of texts, the row of each and its number there."""
+    parts = pc.split_pattern(texts.cast(pa.large_string()).fill_null(""), "\n")
+    rows = pc.list_parent_indices(parts).to_numpy()
+    counts = pc.list_value_length(parts).to_numpy()
+    return parts.flatten(), rows, np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
 
-    def described(w: Column) -> Column:
-        return F.struct(F.size(w).alias("n"), F.xxhash64(w).alias("id"), F.hash(w).alias("id2"), F.transform(w, lambda h: F.shiftright(h, 32).cast("int")).alias("words"))
 
-    sets = F.sort_array(F.array_distinct(_hashes(F.col("line"))))
-    return rows.select("k", "x", "line_no", let(sets, described).alias("d")).where("d.n > 0").select("k", "x", "line_no", "d.*")
+def _sets(column: pa.Array, levels: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, sizes, hashes, tokens): the distinct words of each line, the rarest first."""
+    for first, offsets, hashes in hashed_words(column, lower=False):
+        line = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(offsets))
+        tokens = hashes >> np.uint64(32)
+        rank = tokens if levels is None else (levels[(hashes & np.uint64(len(levels) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | tokens
+        order = np.lexsort((hashes, rank, line))
+        line, hashes = line[order], hashes[order]
+        new = np.ones(len(line), bool)
+        new[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
+        line, hashes = line[new], hashes[new]
+        yield first, np.bincount(line.astype(np.int64), minlength=len(offsets) - 1), hashes, (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def rarity(lines: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row, ``levels`` array<tinyint>: the logarithm of each bucket's count.
+def rarity(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """The logarithm of each bucket's count: a table of ``buckets`` bytes, whatever the vocabulary.
 
-    The table has a fixed size, whatever the vocabulary: words share buckets. Any order of
-    words gives exact results; the better it tells rare words, the fewer pairs are compared.
+    Words share buckets. Any order of words gives exact results; the better it tells rare
+    words, the fewer pairs are compared.
     """
-    found = lines.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(buckets - 1).alias("b")).agg(F.count("*").alias("n"))
-    level = F.floor(F.log2(F.sum("n")) * 3).cast("tinyint")
-    empty = lines.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"), F.lit(1).cast("bigint").alias("n"))
-    dense = found.union(empty).groupBy("b").agg(level.alias("v"))
-    rows = dense.agg(F.sort_array(F.collect_list(F.struct("b", "v"))).alias("e"))
-    return stored(rows.select(F.transform("e", lambda e: e["v"]).alias("levels")), "line-levels")
-
-
-def classes(lines: DataFrame, levels: DataFrame, percent: int = PERCENT, buckets: int = BUCKETS) -> DataFrame:
-    """(id, k, x, line_no, n, prefix, whole): the first line of each distinct set."""
-    ranked = lines.withColumn("levels", levels.scalar())
-    level = lambda w: F.get(F.col("levels"), w.bitwiseAND(buckets - 1))
-    order = F.sort_array(F.transform("words", lambda w: F.shiftleft(level(w).cast("bigint"), 32).bitwiseOR(w.cast("bigint").bitwiseAND(0xFFFFFFFF))))
-    width = F.col("n") - _ceil(F.col("n") * percent, 100) + 1
-    prefix = F.transform(F.slice(order, F.lit(1), width), lambda v: F.shiftright(F.shiftleft(v, 32), 32).cast("int"))
-    own = F.struct("k", "x", "line_no", "n", prefix.alias("prefix"), _map("words").alias("whole"))
-    return stored(ranked.select("id", "id2", own.alias("own")).groupBy("id", "id2").agg(F.min("own").alias("own")).select("id", "own.*"), "line-classes")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(buckets, np.int64)
+        for batch in batches:
+            for _, _, hashes in hashed_words(batch.column(0), lower=False):
+                counts += np.bincount((hashes & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+        held = np.flatnonzero(counts)
+        for at in range(0, len(held), 1 << 16):
+            some = held[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["b", "n"])
+
+    found = docs.where("text IS NOT NULL").select("text").mapInArrow(run, "b int, n long").groupBy("b").agg(F.floor(F.log2(F.sum("n")) * 3).cast("tinyint").alias("v")).toArrow()
+    levels = np.zeros(buckets, np.uint8)
+    levels[found.column("b").to_numpy()] = found.column("v").to_numpy()
+    return levels
+
+
+def described(docs: DataFrame, levels: np.ndarray, percent: int = PERCENT) -> DataFrame:
+    """(k, x, line_no, id, id2, n, s1, s2, prefix): every line with a word; (id, id2) names its set."""
+    schema = "k long, x long, line_no int, id long, id2 long, n int, s1 long, s2 long, prefix array<int>"
+    least = -(-percent // max(1, 100 - percent)) if percent < 100 else 1 << 30
 
-def _map(words: str) -> Column:
-    """64 bits, of which each word sets one."""
-    one = F.lit(1).cast("bigint")
-    return F.aggregate(words, F.lit(0).cast("bigint"), lambda a, v: a.bitwiseOR(F.call_function("shiftleft", one, v.bitwiseAND(63))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, rows, numbers = _lines(batch.column(2))
+            keys = [batch.column(i).to_numpy() for i in (0, 1)]
+            for first, sizes, hashes, tokens in _sets(column, levels):
+                has = np.flatnonzero(sizes)
+                if not len(has):
+                    continue
+                n = sizes[has]
+                starts = np.cumsum(n) - n
+                bit = np.left_shift(np.uint64(1), hashes & np.uint64(63))
+                upper = (hashes & np.uint64(64)) != 0
+                sums = [np.add.reduceat(mix(v), starts) for v in (hashes, hashes ^ _SECOND)]
+                maps = [np.bitwise_xor.reduceat(np.where(m, bit, np.uint64(0)), starts) for m in (~upper, upper)]
+                width = np.where(n >= least, n - (n * percent + 99) // 100 + 1, 0)
+                offsets = np.zeros(len(n) + 1, np.int32)
+                np.cumsum(width, out=offsets[1:])
+                taken = tokens[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], width)]
+                at = rows[first + has]
+                columns = [
+                    pa.array(keys[0][at]), pa.array(keys[1][at]), pa.array(numbers[first + has].astype(np.int32)), *(pa.array(v.view(np.int64)) for v in sums),
+                    pa.array(n.astype(np.int32)), *(pa.array(v.view(np.int64)) for v in maps), pa.ListArray.from_arrays(pa.array(offsets), pa.array(taken)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "x", "line_no", "id", "id2", "n", "s1", "s2", "prefix"])
+
+    return docs.where("text IS NOT NULL").select(*document_key(), "text").mapInArrow(run, schema)
+
+
+def classes(lines: DataFrame) -> DataFrame:
+    """(r, k, x, line_no, n, s1, s2, prefix): the first line of each distinct set, numbered in their order."""
+    order = ["k", "x", "line_no"]
+    own = F.struct(*order, "n", "s1", "s2", "prefix")
+    heads = lines.select("id", "id2", own.alias("own")).groupBy("id", "id2").agg(F.min("own").alias("own")).select("own.*")
+    # Numbers ascend with the order, as partitions do; stored, so that they never change.
+    return stored(heads.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("r", F.monotonically_increasing_id()), "line-classes")
 
 
 def _ceil(a: Column, b: int) -> Column:
@@ -93,76 +142,67 @@ def overlap(a: Column, b: Column, percent: int) -> Column:
     return _ceil((a + b) * percent, 100 + percent)
 
 
-def posted(heads: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(token, place, id, k, n, bits, whole) of prefix words that more than one class posts."""
-    least = -(-percent // max(1, 100 - percent)) if percent < 100 else 1 << 30
-    every = heads.where(F.col("n") >= least).select("id", "k", "n", _map("prefix").alias("bits"), "whole", F.posexplode("prefix").alias("place", "token"))
-    shared = every.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    return stored(every.join(shared, "token"), "line-posted")
+def posted(heads: DataFrame, *more: str) -> DataFrame:
+    """(token, place, r, n, s1, s2): the prefix words of classes."""
+    return heads.select("r", "n", "s1", "s2", *more, F.posexplode("prefix").alias("place", "token"))
 
 
 def possible(percent: int) -> Column:
-    """Whether a pair that shares a word may be alike: (n, place, bits, whole)
-    and (m, at, bits2, whole2)."""
-    n, m, p, q, x, y, v, w = (F.col(c) for c in ("n", "m", "place", "at", "bits", "bits2", "whole", "whole2"))
-    width = lambda s: s - _ceil(s * percent, 100) + 1
+    """Whether a pair that shares a word may be alike: (n, place, s1, s2) and (m, at, t1, t2)."""
+    n, m, p, q, s1, s2, t1, t2 = (F.col(c) for c in ("n", "m", "place", "at", "s1", "s2", "t1", "t2"))
     need = overlap(n, m, percent)
     length = (F.least(n, m) * 100) >= (F.greatest(n, m) * percent)
     position = F.least(p, q) + F.least(n - p, m - q) >= need
-    alone = lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))
-    shared = F.least(width(n) - alone(x, y), width(m) - alone(y, x))
-    missing = (alone(x, w) <= n - need) & (alone(y, v) <= m - need)
-    return length & position & missing & (shared + F.greatest(n - width(n), m - width(m)) >= need)
+    apart = F.bit_count(s1.bitwiseXOR(t1)) + F.bit_count(s2.bitwiseXOR(t2)) <= n + m - need * 2
+    return length & position & apart
 
 
 def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(id, other): the pairs whose whole sets are alike, each with the later line as ``id``."""
+    """(r, other): the pairs whose whole sets are alike."""
     pairs = stored(pairs.distinct(), "line-candidates")
-    both = pairs.select(F.col("id")).union(pairs.select("other")).distinct()
-    wanted = stored(heads.select("id", "k", "x", "line_no").join(both, "id"), "line-wanted")
-    per_doc = stored(wanted.groupBy("k", "x").agg(F.collect_set(F.struct("line_no", "id")).alias("lines")), "line-fetch")
-    texts = docs.where("text IS NOT NULL").select(*document_key(), "text").join(measured(per_doc), ["k", "x"])
-    fetched = texts.select("k", "x", F.split("text", "\n").alias("all"), F.explode("lines").alias("l"))
-    sets = stored(
-        fetched.select("l.id", "k", "x", "l.line_no", F.array_distinct(_hashes(F.get("all", F.col("l.line_no")))).alias("words")).dropDuplicates(["id"]),
-        "line-sets",
-    )
-    a = sets.select("id", F.struct("k", "x", "line_no").alias("place_a"), F.col("words").alias("words_a"))
-    b = sets.select(F.col("id").alias("other"), F.struct("k", "x", "line_no").alias("place_b"), F.col("words").alias("words_b"))
+    both = pairs.select("r").union(pairs.select("other")).distinct()
+    wanted = heads.select("r", "k", "x", "line_no").join(both, "r")
+    per_doc = wanted.groupBy("k", "x").agg(F.collect_list(F.struct("line_no", "r")).alias("lines"))
+    texts = docs.where("text IS NOT NULL").select(*document_key(), "text").join(per_doc, ["k", "x"])
+    fetched = texts.select(F.split("text", "\n").alias("all"), F.explode("lines").alias("l")).select("l.r", F.get("all", F.col("l.line_no")).alias("line"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, sizes, hashes, _ in _sets(batch.column(1)):
+                offsets = np.zeros(len(sizes) + 1, np.int32)
+                np.cumsum(sizes, out=offsets[1:])
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sizes)), lists], names=["r", "words"])
+
+    sets = stored(fetched.mapInArrow(run, "r long, words array<long>").dropDuplicates(["r"]), "line-sets")
+    a, b = sets.withColumnRenamed("words", "words_a"), sets.select(F.col("r").alias("other"), F.col("words").alias("words_b"))
     same = F.size(F.array_intersect("words_a", "words_b"))
-    alike = pairs.join(a, "id").join(b, "other").where(same * 100 >= (F.size("words_a") + F.size("words_b") - same) * percent)
-    later = F.col("place_a") > F.col("place_b")
-    return stored(alike.select(F.when(later, F.col("id")).otherwise(F.col("other")).alias("id"), F.when(later, F.col("other")).otherwise(F.col("id")).alias("other")), "line-alike")
+    alike = pairs.join(a, "r").join(b, "other").where(same * 100 >= (F.size("words_a") + F.size("words_b") - same) * percent)
+    return stored(alike.select("r", "other"), "line-alike")
 
 
 def repeated(heads: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(id): the classes whose first line is like an earlier line."""
-    postings = posted(heads, percent)
-    tops = postings.groupBy("token").agg(F.min_by("id", "k").alias("leader"))
-    other = {"id": "other", "k": "k2", "n": "m", "place": "at", "bits": "bits2", "whole": "whole2"}
-    led = postings.join(tops, "token").where("id = leader").drop("leader").withColumnsRenamed(other)
-    pair = (F.greatest("id", "other").alias("id"), F.least("id", "other").alias("other"))
-    first = postings.join(led, "token").where((F.col("id") != F.col("other")) & possible(percent)).select(*pair)
-    near = verified(first, heads, docs, percent)
-    settled = stored(near.select("id").distinct(), "line-settled")
+    """(r): the classes whose first line is like an earlier line."""
+    postings = posted(heads)
+    other = {"r": "other", "n": "m", "place": "at", "s1": "t1", "s2": "t2"}
+    pair = (F.col("r") > F.col("other")) & possible(percent)
+    tops = postings.groupBy("token").agg(F.min("r").alias("leader"), F.count("*").alias("c")).where("c > 1").select("token", "leader")
+    led = postings.join(tops, "token").where("r = leader").drop("leader").withColumnsRenamed(other)
+    near = verified(postings.join(led, "token").where(pair).select("r", "other"), heads, docs, percent)
+    settled = stored(near.select("r").distinct(), "line-settled")
     # One table with a mark, so that both sides of the join read the same shuffle.
-    marked = postings.join(settled.withColumn("done", F.lit(True)), "id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    marked = stored(marked, "line-marked")
-    renamed = marked.withColumnsRenamed({**other, "done": "done2"})
-    # The later line must be open; of one document's lines either may be the later.
-    later = (~F.col("done") & (F.col("k") > F.col("k2"))) | (~(F.col("done") & F.col("done2")) & (F.col("k") == F.col("k2")) & (F.col("id") > F.col("other")))
-    second = marked.join(renamed, "token").where(later & possible(percent)).select(*pair).distinct()
-    fresh = second.join(near.select(*pair), ["id", "other"], "left_anti")
-    return settled.union(verified(fresh, heads, docs, percent).select("id")).distinct()
+    marked = posted(heads.join(settled.withColumn("done", F.lit(True)), "r", "left").withColumn("open", F.col("done").isNull()).where("size(prefix) > 0"), "open")
+    second = marked.where("open").join(marked.drop("open").withColumnsRenamed(other), "token").where(pair).select("r", "other")
+    return settled.union(verified(second, heads, docs, percent).select("r").distinct())
 
 
 def removed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(k, x, stay): for each document, the lines with words that stay."""
-    lines = stored(lines_of(docs), "line-words")
-    heads = classes(lines, rarity(lines), percent)
+    ship(docs.sparkSession)
+    heads = classes(described(docs, rarity(docs), percent))
     gone = repeated(heads, docs, percent)
-    stay = heads.select("id", "k", "x", "line_no").join(gone, "id", "left_anti")
-    return stored(stay.groupBy("k", "x").agg(F.collect_set("line_no").alias("stay")), "line-stay")
+    stay = heads.select("r", "k", "x", "line_no").join(gone, "r", "left_anti")
+    return stored(stay.groupBy("k", "x").agg(F.collect_list("line_no").alias("stay")), "line-stay")
 
 
 def cleaned(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -174,8 +214,8 @@ def cleaned(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             name += "_"
         names.append(name)
     k, x = document_key()
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), "text", k, x)
-    joined = keyed.join(measured(removed(docs, percent)), ["k", "x"], "left")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text", k, x)
+    joined = keyed.join(removed(docs, percent), ["k", "x"], "left")
 
     def cut(p: Column) -> Column:
         blank = F.filter(F.transform(p, lambda s, i: F.when(~F.regexp_like(s, F.lit(r"[^\x20\x09-\x0D]")), i)), lambda i: i.isNotNull())
