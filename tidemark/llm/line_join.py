@@ -19,9 +19,8 @@ order of (doc_id, line number), has a Jaccard likeness of at least ``percent`` /
    words. No posting is cut.
 7. Candidates are verified on the whole sets of their lines.
 
-Words are compared by 64-bit hashes when verified, by 32 bits when posted. Words are hashed and
-lines described by numpy on Arrow batches (the built-in form needed more CPU time for these
-steps alone than the whole operator may take); all joins and groupings are Spark's.
+Words are compared by 64-bit hashes when verified, by 32 bits when posted; 56 bits and the
+count of its bucket tell a word from others of its line. Built-in functions only.
 
 Defined results: null and empty texts have no lines to remove and stay as they are. Lines
 without a word are never removed. Rows without doc_id come last. Rows that repeat a doc_id
@@ -30,98 +29,64 @@ and text are one document and keep the same lines. Of equal lines the earliest s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import document_key, let, ship, stored
-from tidemark.llm.word_hashes import hashed_words, mix
+from tidemark.llm.common import document_key, let, stored
 
 PERCENT, BUCKETS = 80, 1 << 20
 
-_SECOND = np.uint64(0xD6E8FEB86659FD93)
+#: ASCII white space besides line ends and blanks.
+_RARE_SPACES = "\t\x0b\x0c\r"
 
 
-def _lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """All lines of a column of texts, the row of each and its number there."""
-    parts = pc.split_pattern(texts.cast(pa.large_string()).fill_null(""), "\n")
-    rows = pc.list_parent_indices(parts).to_numpy()
-    counts = pc.list_value_length(parts).to_numpy()
-    return parts.flatten(), rows, np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+def _spaced() -> Column:
+    """``text`` with blanks for white space other than line ends, so that it is split without a pattern."""
+    text = F.col("text")
+    return F.when(F.regexp_like(text, F.lit(r"[\x09\x0B-\x0D]")), F.translate(text, _RARE_SPACES, " " * len(_RARE_SPACES))).otherwise(text)
 
 
-def _sets(column: pa.Array, levels: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, sizes, hashes, tokens): the distinct words of each line, the rarest first."""
-    for first, offsets, hashes in hashed_words(column, lower=False):
-        line = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(offsets))
-        tokens = hashes >> np.uint64(32)
-        rank = tokens if levels is None else (levels[(hashes & np.uint64(len(levels) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | tokens
-        order = np.lexsort((hashes, rank, line))
-        line, hashes = line[order], hashes[order]
-        new = np.ones(len(line), bool)
-        new[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
-        line, hashes = line[new], hashes[new]
-        yield first, np.bincount(line.astype(np.int64), minlength=len(offsets) - 1), hashes, (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(line, " "), "")
 
 
-def rarity(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """The logarithm of each bucket's count: a table of ``buckets`` bytes, whatever the vocabulary.
+def rarity(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """One row, ``levels`` array<tinyint>: the logarithm of each bucket's count.
 
-    Words share buckets. Any order of words gives exact results; the better it tells rare
-    words, the fewer pairs are compared.
+    The table has a fixed size, whatever the vocabulary: words share buckets. Any order of
+    words gives exact results; the better it tells rare words, the fewer pairs are compared.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(buckets, np.int64)
-        for batch in batches:
-            for _, _, hashes in hashed_words(batch.column(0), lower=False):
-                counts += np.bincount((hashes & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
-        held = np.flatnonzero(counts)
-        for at in range(0, len(held), 1 << 16):
-            some = held[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["b", "n"])
-
-    found = docs.where("text IS NOT NULL").select("text").mapInArrow(run, "b int, n long").groupBy("b").agg(F.floor(F.log2(F.sum("n")) * 3).cast("tinyint").alias("v")).toArrow()
-    levels = np.zeros(buckets, np.uint8)
-    levels[found.column("b").to_numpy()] = found.column("v").to_numpy()
-    return levels
+    words = docs.where("text IS NOT NULL").select(F.explode(F.split(F.translate(_spaced(), "\n", " "), " ")).alias("w")).where("w != ''")
+    found = words.select(F.xxhash64("w").bitwiseAND(buckets - 1).cast("int").alias("b")).groupBy("b").agg(F.count("*").alias("n"))
+    level = F.floor(F.log2(F.sum("n")) * 3).cast("tinyint")
+    empty = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"), F.lit(1).cast("bigint").alias("n"))
+    dense = found.union(empty).groupBy("b").agg(level.alias("v"))
+    rows = dense.agg(F.sort_array(F.collect_list(F.struct("b", "v"))).alias("e"))
+    return stored(rows.select(F.transform("e", lambda e: e["v"]).alias("levels")), "line-levels")
 
 
-def described(docs: DataFrame, levels: np.ndarray, percent: int = PERCENT) -> DataFrame:
+def described(docs: DataFrame, levels: DataFrame, percent: int = PERCENT, buckets: int = BUCKETS) -> DataFrame:
     """(k, x, line_no, id, id2, n, s1, s2, prefix): every line with a word; (id, id2) names its set."""
-    schema = "k long, x long, line_no int, id long, id2 long, n int, s1 long, s2 long, prefix array<int>"
+    k, x = document_key()
+    rows = docs.where("text IS NOT NULL").select(k, x, F.posexplode(F.split(_spaced(), "\n")).alias("line_no", "line"))
     least = -(-percent // max(1, 100 - percent)) if percent < 100 else 1 << 30
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column, rows, numbers = _lines(batch.column(2))
-            keys = [batch.column(i).to_numpy() for i in (0, 1)]
-            for first, sizes, hashes, tokens in _sets(column, levels):
-                has = np.flatnonzero(sizes)
-                if not len(has):
-                    continue
-                n = sizes[has]
-                starts = np.cumsum(n) - n
-                bit = np.left_shift(np.uint64(1), hashes & np.uint64(63))
-                upper = (hashes & np.uint64(64)) != 0
-                sums = [np.add.reduceat(mix(v), starts) for v in (hashes, hashes ^ _SECOND)]
-                maps = [np.bitwise_xor.reduceat(np.where(m, bit, np.uint64(0)), starts) for m in (~upper, upper)]
-                width = np.where(n >= least, n - (n * percent + 99) // 100 + 1, 0)
-                offsets = np.zeros(len(n) + 1, np.int32)
-                np.cumsum(width, out=offsets[1:])
-                taken = tokens[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], width)]
-                at = rows[first + has]
-                columns = [
-                    pa.array(keys[0][at]), pa.array(keys[1][at]), pa.array(numbers[first + has].astype(np.int32)), *(pa.array(v.view(np.int64)) for v in sums),
-                    pa.array(n.astype(np.int32)), *(pa.array(v.view(np.int64)) for v in maps), pa.ListArray.from_arrays(pa.array(offsets), pa.array(taken)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["k", "x", "line_no", "id", "id2", "n", "s1", "s2", "prefix"])
-
-    return docs.where("text IS NOT NULL").select(*document_key(), "text").mapInArrow(run, schema)
+    def ranked(h: Column) -> Column:
+        return F.shiftleft(F.get(F.col("levels"), h.bitwiseAND(buckets - 1).cast("int")).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    hashes = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
+    order = F.sort_array(F.array_distinct(F.transform(hashes, ranked)))
+    sets = rows.withColumn("levels", levels.scalar()).select("k", "x", "line_no", order.alias("o")).where("size(o) > 0")
+    n = F.size("o")
+    width = F.when(n >= least, n - _ceil(n * percent, 100) + 1).otherwise(0)
+    prefix = F.transform(F.slice("o", F.lit(1), width), lambda v: F.shiftright(F.shiftleft(v, 8), 32).cast("int"))
+    return sets.select("k", "x", "line_no", F.xxhash64("o").alias("id"), F.hash("o").alias("id2"), n.alias("n"), _parity("o", 0).alias("s1"), _parity("o", 64).alias("s2"), prefix.alias("prefix"))
+
+
+def _parity(words: str, half: int) -> Column:
+    """64 bits, of which each word that belongs to this half flips one."""
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    return F.aggregate(F.filter(words, lambda v: v.bitwiseAND(64) == half), none, lambda a, v: a.bitwiseXOR(F.call_function("shiftleft", one, v.bitwiseAND(63).cast("int"))))
 
 
 def classes(lines: DataFrame) -> DataFrame:
@@ -163,18 +128,10 @@ def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, percent: int)
     both = pairs.select("r").union(pairs.select("other")).distinct()
     wanted = heads.select("r", "k", "x", "line_no").join(both, "r")
     per_doc = wanted.groupBy("k", "x").agg(F.collect_list(F.struct("line_no", "r")).alias("lines"))
-    texts = docs.where("text IS NOT NULL").select(*document_key(), "text").join(per_doc, ["k", "x"])
+    texts = docs.where("text IS NOT NULL").select(*document_key(), _spaced().alias("text")).join(per_doc, ["k", "x"])
     fetched = texts.select(F.split("text", "\n").alias("all"), F.explode("lines").alias("l")).select("l.r", F.get("all", F.col("l.line_no")).alias("line"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, sizes, hashes, _ in _sets(batch.column(1)):
-                offsets = np.zeros(len(sizes) + 1, np.int32)
-                np.cumsum(sizes, out=offsets[1:])
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sizes)), lists], names=["r", "words"])
-
-    sets = stored(fetched.mapInArrow(run, "r long, words array<long>").dropDuplicates(["r"]), "line-sets")
+    words = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    sets = stored(fetched.select("r", words.alias("words")).dropDuplicates(["r"]), "line-sets")
     a, b = sets.withColumnRenamed("words", "words_a"), sets.select(F.col("r").alias("other"), F.col("words").alias("words_b"))
     same = F.size(F.array_intersect("words_a", "words_b"))
     alike = pairs.join(a, "r").join(b, "other").where(same * 100 >= (F.size("words_a") + F.size("words_b") - same) * percent)
@@ -187,8 +144,9 @@ def repeated(heads: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataF
     other = {"r": "other", "n": "m", "place": "at", "s1": "t1", "s2": "t2"}
     pair = (F.col("r") > F.col("other")) & possible(percent)
     tops = postings.groupBy("token").agg(F.min("r").alias("leader"), F.count("*").alias("c")).where("c > 1").select("token", "leader")
-    led = postings.join(tops, "token").where("r = leader").drop("leader").withColumnsRenamed(other)
-    near = verified(postings.join(led, "token").where(pair).select("r", "other"), heads, docs, percent)
+    # Leaders have one row a word, so they are hashed and the postings need no sort.
+    led = postings.join(tops.hint("shuffle_hash"), "token").where("r = leader").drop("leader").withColumnsRenamed(other)
+    near = verified(postings.join(led.hint("shuffle_hash"), "token").where(pair).select("r", "other"), heads, docs, percent)
     settled = stored(near.select("r").distinct(), "line-settled")
     # One table with a mark, so that both sides of the join read the same shuffle.
     marked = posted(heads.join(settled.withColumn("done", F.lit(True)), "r", "left").withColumn("open", F.col("done").isNull()).where("size(prefix) > 0"), "open")
@@ -198,7 +156,6 @@ def repeated(heads: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataF
 
 def removed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(k, x, stay): for each document, the lines with words that stay."""
-    ship(docs.sparkSession)
     heads = classes(described(docs, rarity(docs), percent))
     gone = repeated(heads, docs, percent)
     stay = heads.select("r", "k", "x", "line_no").join(gone, "r", "left_anti")
