@@ -43,7 +43,10 @@ _RARE_SPACES = "\t\x0b\x0c\r"
 def _spaced() -> Column:
     """``text`` with blanks for white space other than line ends, so that it is split without a pattern."""
     text = F.col("text")
-    return F.when(F.regexp_like(text, F.lit(r"[\x09\x0B-\x0D]")), F.translate(text, _RARE_SPACES, " " * len(_RARE_SPACES))).otherwise(text)
+    found = F.lit(False)
+    for c in _RARE_SPACES:
+        found = found | F.contains(text, F.lit(c))
+    return F.when(found, F.translate(text, _RARE_SPACES, " " * len(_RARE_SPACES))).otherwise(text)
 
 
 def _words(line: Column) -> Column:
@@ -56,7 +59,7 @@ def rarity(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     The table has a fixed size, whatever the vocabulary: words share buckets. Any order of
     words gives exact results; the better it tells rare words, the fewer pairs are compared.
     """
-    words = docs.where("text IS NOT NULL").select(F.explode(F.split(F.translate(_spaced(), "\n", " "), " ")).alias("w")).where("w != ''")
+    words = docs.where("text IS NOT NULL").select(F.explode(F.split(F.replace(_spaced(), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w != ''")
     found = words.select(F.xxhash64("w").bitwiseAND(buckets - 1).cast("int").alias("b")).groupBy("b").agg(F.count("*").alias("n"))
     level = F.floor(F.log2(F.sum("n")) * 3).cast("tinyint")
     empty = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"), F.lit(1).cast("bigint").alias("n"))
@@ -68,15 +71,17 @@ def rarity(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 def described(docs: DataFrame, levels: DataFrame, percent: int = PERCENT, buckets: int = BUCKETS) -> DataFrame:
     """(k, x, line_no, id, id2, n, s1, s2, prefix): every line with a word; (id, id2) names its set."""
     k, x = document_key()
-    rows = docs.where("text IS NOT NULL").select(k, x, F.posexplode(F.split(_spaced(), "\n")).alias("line_no", "line"))
+    rows = docs.where("text IS NOT NULL").select(k, x, F.posexplode(F.split(_spaced(), "\n")).alias("line_no", "line")).where(F.trim("line") != "")
     least = -(-percent // max(1, 100 - percent)) if percent < 100 else 1 << 30
 
     def ranked(h: Column) -> Column:
-        return F.shiftleft(F.get(F.col("levels"), h.bitwiseAND(buckets - 1).cast("int")).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        # Never null, which the sort of plain numbers needs to know.
+        level = F.coalesce(F.get(F.col("levels"), h.bitwiseAND(buckets - 1).cast("int")).cast("bigint"), F.lit(0).cast("bigint"))
+        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     hashes = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
     order = F.sort_array(F.array_distinct(F.transform(hashes, ranked)))
-    sets = rows.withColumn("levels", levels.scalar()).select("k", "x", "line_no", order.alias("o")).where("size(o) > 0")
+    sets = rows.withColumn("levels", levels.scalar()).select("k", "x", "line_no", order.alias("o"))
     n = F.size("o")
     width = F.when(n >= least, n - _ceil(n * percent, 100) + 1).otherwise(0)
     prefix = F.transform(F.slice("o", F.lit(1), width), lambda v: F.shiftright(F.shiftleft(v, 8), 32).cast("int"))
