@@ -112,9 +112,9 @@ def overlap(a: Column, b: Column, percent: int) -> Column:
     return _ceil((a + b) * percent, 100 + percent)
 
 
-def posted(heads: DataFrame, *more: str) -> DataFrame:
+def posted(heads: DataFrame) -> DataFrame:
     """(token, place, r, n, s1, s2): the prefix words of classes."""
-    return heads.select("r", "n", "s1", "s2", *more, F.posexplode("prefix").alias("place", "token"))
+    return heads.select("r", "n", "s1", "s2", F.posexplode("prefix").alias("place", "token"))
 
 
 def possible(percent: int) -> Column:
@@ -153,9 +153,12 @@ def repeated(heads: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataF
     led = postings.join(tops.hint("shuffle_hash"), "token").where("r = leader").drop("leader").withColumnsRenamed(other)
     near = verified(postings.join(led.hint("shuffle_hash"), "token").where(pair).select("r", "other"), heads, docs, percent)
     settled = stored(near.select("r").distinct(), "line-settled")
-    # One table with a mark, so that both sides of the join read the same shuffle.
-    marked = posted(heads.join(settled.withColumn("done", F.lit(True)), "r", "left").withColumn("open", F.col("done").isNull()).where("size(prefix) > 0"), "open")
-    second = marked.where("open").join(marked.drop("open").withColumnsRenamed(other), "token").where(pair).select("r", "other")
+    # Settled classes have their number below zero, so that both sides of the join read the same shuffle.
+    number = lambda r: F.when(r < 0, -r - 1).otherwise(r)
+    marked = heads.join(settled.withColumn("done", F.lit(True)), "r", "left").withColumn("r", F.when(F.col("done"), -F.col("r") - 1).otherwise(F.col("r")))
+    rest = posted(marked)
+    later = (F.col("r") > number(F.col("other"))) & possible(percent)
+    second = rest.join(rest.withColumnsRenamed(other), "token").where(later).select("r", number(F.col("other")).alias("other"))
     return settled.union(verified(second, heads, docs, percent).select("r").distinct())
 
 
