@@ -190,6 +190,24 @@ def test_lines(docs, given, empty):
     assert line_join.cleaned(docs).count() == len(given) and line_join.cleaned(empty).count() == 0
 
 
+def test_lines_white_space_and_names(spark):
+    words10 = "one two three four five six seven eight nine ten"
+    rows = [
+        (1, words10 + "\n\t\x0b \r\n\n", 1),
+        (2, "\t" + words10.replace(" ", "\t") + "\r\nstays\x0bhere", 2),
+        (3, words10.replace("ten", "zehn") + "\x0cnew\xa0word\nhere  stays", 3),
+        (4, words10.replace(" ", "\x0c").replace("ten", "eleven"), 4),
+        (5, words10.replace(" ", "\xa0"), 5),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int")
+    got = {r.doc_id: r for r in line_join.cleaned(df).collect()}
+    assert got[1].text == rows[0][1] and got[1].n_lines == 4 and got[1].n_removed == 0
+    assert got[2].text == "stays\x0bhere" and got[2].n_removed == 1
+    assert got[3].text == rows[2][1].split("\n")[0] and got[3].n_removed == 1  # 9 of 12 words are shared: 75 %
+    assert got[4].text == "" and got[4].n_removed == 1  # 9 of 11
+    assert got[5].text == rows[4][1] and [got[i]["a.b"] for i in range(1, 6)] == [1, 2, 3, 4, 5]
+
+
 def test_spans(docs, given, empty):
     seen, want = set(), {}
     for doc, text, *_ in ordered(given):
