@@ -90,3 +90,13 @@ def test_conditions_as_text_are_refused(spark):
     frame = rule_frame(spark, [(1, {"filter_condition": "params['u'] = 7"}, None)])
     with pytest.raises(Exception, match="condition as text: 1"):
         rule_index.attribute_indexed(log, frame, ["record"]).select(F.max("rule_no")).collect()
+
+
+def test_no_side_of_a_lookup_is_gathered_on_the_driver(spark, tmp_path):
+    """Files say little of how many rows an explode makes: a small estimate must not send a table to the driver."""
+    path = str(tmp_path / "rules")
+    rule_frame(spark, [(n, {"level1": "same"}, [("u", "in", [str(n), "x"]), ("v", ">", ["1"])]) for n in range(20)]).write.parquet(path)
+    spark.createDataFrame([(i, "aa", {"u": str(i), "v": "2"}) for i in range(30)], EVENTS).write.parquet(f"{path}-log")
+    found = rule_index.attribute_indexed(spark.read.parquet(f"{path}-log"), spark.read.parquet(path), ["record"])
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 20 * 20

@@ -11,8 +11,9 @@ Of several conditions of one kind the one with the fewest postings is taken, cou
 rule table. An event sends out one row per value, key and itself; what meets a posting is checked on
 all conditions of the rule. No grouping is needed to find the rules of an event.
 
-A lookup of postings below the broadcast threshold is broadcast at run time; a larger one is joined by a
-shuffle, where adaptive execution splits hot values.
+All joins are by shuffle (``BY_SHUFFLE``): events and rules are exploded into many rows, which the planner takes for as
+few bytes as their compressed files have, and a broadcast of them gathers the table on the driver. Adaptive
+execution splits hot values.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from tidemark.operators.rules import IDENTITY, param_keys, predicates_hold
 READ = ("scm", "tab_id", "posi_id", "material_id")
 TOKEN = ("event_id", "_tier", "_key", "_value")
 OWN, KEY, VALUE = 0, 1, 2
+BY_SHUFFLE = "merge"
 
 
 def _token(tier: int, key: Column, value: Column) -> Column:
@@ -64,9 +66,9 @@ def rule_index(rules: DataFrame) -> DataFrame:
     posted = options.select("event_id", "rule_no", "c.at", F.explode("c.tokens").alias("t")).select("event_id", "rule_no", "at", "t.*")
     counts = posted.groupBy(*TOKEN).agg(F.count(F.lit(1)).alias("_n"))
     cost = F.struct((-F.col("_tier")).alias("tier"), F.col("n"), F.col("at"))
-    costs = posted.join(counts, list(TOKEN)).groupBy("rule_no", "at", "_tier").agg(F.sum("_n").alias("n"))
+    costs = posted.join(counts.hint(BY_SHUFFLE), list(TOKEN)).groupBy("rule_no", "at", "_tier").agg(F.sum("_n").alias("n"))
     best = costs.groupBy("rule_no").agg(F.min(cost).alias("best")).select("rule_no", F.col("best.at").alias("at"))
-    return posted.join(best, ["rule_no", "at"]).select(*TOKEN, "rule_no")
+    return posted.join(best.hint(BY_SHUFFLE), ["rule_no", "at"]).select(*TOKEN, "rule_no")
 
 
 def holding_rules(events: DataFrame, rules: DataFrame, key: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -83,8 +85,8 @@ def holding_rules(events: DataFrame, rules: DataFrame, key: Sequence[str], keep:
     )
     rows = events.select(*key, "event_id", "params", F.explode(sent).alias("t")).select(*key, "event_id", "params", "t.*")
     conditions = rules.select("rule_no", "predicates", *keep)
-    postings = rule_index(rules).join(conditions, "rule_no")
-    met = rows.join(postings, list(TOKEN))
+    postings = rule_index(rules).join(conditions.hint(BY_SHUFFLE), "rule_no")
+    met = rows.join(postings.hint(BY_SHUFFLE), list(TOKEN))
     return met.filter(predicates_hold("params", "predicates")).select(*key, "rule_no", "params", *keep)
 
 
@@ -119,4 +121,4 @@ def attribute_indexed(events: DataFrame, rules: DataFrame, key: Sequence[str], i
     said = found.select(*key, group, *[F.col(f"{c}.value").alias(c) for c in READ])
     members = keyed.select(group, "rule_no")
     values = {c: cut_scm(F.col(c)) if c == "scm" else F.col(c) for c in READ}
-    return said.join(members, group).select(*key, "rule_no", *[v.alias(c) for c, v in values.items()])
+    return said.join(members.hint(BY_SHUFFLE), group).select(*key, "rule_no", *[v.alias(c) for c, v in values.items()])
