@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tidemark import MetricSpec, cumulative, kept_sets
 from tidemark.operators import aggregates
+from tidemark.plans import cumulative as cumulative_plan
+from tidemark.plans import wide_cube
 from tidemark.plans.cumulative import lattice, leaf_facts, level_changes, marked_facts
 from tidemark.spec import level_code
 
@@ -267,6 +269,34 @@ def test_wide_cube_equals_brute_force(spark):
     assert got == brute_force(rows, ["a", "b", "c"], 360, 420)
 
 
+@pytest.mark.parametrize("most, chunk, checkpoint", [(2048, 1 << 16, False), (2048, 40, True), (3, 7, True), (1, 40, False)])
+def test_wide_cube_of_rows_that_add_up(spark, monkeypatch, most, chunk, checkpoint):
+    """Keys in several cells, compared in pairs or, in more cells than that, through the lattice."""
+    monkeypatch.setattr(cumulative_plan, "WIDE", 4)
+    monkeypatch.setattr(wide_cube, "MOST", most)
+    monkeypatch.setattr(wide_cube, "CHUNK", chunk)
+    rows = [(*r[:4], r[4] and r[4] % 90, *r[5:]) for r in make_rows(31)]
+    report = cumulative(spark.createDataFrame(rows, ROWS), spec_of(["a", "b", "c"]), start="01:00", end="06:00", fan_out=2, checkpoint=checkpoint)
+    assert as_dict(report, ["a", "b", "c"]) == brute_force(rows, ["a", "b", "c"], 60, 360)
+
+
+def test_no_key_of_a_wide_cube_is_repeated_for_the_levels(spark):
+    """Ten rows of one key and seven dimensions: what is taken off is far fewer rows than 128 levels each."""
+    dims = [*"abcdefg"]
+    rng = random.Random(3)
+    rows = [(*[rng.choice("xy") for _ in dims], "k", dt.datetime(2024, 1, 1, 0, i)) for i in range(10)]
+    spec = MetricSpec(dims=dims, distincts={"uid": "users"}, time_col="ts")
+    df = spark.createDataFrame(rows, ", ".join([*[f"{d} string" for d in dims], "uid string", "ts timestamp_ntz"]))
+    report = cumulative(df, spec, start="00:00", end="00:00")
+    assert [r["users"] for r in report.filter("level = 127").collect()] == [1]
+    cells = sum(len({tuple(v for i, v in enumerate(r[:7]) if not level >> (6 - i) & 1) for r in rows}) for level in range(128))
+    assert report.agg(F.sum("users")).first()[0] == report.count() == cells
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan
+    fixes = wide_cube.corrections(leaf_facts(aggregates.prepare(df, spec), spec), spec, "_slot")
+    assert fixes.count() < cells / 4
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_double_amounts_add_up_exactly(spark, parts):
     """Equal to the correctly rounded sum, however rows are dealt; nothing becomes 0."""

@@ -10,6 +10,7 @@ The plan, for any number of sums and keys, reads the detail rows once:
 3. ``level_changes``: every level comes from a coarser-by-a-dimension chain of levels
    (``lattice``), each reduced before the next is made from it: additive rows to counts per cell and bucket, shared
    keys to the first bucket per cell and key. No row is repeated for all levels of a wide cube.
+   A whole cube of more than ``WIDE`` levels is made of rows that add up only: ``wide_changes``.
 4. ``running_spine``: running totals, then the quiet points are filled in.
 
 Every reduction groups by the cell and combines before its shuffle, so neither a key in all cells nor a cell
@@ -37,6 +38,7 @@ from tidemark.operators.aggregates import (
     prepare,
 )
 from tidemark.operators.windows import running_spine
+from tidemark.plans import wide_cube
 from tidemark.sources.shared import ensure_checkpoint_dir
 from tidemark.spec import ALL_LABEL, Levels, MetricSpec, kept_sets, level_code, quote
 
@@ -50,6 +52,8 @@ LANES = 256
 FEW_CELLS = 100_000
 #: Levels that a row is repeated for in one step of the lattice.
 FAN_OUT = 8
+#: Levels beyond which a whole cube is made of rows that add up only.
+WIDE = 32
 
 
 def cumulative(
@@ -107,7 +111,11 @@ def report_of_facts(
         sizes = spec.dim_sizes
         if checkpoint and len(wanted) > fan_out:
             sizes = {**leaf.agg(*[F.approx_count_distinct(d).alias(d) for d in spec.dims]).first().asDict(), **sizes}
-        changes = level_changes(marked_facts(leaf, spec), spec, lattice(spec.dims, wanted, fan_out, sizes))
+        steps = lattice(spec.dims, wanted, fan_out, sizes)
+        if spec.distincts and len(wanted) > WIDE and len(wanted) == 1 << len(spec.dims) and len(spec.dims) <= wide_cube.MOST_DIMS:
+            changes = wide_changes(leaf, spec, steps, checkpoint)
+        else:
+            changes = level_changes(marked_facts(leaf, spec), spec, steps)
     if days and not spec.dims:
         changes = with_empty_days(changes, spec, days, first)
     report = running_spine(
@@ -272,6 +280,36 @@ def level_changes(facts: DataFrame, spec: MetricSpec, steps: Sequence[Mapping[in
     )
 
 
+def wide_changes(leaf: DataFrame, spec: MetricSpec, steps: Sequence[Mapping[int, Sequence[int]]], checkpoint: bool = False) -> DataFrame:
+    """``level_changes`` for all levels of a wide cube: keys as rows that add up (:mod:`tidemark.plans.wide_cube`).
+
+    Only keys in very many leaf cells go through the ``lattice``.
+    """
+    news, parts = new_names(spec), part_names(spec)
+    keys = [key_alias(i) for i in range(len(spec.distincts))]
+    fixes = wide_cube.corrections(leaf, spec, SLOT)
+    fixes = fixes.groupBy(PERIOD, LEVEL, *spec.dims, SLOT, *keys, BUCKET, wide_cube.WHOLE).agg(F.sum(wide_cube.TAKEN).alias(wide_cube.TAKEN))
+    if checkpoint:
+        fixes = fixes.checkpoint()
+    rows = wide_cube.leaf_counts(leaf, spec, SLOT, news).unionByName(wide_cube.taken_off(fixes, leaf, spec, SLOT, news))
+    added = wide_cube.cube_changes(rows, spec, [*news, *parts]).withColumnsRenamed(dict(zip(news, spec.distincts.values())))
+    whole = fixes.filter(wide_cube.WHOLE)
+    if checkpoint and whole.isEmpty():
+        return added
+    shared = whole.select(
+        PERIOD,
+        LEVEL,
+        *spec.dims,
+        F.lit(None).cast(leaf.schema[BUCKET].dataType).alias(OWN_BUCKET),
+        *[F.col(c).alias(n) for c, n in zip([SLOT, *keys], shared_key(spec))],
+        BUCKET,
+        *[F.lit(0).cast("bigint").alias(n) for n in news],
+        *[F.lit(None).cast(leaf.schema[p].dataType).alias(p) for p in parts],
+    )
+    every = added.unionByName(level_changes(shared, spec, steps))
+    return every.groupBy(PERIOD, LEVEL, *spec.dims, BUCKET).agg(*[F.sum(c).alias(c) for c in (*spec.distincts.values(), *parts)])
+
+
 def with_empty_days(changes: DataFrame, spec: MetricSpec, days: Sequence, first_minute: int) -> DataFrame:
     """Without dimensions, a requested day without rows is a row of zeros."""
     spark = changes.sparkSession
