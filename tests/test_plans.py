@@ -79,3 +79,10 @@ def test_no_python_rows_and_no_pairs(spark, name):
     plan = physical(QUERIES[name](spark, FOLDER))
     for bad in ("BatchEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert bad not in plan
+
+
+def test_text_stamps_are_read_once_per_row(spark):
+    """No filter behind them reads the text of a stamp or a day again."""
+    rows = events(spark, FOLDER).withColumns({"minute": F.date_format("ts", "yyyyMMddHHmm"), "day": F.date_format("ts", "yyyyMMdd").cast("int")})
+    plan = physical(cumulative(rows, replace(TWO_KEYS, time_col="minute", day_col="day"), levels="leaf"))
+    assert count(r"make_timestamp_ntz\(", plan) == 2

@@ -25,7 +25,11 @@ def digits(col: Column | str) -> Column:
 
 def parse_minute(col: Column | str) -> Column:
     """Text or number ``YYYYMMDDHHmm`` to ``timestamp_ntz``; null when it is none."""
-    text = digits(col)
+    return minute_of_digits(digits(col))
+
+
+def minute_of_digits(text: Column) -> Column:
+    """The same of ``digits``."""
 
     def part(start: int, length: int) -> Column:
         return F.substring(text, start, length).cast("int")
@@ -43,7 +47,11 @@ def floor_bucket(col: Column | str, step_minutes: int = 10) -> Column:
 
 def parse_day(col: Column | str) -> Column:
     """Day from ``YYYYMMDD`` text or number; null when it is none."""
-    text = digits(col)
+    return day_of_digits(digits(col))
+
+
+def day_of_digits(text: Column) -> Column:
+    """The same of ``digits``."""
     stamp = F.try_make_timestamp_ntz(
         F.substring(text, 1, 4).cast("int"),
         F.substring(text, 5, 2).cast("int"),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.amounts import amount_parts, part_names, sum_alias, tidied, totals
 from tidemark.functions.cleaning import amount, dim_value, key_or_null, require_columns
-from tidemark.functions.minutes import at_time, floor_bucket, minute_of_day, parse_day, parse_minute, period_start
+from tidemark.functions.minutes import at_time, day_of_digits, digits, floor_bucket, minute_of_day, minute_of_digits, parse_day, parse_minute, period_start
 from tidemark.spec import ALL_LABEL, Levels, MetricSpec, kept_sets, quote
 
 PERIOD, BUCKET, LEVEL = "period", "bucket", "level"
@@ -37,6 +37,31 @@ def day_column(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("date") if kind in ("date", "timestamp", "timestamp_ntz") else parse_day(name)
 
 
+def with_times(df: DataFrame, stamp: tuple[str, str] | None = None, day: tuple[str, str] | None = None) -> DataFrame:
+    """``stamp_column`` and ``day_column`` as columns; each is given as (new name, column).
+
+    Text and numbers are read once per row: a generator is a step that no filter behind it goes through, which would
+    else read the text again for each use of the stamp, and again for each part of it.
+    """
+    plain, texts, read = [], [], []
+    for given, kinds, own, of_digits in (
+        (stamp, ("timestamp_ntz", "timestamp", "date"), stamp_column, minute_of_digits),
+        (day, ("date", "timestamp", "timestamp_ntz"), day_column, day_of_digits),
+    ):
+        if given is None:
+            continue
+        out, name = given
+        if df.schema[name].dataType.typeName() in kinds:
+            plain.append(own(df, name).alias(out))
+        else:
+            texts.append(digits(name).alias(f"{out}_text"))
+            read.append(of_digits(F.col(f"{out}_text")).alias(out))
+    df = df.select("*", *plain)
+    for once in (texts, read):
+        df = df.select("*", F.inline(F.array(F.struct(*once)))) if once else df
+    return df
+
+
 def as_text(df: DataFrame, name: str) -> Column:
     column = F.col(name)
     return column if df.schema[name].dataType.typeName() == "string" else column.cast("string")
@@ -87,9 +112,9 @@ def prepare(
 
     if days:
         df = filter_day(df, spec.day_col or spec.time_col, days) if _can_filter(df, spec) else df
-    stamped = df.select(
-        stamp_column(df, spec.time_col).alias("_stamp"),
-        *([day_column(df, spec.day_col).alias("_day")] if spec.day_col else []),
+    stamped = with_times(df, ("_stamp", spec.time_col), ("_day", spec.day_col) if spec.day_col else None).select(
+        "_stamp",
+        *(["_day"] if spec.day_col else []),
         *[dim_value(as_text(df, d), spec.label_of(d)).alias(f"_d{i}") for i, d in enumerate(spec.dims)],
         *[key_or_null(df, k, spec).alias(f"_k{i}") for i, k in enumerate(spec.distincts)],
         *[amount(s, spec.sum_type).alias(f"_s{i}") for i, s in enumerate(spec.sums)],

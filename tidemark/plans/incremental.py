@@ -25,7 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.amounts import part_names, tidied
 from tidemark.functions.minutes import as_date, at_time, minute_of_day
-from tidemark.operators.aggregates import BUCKET, PERIOD, key_alias, prepare, stamp_column
+from tidemark.operators.aggregates import BUCKET, PERIOD, key_alias, prepare, with_times
 from tidemark.plans.cumulative import OWN_BUCKET, SLOT, leaf_facts, report_of_facts
 from tidemark.spec import Levels, MetricSpec
 
@@ -119,10 +119,10 @@ def stream_slices(
     def write(batch: DataFrame, batch_id: int) -> None:
         spark, name = batch.sparkSession, f"{batch_id:020d}"
         _write(slice_facts(batch, spec), path, name)
-        stamp = stamp_column(batch, spec.time_col).cast("timestamp_ntz")
         # earlier batches only: a repeated one must count as it did the first time
         before = _marks(spark, marks).filter(F.col("batch") < batch_id).agg((F.max("latest") - F.expr(f"INTERVAL {late}")).alias("mark"))
-        behind = batch.select(stamp.alias("stamp")).withColumn("mark", before.scalar()).filter("stamp IS NOT NULL")
+        stamped = with_times(batch, ("_stamp", spec.time_col)).select(F.col("_stamp").cast("timestamp_ntz").alias("stamp"))
+        behind = stamped.withColumn("mark", before.scalar()).filter("stamp IS NOT NULL")
         counts = behind.agg(
             F.lit(batch_id).cast("bigint").alias("batch"),
             F.max("stamp").alias("latest"),
