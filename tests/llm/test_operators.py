@@ -397,6 +397,30 @@ def test_near_duplicates(docs, given, empty, k, percent):
     assert coordinate_join.near_duplicates(empty, k, percent).count() == 0
 
 
+def test_near_duplicates_of_many_copies_makes_few_pairs(spark, monkeypatch):
+    """Copies of one original that are nearly, but not, alike enough with each other are no candidates."""
+    rng, sets = random.Random(5), {}
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(120):
+        own = [f"c{i}x{j}" if j in marks else w for marks in [set(rng.sample(range(150), 3 + i % 3))] for j, w in enumerate(base)]
+        rows.append((i, " ".join(own)))
+        sets[i] = {tuple(own[j : j + 3]) for j in range(148)}
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    likeness = {p: len(sets[p[0]] & sets[p[1]]) / len(sets[p[0]] | sets[p[1]]) for p in pairs}
+    true, between = [p for p in pairs if 100 * likeness[p] >= 85], [p for p in pairs if 0.75 <= likeness[p] < 0.85]
+    assert len(between) > 1000 and true
+    asked, real = [], coordinate_join.confirmed
+    monkeypatch.setattr(coordinate_join, "confirmed", lambda pairs, *more: asked.extend(pairs.distinct().collect()) or real(pairs, *more))
+    got = {r.doc_id: r.component_id for r in coordinate_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert len({(r.a, r.b) for r in asked} - set(true)) < len(between) / 20
+    least = {d: d for d in sets}
+    for _ in sets:
+        for a, b in true:
+            least[a] = least[b] = min(least[a], least[b])
+    assert got == least
+
+
 def test_pipeline_stages(spark, docs):
     folder = "/root/testdata/sf0.001"
     for some in (docs, docs.limit(0)):

@@ -18,14 +18,18 @@ Jaccard likeness of the full sets is at least ``percent`` / 100.
    the others, classes of different components are joined with each other, a pair under the
    first posting it shares only. No posting is cut.
 
-Sizes filter every join: sets as alike as asked for differ in size by no more.
+Sizes filter every join: sets as alike as asked for differ in size by no more. So does a
+parity map of ``PARITY`` bits: each shingle of a set flips one bit, so two maps differ in no
+more bits than there are shingles in only one of the two sets. That bound is never above the
+truth and hardly below it up to some thousand shingles, so that of the copies of one original
+nearly none but true links become rows.
 
-Candidates are checked on a longer signature (skip): four bits of each of ``CELLS``
-coordinates, compared inside the join, so that pairs below the threshold are not even rows.
-Then they are checked on the whole texts.
+Candidates are checked on a longer signature too (skip): four bits of each of ``CELLS``
+coordinates. Both are compared inside the join, so that pairs below the threshold are not even
+rows. Then they are checked on the whole texts.
 
-Both thresholds are set so low that a pair at the likeness asked for misses one with a
-probability below 10^-6: the collisions of such a pair are binomial.
+The thresholds of collisions are set so low that a pair at the likeness asked for misses one
+with a probability below 10^-6: the collisions of such a pair are binomial.
 
 Defined results: null and empty texts, and texts without words, have an empty set and no
 links. Fewer than k words are one shingle. Rows of one doc_id are one document: it has the
@@ -47,7 +51,7 @@ from tidemark.llm.common import ship, stored
 from tidemark.llm.components import components
 from tidemark.llm.word_hashes import hashed_words, mix, shingles
 
-SIZE, CELLS = 64, 256
+SIZE, CELLS, PARITY = 64, 256, 1024
 
 
 def _factors(size: int) -> np.ndarray:
@@ -68,9 +72,15 @@ def cells(coordinates: np.ndarray) -> np.ndarray:
     return (low << (np.uint64(4) * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
 
 
+def parity(values: np.ndarray) -> np.ndarray:
+    """``PARITY`` bits, 64 to a number, of which each of the hashes flips one."""
+    odd = np.bincount((values & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, k: int, size: int = SIZE) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (128 bits that name the set), coordinates, cells; one row per row."""
-    schema = "doc_id long, n_shingles long, h1 long, h2 long, coordinates array<int>, cells array<long>"
+    """doc_id, n_shingles, h1, h2 (128 bits that name the set), coordinates, cells, parity; one row per row."""
+    schema = "doc_id long, n_shingles long, h1 long, h2 long, coordinates array<int>, cells array<long>, parity array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = _factors(max(size, CELLS))
@@ -79,24 +89,24 @@ def signatures(docs: DataFrame, k: int, size: int = SIZE) -> DataFrame:
             for first, offsets, hashes in hashed_words(texts):
                 n = len(offsets) - 1
                 counts, names, rows = np.zeros(n, np.int64), np.zeros((n, 2), np.int64), np.zeros((n, size), np.int32)
-                packed = np.zeros((n, CELLS // 16), np.int64)
+                packed, maps = np.zeros((n, CELLS // 16), np.int64), np.zeros((n, PARITY // 64), np.int64)
                 for i in range(n):
                     values = shingles(hashes[offsets[i] : offsets[i + 1]], k)
                     counts[i] = len(values)
                     if len(values):
                         names[i] = np.frombuffer(hashlib.blake2b(values.tobytes(), digest_size=16).digest(), np.int64)
                         least = signature(values, factors)
-                        rows[i], packed[i] = least[:size].view(np.int32), cells(least[:CELLS]).view(np.int64)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (rows, packed)]
+                        rows[i], packed[i], maps[i] = least[:size].view(np.int32), cells(least[:CELLS]).view(np.int64), parity(values)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (rows, packed, maps)]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, n), pa.array(counts), pa.array(names[:, 0]), pa.array(names[:, 1]), *lists],
-                    names=["doc_id", "n_shingles", "h1", "h2", "coordinates", "cells"],
+                    names=["doc_id", "n_shingles", "h1", "h2", "coordinates", "cells", "parity"],
                 )
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
 
 
-WORDS = [f"s{i}" for i in range(CELLS // 16)]
+WORDS, MAPS = [f"s{i}" for i in range(CELLS // 16)], [f"m{i}" for i in range(PARITY // 64)]
 
 
 def _alike(a: str, b: str, least: int) -> Column:
@@ -115,10 +125,29 @@ def _near_sizes(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _near_parity(a: str, b: str, percent: int) -> Column:
+    """Whether sets of these sizes, of which so many shingles at least are in one only, can be as alike as that."""
+    apart = F.lit(0)
+    for word in MAPS:
+        apart = apart + F.bit_count(F.col(a + word).bitwiseXOR(F.col(b + word)))
+    return apart * (100 + percent) <= (F.col(f"{a}n") + F.col(f"{b}n")) * (100 - percent)
+
+
+def _near(percent: int, least: int) -> Column:
+    """Whether sides ``a`` and ``b``, as ``_side`` names them, agree in sizes, parity and cells."""
+    return _near_sizes("an", "bn", percent) & _near_parity("a", "b", percent) & _alike("a", "b", least)
+
+
+def _side(rows: DataFrame, x: str, *more: str | Column) -> DataFrame:
+    """What the filters read of ``rows``, under names that begin with ``x``; and ``more``."""
+    # Never null, so that the code made for a comparison has no checks of that and is short enough to be compiled.
+    numbers = {"doc_id": x, "n_shingles": f"{x}n"} | {w: x + w for w in MAPS + WORDS}
+    return rows.select(*(F.coalesce(c, F.lit(0).cast("bigint")).alias(name) for c, name in numbers.items()), *more)
+
+
 def likely(pairs: DataFrame, nodes: DataFrame, least: int, percent: int) -> DataFrame:
-    """The ``pairs`` (a < b) whose sizes and cells agree."""
-    sides = [nodes.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"{x}n"), *(F.col(w).alias(x + w) for w in WORDS)) for x in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").where(_near_sizes("an", "bn", percent) & _alike("a", "b", least)).select("a", "b")
+    """The ``pairs`` (a < b) whose sizes, parity and cells agree."""
+    return pairs.join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b").where(_near(percent, least)).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -181,11 +210,8 @@ def _rest_pairs(postings: DataFrame, spread: DataFrame, labels: DataFrame, least
     open_rows = rows.join(mixed, "token").select("token", "doc_id", "component")
     own = open_rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
     held = stored(open_rows.join(spread.join(own, "doc_id"), "doc_id"), "coordinate-open")
-    sides = [
-        held.select("token", F.col("doc_id").alias(x), F.col("component").alias(f"{x}p"), F.col("n_shingles").alias(f"{x}n"), F.col("tokens").alias(f"{x}t"), *(F.col(w).alias(x + w) for w in WORDS))
-        for x in "ab"
-    ]
-    near = (F.col("a") < F.col("b")) & (F.col("ap") != F.col("bp")) & _near_sizes("an", "bn", percent) & _alike("a", "b", least)
+    sides = [_side(held, x, "token", F.col("component").alias(f"{x}p"), F.col("tokens").alias(f"{x}t")) for x in "ab"]
+    near = (F.col("a") < F.col("b")) & (F.col("ap") != F.col("bp")) & _near(percent, least)
     first = F.col("token") == F.get(F.array_intersect("at", "bt"), F.lit(0))
     return sides[0].join(sides[1], "token").where(F.when(near, first).otherwise(False)).select("a", "b")
 
@@ -193,10 +219,11 @@ def _rest_pairs(postings: DataFrame, spread: DataFrame, labels: DataFrame, least
 def links(nodes: DataFrame, texts: DataFrame, k: int, percent: int, size: int, matches: int, hubs: int = 2) -> DataFrame:
     """Links (a < b) between classes; whoever is connected by all links is connected by these.
 
-    ``nodes`` has doc_id, n_shingles, coordinates and cells, ``texts`` doc_id and text of the same classes.
+    ``nodes`` has doc_id, n_shingles, coordinates, cells and parity, ``texts`` doc_id and text of the same classes.
     """
     least = threshold_at(percent / 100 + (1 - percent / 100) / 16, CELLS)
-    spread = nodes.select("doc_id", "n_shingles", *(F.get("cells", F.lit(i)).alias(w) for i, w in enumerate(WORDS)))
+    numbers = {"cells": WORDS, "parity": MAPS}
+    spread = nodes.select("doc_id", "n_shingles", *(F.get(c, F.lit(i)).alias(w) for c, words in numbers.items() for i, w in enumerate(words)))
     postings = stored(posted(nodes, size, matches), "coordinate-posted")
     found, labels = None, None
     for step in range(hubs):
@@ -225,7 +252,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int =
     own = stored(signatures(docs, k, size), "coordinate-signatures")
     held = own.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(held.groupBy("h1", "h2").agg(F.min("doc_id").alias("head")), "coordinate-classes")
-    nodes = stored(held.join(classes, ["h1", "h2"]).where("doc_id = head").select("doc_id", "n_shingles", "coordinates", "cells"), "coordinate-nodes")
+    nodes = stored(held.join(classes, ["h1", "h2"]).where("doc_id = head").select("doc_id", "n_shingles", "coordinates", "cells", "parity"), "coordinate-nodes")
     texts = docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     members = stored(held.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "head").distinct(), "coordinate-members")
     found = links(nodes, texts, k, percent, size, matches)
