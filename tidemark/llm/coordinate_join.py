@@ -21,8 +21,8 @@ Jaccard likeness of the full sets is at least ``percent`` / 100.
 Sizes filter every join: sets as alike as asked for differ in size by no more. So does a
 parity map of ``PARITY`` bits: each shingle of a set flips one bit, so two maps differ in no
 more bits than there are shingles in only one of the two sets. That bound is never above the
-truth and hardly below it up to some thousand shingles, so that of the copies of one original
-nearly none but true links become rows.
+truth and hardly below it up to some thousand shingles, so that few copies of one original
+that are not alike enough become rows.
 
 Candidates are checked on a longer signature too (skip): four bits of each of ``CELLS``
 coordinates. Both are compared inside the join, so that pairs below the threshold are not even
@@ -140,7 +140,7 @@ def _near(percent: int, least: int) -> Column:
 
 def _side(rows: DataFrame, x: str, *more: str | Column) -> DataFrame:
     """What the filters read of ``rows``, under names that begin with ``x``; and ``more``."""
-    # Never null, so that the code made for a comparison has no checks of that and is short enough to be compiled.
+    # Never null, so that the code made for a comparison has no checks of that and is short.
     numbers = {"doc_id": x, "n_shingles": f"{x}n"} | {w: x + w for w in MAPS + WORDS}
     return rows.select(*(F.coalesce(c, F.lit(0).cast("bigint")).alias(name) for c, name in numbers.items()), *more)
 
