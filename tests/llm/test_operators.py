@@ -190,6 +190,44 @@ def test_lines(docs, given, empty):
     assert line_join.cleaned(docs).count() == len(given) and line_join.cleaned(empty).count() == 0
 
 
+def test_lines_large_groups(spark):
+    """Near copies of one line under words of many and of few lines, and copies that are not like the first."""
+    rows = []
+    for i in range(200):
+        base = [f"w{j}" for j in range(20)]
+        base[i % 20] = f"x{i // 20}y{i % 20}"
+        base[i * 7 % 20] = f"z{i % 9}"
+        rows.append((i, " ".join(base) + "\n" + " ".join(f"v{i // 4}k{j}" for j in range(6 + i % 2))))
+    rows += [(None, rows[3][1]), (None, None), (300, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kept, want = [], []
+    for doc, text in rows:
+        stay = []
+        for line in (text or "").split("\n"):
+            own = frozenset(line.split())
+            if not own or not any(100 * len(own & o) >= 80 * len(own | o) for o in kept):
+                stay.append(line)
+            if own:
+                kept.append(own)
+        want.append((doc, None if text is None else "\n".join(stay)))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in line_join.cleaned(df).collect()), key=key) == sorted(want, key=key)
+
+
+def test_lines_shuffle_once(spark):
+    """The second pass reads one shuffle of postings on both sides; the first one posts frequent words only."""
+    rows = [(i, f"common words here and number{i} of{i} line{i}") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    heads = line_join.classes(line_join.described(df, line_join.rarity(df)))
+    posted = line_join.posted(heads, "often")
+    assert posted.count() == 300 and posted.where("place >= often").count() == 0
+    pairs = line_join.open_pairs(heads, heads.select("r").limit(0))
+    pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and plan.count("- Exchange hashpartitioning(token") == 1
+    assert line_join.cleaned(df).where("n_removed > 0").count() == 0
+
+
 def test_lines_white_space_and_names(spark):
     words10 = "one two three four five six seven eight nine ten"
     rows = [

@@ -13,14 +13,15 @@ order of (doc_id, line number), has a Jaccard likeness of at least ``percent`` /
 4. Length and position filters leave pairs that can still reach the overlap asked for. So does
    a parity map of 128 bits: each word of a set flips one bit, so two maps differ in
    no more bits than there are words in only one of the two sets.
-5. First pass: under each posted word every class is compared with one leader only, the first
-   class there. A group of near copies is settled by this, in time linear in its size.
-6. Second pass: the classes that are not settled are compared with all earlier ones under their
-   words. No posting is cut.
+5. First pass, over the posted words that occur ``OFTEN``: each class is compared with one leader
+   only, the first class under the word. A large group of near copies is settled by this, in time
+   linear in its size. Groups under other words are smaller than ``OFTEN``.
+6. Second pass: the classes that are not settled are compared with all earlier ones under all
+   their words, both sides read from one shuffle. No posting is cut.
 7. Candidates are verified on the whole sets of their lines.
 
-Words are compared by 64-bit hashes when verified, by 32 bits when posted; 56 bits and the
-count of its bucket tell a word from others of its line. Built-in functions only.
+Words are compared by 64-bit hashes when verified, by 32 bits when posted. Built-in functions
+only.
 
 Defined results: null and empty texts have no lines to remove and stay as they are. Lines
 without a word are never removed. Rows without doc_id come last. Rows that repeat a doc_id
@@ -36,6 +37,9 @@ from tidemark.llm.common import document_key, let, stored
 
 PERCENT, BUCKETS = 80, 1 << 20
 
+#: Levels are logarithms in thirds; below this one a word occurs less than 128 times, so no more classes share it.
+OFTEN = 7 * 3
+
 #: ASCII white space besides line ends and blanks.
 _RARE_SPACES = "\t\x0b\x0c\r"
 
@@ -60,16 +64,19 @@ def rarity(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     words gives exact results; the better it tells rare words, the fewer pairs are compared.
     """
     words = docs.where("text IS NOT NULL").select(F.explode(F.split(F.replace(_spaced(), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w != ''")
-    found = words.select(F.xxhash64("w").bitwiseAND(buckets - 1).cast("int").alias("b")).groupBy("b").agg(F.count("*").alias("n"))
-    level = F.floor(F.log2(F.sum("n")) * 3).cast("tinyint")
-    empty = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"), F.lit(1).cast("bigint").alias("n"))
-    dense = found.union(empty).groupBy("b").agg(level.alias("v"))
+    found = words.select(F.xxhash64("w").bitwiseAND(buckets - 1).cast("int").alias("b"))
+    # Each bucket once more, so that none is missing and no logarithm is of zero.
+    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"))
+    dense = found.union(every).groupBy("b").agg(F.floor(F.log2(F.count("*")) * 3).cast("tinyint").alias("v"))
     rows = dense.agg(F.sort_array(F.collect_list(F.struct("b", "v"))).alias("e"))
     return stored(rows.select(F.transform("e", lambda e: e["v"]).alias("levels")), "line-levels")
 
 
 def described(docs: DataFrame, levels: DataFrame, percent: int = PERCENT, buckets: int = BUCKETS) -> DataFrame:
-    """(k, x, line_no, id, id2, n, s1, s2, prefix): every line with a word; (id, id2) names its set."""
+    """(k, x, line_no, id, id2, n, s1, s2, prefix, often): every line with a word; (id, id2) names its set.
+
+    From place ``often`` on, the words of the prefix are of level ``OFTEN`` or above.
+    """
     k, x = document_key()
     rows = docs.where("text IS NOT NULL").select(k, x, F.posexplode(F.split(_spaced(), "\n")).alias("line_no", "line")).where(F.trim("line") != "")
     least = -(-percent // max(1, 100 - percent)) if percent < 100 else 1 << 30
@@ -79,13 +86,16 @@ def described(docs: DataFrame, levels: DataFrame, percent: int = PERCENT, bucket
         level = F.coalesce(F.get(F.col("levels"), h.bitwiseAND(buckets - 1).cast("int")).cast("bigint"), F.lit(0).cast("bigint"))
         return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    hashes = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
-    order = F.sort_array(F.array_distinct(F.transform(hashes, ranked)))
+    # Repeated words are dropped before the others are ranked, which costs more.
+    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    order = F.sort_array(F.transform(hashes, ranked))
     sets = rows.withColumn("levels", levels.scalar()).select("k", "x", "line_no", order.alias("o"))
     n = F.size("o")
     width = F.when(n >= least, n - _ceil(n * percent, 100) + 1).otherwise(0)
-    prefix = F.transform(F.slice("o", F.lit(1), width), lambda v: F.shiftright(F.shiftleft(v, 8), 32).cast("int"))
-    return sets.select("k", "x", "line_no", F.xxhash64("o").alias("id"), F.hash("o").alias("id2"), n.alias("n"), _parity("o", 0).alias("s1"), _parity("o", 64).alias("s2"), prefix.alias("prefix"))
+    first = F.slice("o", F.lit(1), width)
+    prefix = F.transform(first, lambda v: F.shiftright(F.shiftleft(v, 8), 32).cast("int"))
+    often = F.size(F.filter(first, lambda v: v < OFTEN << 56))
+    return sets.select("k", "x", "line_no", F.xxhash64("o").alias("id"), F.hash("o").alias("id2"), n.alias("n"), _parity("o", 0).alias("s1"), _parity("o", 64).alias("s2"), prefix.alias("prefix"), often.alias("often"))
 
 
 def _parity(words: str, half: int) -> Column:
@@ -95,9 +105,9 @@ def _parity(words: str, half: int) -> Column:
 
 
 def classes(lines: DataFrame) -> DataFrame:
-    """(r, k, x, line_no, n, s1, s2, prefix): the first line of each distinct set, numbered in their order."""
+    """(r, k, x, line_no, n, s1, s2, prefix, often): the first line of each distinct set, numbered in their order."""
     order = ["k", "x", "line_no"]
-    own = F.struct(*order, "n", "s1", "s2", "prefix")
+    own = F.struct(*order, "n", "s1", "s2", "prefix", "often")
     heads = lines.select("id", "id2", own.alias("own")).groupBy("id", "id2").agg(F.min("own").alias("own")).select("own.*")
     # Numbers ascend with the order, as partitions do; stored, so that they never change.
     return stored(heads.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("r", F.monotonically_increasing_id()), "line-classes")
@@ -107,11 +117,6 @@ def _ceil(a: Column, b: int) -> Column:
     return F.floor((a + (b - 1)) / b).cast("int")
 
 
-def overlap(a: Column, b: Column, percent: int) -> Column:
-    """The least common words of alike sets of a and b words: ceil(t (a + b) / (1 + t))."""
-    return _ceil((a + b) * percent, 100 + percent)
-
-
 def posted(heads: DataFrame, *more: str) -> DataFrame:
     """(token, place, r, n, s1, s2): the prefix words of classes."""
     return heads.select("r", "n", "s1", "s2", *more, F.posexplode("prefix").alias("place", "token"))
@@ -120,10 +125,14 @@ def posted(heads: DataFrame, *more: str) -> DataFrame:
 def possible(percent: int) -> Column:
     """Whether a pair that shares a word may be alike: (n, place, s1, s2) and (m, at, t1, t2)."""
     n, m, p, q, s1, s2, t1, t2 = (F.col(c) for c in ("n", "m", "place", "at", "s1", "s2", "t1", "t2"))
-    need = overlap(n, m, percent)
     length = (F.least(n, m) * 100) >= (F.greatest(n, m) * percent)
-    position = F.least(p, q) + F.least(n - p, m - q) >= need
-    apart = F.bit_count(s1.bitwiseXOR(t1)) + F.bit_count(s2.bitwiseXOR(t2)) <= n + m - need * 2
+
+    def enough(common: Column) -> Column:
+        # Alike sets of n and m words have t (n + m) / (1 + t) in common.
+        return common * (100 + percent) >= (n + m) * percent
+
+    position = enough(F.least(p, q) + F.least(n - p, m - q))
+    apart = enough(F.shiftright(n + m - F.bit_count(s1.bitwiseXOR(t1)) - F.bit_count(s2.bitwiseXOR(t2)), 1))
     return length & position & apart
 
 
@@ -133,7 +142,7 @@ def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, percent: int)
     both = pairs.select("r").union(pairs.select("other")).distinct()
     wanted = heads.select("r", "k", "x", "line_no").join(both, "r")
     per_doc = wanted.groupBy("k", "x").agg(F.collect_list(F.struct("line_no", "r")).alias("lines"))
-    texts = docs.where("text IS NOT NULL").select(*document_key(), _spaced().alias("text")).join(per_doc, ["k", "x"])
+    texts = docs.where("text IS NOT NULL").select(*document_key(), _spaced().alias("text")).join(per_doc.hint("merge"), ["k", "x"])
     fetched = texts.select(F.split("text", "\n").alias("all"), F.explode("lines").alias("l")).select("l.r", F.get("all", F.col("l.line_no")).alias("line"))
     words = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
     sets = stored(fetched.select("r", words.alias("words")).dropDuplicates(["r"]), "line-sets")
@@ -143,20 +152,33 @@ def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, percent: int)
     return stored(alike.select("r", "other"), "line-alike")
 
 
+#: The names of a posting's columns on the other side of a join.
+_OTHER = {"r": "other", "n": "m", "place": "at", "s1": "t1", "s2": "t2"}
+
+
 def repeated(heads: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(r): the classes whose first line is like an earlier line."""
-    postings = posted(heads)
-    other = {"r": "other", "n": "m", "place": "at", "s1": "t1", "s2": "t2"}
     pair = (F.col("r") > F.col("other")) & possible(percent)
+    postings = posted(heads, "often").where("place >= often").drop("often")
     tops = postings.groupBy("token").agg(F.min("r").alias("leader"), F.count("*").alias("c")).where("c > 1").select("token", "leader")
     # Leaders have one row a word, so they are hashed and the postings need no sort.
-    led = postings.join(tops.hint("shuffle_hash"), "token").where("r = leader").drop("leader").withColumnsRenamed(other)
+    led = postings.join(tops.hint("shuffle_hash"), "token").where("r = leader").drop("leader").withColumnsRenamed(_OTHER)
     near = verified(postings.join(led.hint("shuffle_hash"), "token").where(pair).select("r", "other"), heads, docs, percent)
     settled = stored(near.select("r").distinct(), "line-settled")
-    # One table with a mark, so that both sides of the join read the same shuffle.
-    marked = posted(heads.join(settled.withColumn("done", F.lit(True)), "r", "left").withColumn("open", F.col("done").isNull()).where("size(prefix) > 0"), "open")
-    second = marked.where("open").join(marked.drop("open").withColumnsRenamed(other), "token").where(pair).select("r", "other")
-    return settled.union(verified(second, heads, docs, percent).select("r").distinct())
+    return settled.union(verified(open_pairs(heads, settled, percent), heads, docs, percent).select("r").distinct())
+
+
+def open_pairs(heads: DataFrame, settled: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(r, other): classes that are not ``settled`` and earlier ones, settled or not, that may be alike.
+
+    The mark is part of the number (2 r + 1 where open) and tested together with the other
+    side's, so that both sides of the join are the same and read one shuffle.
+    """
+    marked = heads.join(settled.withColumn("done", F.lit(1)), "r", "left").withColumn("r", F.col("r") * 2 + 1 - F.coalesce("done", F.lit(0)))
+    shared = posted(marked).repartition("token")
+    later = F.shiftright("r", 1) * F.col("r").bitwiseAND(1) > F.shiftright("other", 1)
+    both = shared.join(shared.withColumnsRenamed(_OTHER), "token").where(later & possible(percent))
+    return both.select(F.shiftright("r", 1).alias("r"), F.shiftright("other", 1).alias("other"))
 
 
 def removed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -176,8 +198,9 @@ def cleaned(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             name += "_"
         names.append(name)
     k, x = document_key()
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text", k, x)
-    joined = keyed.join(removed(docs, percent), ["k", "x"], "left")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), "text", k, x)
+    # Every document is on both sides, so the plan is the same whatever the size.
+    joined = keyed.join(removed(docs, percent).hint("merge"), ["k", "x"], "left")
 
     def cut(p: Column) -> Column:
         blank = F.filter(F.transform(p, lambda s, i: F.when(~F.regexp_like(s, F.lit(r"[^\x20\x09-\x0D]")), i)), lambda i: i.isNotNull())
